@@ -58,7 +58,7 @@ def security_symbols(files: DataFrame) -> DataFrame:
     hits = []
     for rule, exts, pattern in PATTERNS:
         found = F.when(F.col("ext").isin(*exts), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        hits.append(F.transform(found, lambda m, i, rule=rule: F.struct(F.lit(rule).alias("name"), m.alias("hit"), i.alias("nth"))))
+        hits.append(F.transform(found, _named(rule)))
     exts = sorted({e for _, x, _ in PATTERNS for e in x})
     rows = files.where(F.col("ext").isin(*exts) & F.col("content").isNotNull())
     rows = rows.select("repo_id", F.col("path").alias("file_path"), "content", F.explode(F.flatten(F.array(*hits))).alias("h"))
@@ -77,6 +77,10 @@ def security_symbols(files: DataFrame) -> DataFrame:
     )
 
 
+def _named(rule: str):
+    return lambda m, i: F.struct(F.lit(rule).alias("name"), m.alias("hit"), i.alias("nth"))
+
+
 def _leading(hit: str):
     """Line breaks at the begin of a hit (white space that a multi-line pattern took along)."""
     return F.length(F.regexp_extract(hit, r"^(\s*)", 1)) - F.length(F.replace(F.regexp_extract(hit, r"^(\s*)", 1), F.lit("\n"), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import col, ext_of
@@ -21,7 +21,7 @@ def read_repo_files(spark: SparkSession, root: str, repo_id: str | None = None,
     rows = raw.select(repository_id(F.lit(root) if repo_id is None else F.lit(repo_id), repo_id is None).alias("repo_id"), path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("last_mod"))
     if patterns is not None:
         rows = ignore_filter(rows, patterns)
-    return rows.select("repo_id", "path", F.lit(True).alias("is_file"), ext_of("path").alias("ext"), F.decode("content", F.lit("UTF-8")).alias("content"), "size", "last_mod")
+    return rows.select("repo_id", "path", F.lit(True).alias("is_file"), ext_of("path").alias("ext"), F.decode("content", "UTF-8").alias("content"), "size", "last_mod")
 
 
 def repository_id(path: Column, derive: bool = True) -> Column:
@@ -58,7 +58,7 @@ def read_commit_log(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
 def parse_commit_log(records: DataFrame, repo_id: str) -> DataFrame:
     lines = F.split(F.regexp_replace("value", r"^\s+", ""), "\r?\n")
     head = F.split(lines[0], "\x1f")
-    rows = records.select(F.sha2("value", 256).alias("commit_id"), head[0].alias("email"), F.expr("try_cast(trim(split(split(regexp_replace(value, '^\\\\s+', ''), '\\r?\\n')[0], '\\u001f')[1]) as bigint)").alias("s"), F.explode(F.slice(lines, 2, 2_000_000_000)).alias("p"))
+    rows = records.select(F.sha2("value", 256).alias("commit_id"), F.get(head, F.lit(0)).alias("email"), F.get(head, F.lit(1)).try_cast("bigint").alias("s"), F.explode(F.slice(lines, 2, 2_000_000_000)).alias("p"))
     rows = rows.where("s is not null and email <> ''").withColumn("p", F.trim("p")).where("p <> ''")
     return rows.select(F.lit(repo_id).alias("repo_id"), "commit_id", "email", F.timestamp_seconds("s").alias("ts"), normalize_rename("p").alias("path"))
 
@@ -72,11 +72,10 @@ def detect_coverage_format(text: str | Column) -> Column:
 def parse_lcov(reports: DataFrame) -> DataFrame:
     """(repo_id, key, pct) from whole reports (repo_id, value); the last record of a path wins, no lines give 0."""
     lines = reports.select("repo_id", F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("line", F.regexp_replace("line", "\r+$", ""))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("repo_id").orderBy("pos")
+    lines = lines.where(F.col("line").rlike("^(SF:|DA:|end_of_record$)"))
     rec = F.sum(F.when(F.col("line").startswith("SF:") | (F.col("line") == "end_of_record"), 1).otherwise(0)).over(w)
-    lines = lines.where(F.col("line").rlike("^(SF:|DA:|end_of_record$)")).withColumn("rec", rec)
+    lines = lines.withColumn("rec", rec)
     da = F.col("line").startswith("DA:") & F.col("line").contains(",")
     hits = F.expr("try_cast(regexp_extract(line, '^DA:[^,]*,(.*)$', 1) as bigint)")
     per = lines.groupBy("repo_id", "rec").agg(F.max(F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 1_000_000))).alias("key"), F.count_if(da).alias("n"), F.count_if(da & (hits > 0)).alias("hit"))
@@ -86,7 +85,7 @@ def parse_lcov(reports: DataFrame) -> DataFrame:
 
 
 def read_lcov(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    return parse_lcov(spark.read.option("wholetext", True).text(path).withColumn("repo_id", F.lit(repo_id)))
+    return parse_lcov(spark.read.text(path, wholetext=True).withColumn("repo_id", F.lit(repo_id)))
 
 
 def read_cobertura(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
@@ -108,7 +107,7 @@ def read_clover(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
 
 def load_coverage(spark: SparkSession, path: str, repo_id: str, explicit: bool = True) -> DataFrame | None:
     """Read one report by its content; an explicit path with an unknown format is an error."""
-    head = spark.read.option("wholetext", True).text(path).select(detect_coverage_format("value").alias("f")).first()
+    head = spark.read.text(path, wholetext=True).select(detect_coverage_format("value").alias("f")).first()
     kind = head and head.f
     if kind is None:
         if explicit:
