@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import prefix
 from ..schemas import Params
 from ..storage import cut
+from .ranks import running_totals
 from .rules import marker
 
 
@@ -144,11 +145,10 @@ def community_count(labels: DataFrame) -> DataFrame:
 def pagerank_threshold(nodes: DataFrame, top: float) -> DataFrame:
     """(repo_id, value): the PageRank at index int(n * (1 - top)) of the files in ascending order.
 
-    Ranks are counted on distinct values, so the order is over values and not over all files.
+    Ranks are counted on distinct values, dealt by ranges, so no repository is ordered in one task.
     """
     counts = nodes.where("node_type = 'file'").groupBy("repo_id", "pagerank").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("repo_id")
-    ranked = counts.select("repo_id", "pagerank", F.sum("c").over(w.orderBy("pagerank")).alias("upto"), F.sum("c").over(w).alias("n"))
+    ranked = running_totals(counts, "repo_id", "pagerank", "c").select("repo_id", "pagerank", (F.col("below") + F.col("c")).alias("upto"), F.col("total").alias("n"))
     index = F.least(F.floor(F.col("n") * (1.0 - top)), F.col("n") - 1)
     return ranked.where(F.col("upto") > index).groupBy("repo_id").agg(F.min("pagerank").alias("value"))
 
@@ -206,9 +206,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def percentile_of(rows: DataFrame, metric: str) -> DataFrame:
     """``rows`` with ``<metric>_percentile`` = round(100 * share of rows with a smaller value)."""
     counts = rows.groupBy("repo_id", metric).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("repo_id")
-    below = F.coalesce(F.sum("c").over(w.orderBy(metric).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    table = counts.select("repo_id", metric, F.floor(100 * below / F.sum("c").over(w) + 0.5).cast("int").alias(f"{metric}_percentile"))
+    ranked = running_totals(counts, "repo_id", metric, "c")
+    table = ranked.select("repo_id", metric, F.floor(100 * F.col("below") / F.col("total") + 0.5).cast("int").alias(f"{metric}_percentile"))
     return rows.join(table, ["repo_id", metric])
 
 

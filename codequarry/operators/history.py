@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import col, dirname
 from ..schemas import Params
+from .ranks import running_totals
 from .rules import fired, marker
 
 
@@ -122,10 +123,8 @@ def hotspots(commits: DataFrame, p: Params = Params(), least: float = 80.0) -> D
 def percent_ranks(rows: DataFrame, value: str) -> DataFrame:
     """(repo_id, value, percent_rank) for each distinct value, as ``percent_rank`` over all rows gives it."""
     counts = rows.groupBy("repo_id", value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("repo_id")
-    below = F.coalesce(F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("c").over(w)
-    return counts.select("repo_id", value, F.when(total > 1, below / (total - 1)).otherwise(0.0).alias("percent_rank"))
+    ranked = running_totals(counts, "repo_id", value, "c")
+    return ranked.select("repo_id", value, F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(0.0).alias("percent_rank"))
 
 
 def ownership(commits: DataFrame, granularity: str = "file", silo: float = 0.8) -> DataFrame:
