@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -22,28 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors both reach.
-
-    It lies in the folder that the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/codequarry/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import cut, shared_dir  # noqa: F401 - the operators take them from here
 
 
 def ship(spark: SparkSession) -> None:
