@@ -582,3 +582,117 @@ def stream_file_churn(spark, d):
 
     e = P.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"))
     return churn(e).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+@query(
+    "",
+    """WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id::VARCHAR AS email, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 2 HOUR) AS session_end, count(*) AS commits FROM s GROUP BY user_id, k""",
+)
+def stream_author_sessions(spark, d):
+    from ..streaming.streams import stream_author_sessions as sessions
+
+    e = P.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("email"))
+    return sessions(e).withColumns({"session_start": F.unix_micros("session_start"), "session_end": F.unix_micros("session_end")})
+
+
+# ---- lookups and roll-ups ------------------------------------------------------------------------------
+
+
+@query("supply", "SELECT 'shop' AS repo_id, src AS key, dst AS other, 'import' AS direction FROM supply UNION ALL SELECT 'shop', dst, src, 'importer' FROM supply")
+def neighbors(spark, d):
+    return graph.neighbors(P.supply_edges(spark, d))
+
+
+@query("symbols", "SELECT repo_id, file_path, name, line::INT AS line FROM symbols WHERE name = 'user'")
+def search_symbols(spark, d):
+    return increments.search_symbols(P.symbols(spark, d), "user", "function").select("repo_id", "file_path", "name", "line")
+
+
+@query("content", "SELECT repo_id, file, type, severity FROM content WHERE severity = 'high'")
+def filter_markers(spark, d):
+    return increments.filter_markers(_content(spark, d), severity="HIGH").select("repo_id", "file", "type", "severity")
+
+
+@query("content", "SELECT repo_id, file, type, severity FROM content WHERE severity <> 'low'")
+def min_severity(spark, d):
+    return increments.min_severity(_content(spark, d), "medium").select("repo_id", "file", "type", "severity")
+
+
+@query(
+    "org parts",
+    """SELECT repo_id, count(*) AS files, round(avg(final), 6) AS mean_score, count(*) FILTER (final < 4) AS red, count(*) FILTER (final >= 4 AND final < 7) AS amber, count(*) FILTER (final >= 7) AS green FROM (
+  SELECT p.repo_id, p.path, 10 - least(1.0, coalesce(sum(o.deduction), 0)) AS final FROM parts p LEFT JOIN org o ON o.file = p.path GROUP BY ALL) GROUP BY ALL""",
+)
+def health_overview(spark, d):
+    f = _metric_files(spark, d)
+    scores = scoring.file_score(history.organisation_markers(f, P.PARAMS))
+    return rounded(scoring.health_overview(scoring.all_file_scores(f, scores)), "mean_score")
+
+
+@query(
+    "org parts",
+    """SELECT o.repo_id, o.file, sum(deduction)::DOUBLE AS impact, max(type) AS primary, CASE WHEN size < 100 THEN 'S' WHEN size < 300 THEN 'M' WHEN size < 800 THEN 'L' ELSE 'XL' END AS effort,
+  round(sum(deduction) / CASE WHEN size < 100 THEN 1 WHEN size < 300 THEN 2 WHEN size < 800 THEN 4 ELSE 8 END, 6) AS impact_per_effort FROM org o JOIN parts p ON p.path = o.file GROUP BY o.repo_id, o.file, size""",
+)
+def refactoring_targets(spark, d):
+    f = _metric_files(spark, d)
+    out = scoring.refactoring_targets(history.organisation_markers(f, P.PARAMS), f.select("repo_id", "path", F.col("size").alias("nloc")))
+    return rounded(out, "impact_per_effort").drop("nloc")
+
+
+def _labelled(spark, d):
+    """Parts with their size as community, and co-change edges between them."""
+    parts = P.part_files(spark, d)
+    nodes = parts.select("repo_id", F.col("path").alias("key"), "path", "pagerank", (F.col("size") / 100).cast("bigint").alias("community_id"))
+    return nodes, history.co_changes(P.commits(spark, d), 2).select("repo_id", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+@query(
+    "parts cochange",
+    """SELECT * FROM (WITH e AS (SELECT x.size // 100 AS ca, y.size // 100 AS cb FROM cochange JOIN parts x ON x.path = a JOIN parts y ON y.path = b),
+i AS (SELECT c, count(*) FILTER (inner_) AS internal, count(*) FILTER (NOT inner_) AS crossing FROM (SELECT ca AS c, ca = cb AS inner_ FROM e UNION ALL SELECT cb, false FROM e WHERE ca <> cb) GROUP BY c)
+SELECT repo_id, (size // 100)::BIGINT AS community_id, count(*) AS members, coalesce(max(internal), 0) AS internal, coalesce(max(crossing), 0) AS crossing, round(coalesce(max(internal) / nullif(max(internal) + max(crossing), 0), 0), 6) AS cohesion
+FROM parts LEFT JOIN i ON c = size // 100 GROUP BY repo_id, size // 100)""",
+)
+def communities_summary(spark, d):
+    out = graph.communities_summary(*_labelled(spark, d)).withColumnRenamed("cross", "crossing").drop("top_file")
+    return rounded(out, "cohesion")
+
+
+@query(
+    "parts cochange",
+    "SELECT c.repo_id, (x.size // 100)::BIGINT AS source, (y.size // 100)::BIGINT AS target, count(*) AS edge_count FROM cochange c JOIN parts x ON x.path = a JOIN parts y ON y.path = b WHERE x.size <> y.size GROUP BY ALL",
+)
+def community_links(spark, d):
+    return graph.community_links(*_labelled(spark, d))
+
+
+@query("files", "SELECT repo_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT regexp_extract(path, '^(.*)/', 1)) AS modules FROM files GROUP BY ALL")
+def repo_stats(spark, d):
+    f = P.files(spark, d)
+    none = spark.createDataFrame([], "repo_id string")
+    return contracts.repo_stats(f, none, none).select("repo_id", "files", "bytes", "modules")
+
+
+@query("hot bus", "SELECT count(*) AS \"all\", count(*) FILTER (churn_percentile >= 80) AS hot, count(*) FILTER (bus_factor <= 1) AS bus_factor, count(*) FILTER (commit_count_30d * 3 > commit_count_90d) AS accelerating FROM hot JOIN bus USING (repo_id, path)")
+def hotspot_preset_counts(spark, d):
+    return reports.hotspot_preset_counts(_hot(spark, d))
+
+
+@query("commits", "SELECT repo_id, regexp_extract(path, '^([^/]*)', 1) AS module, sum(c)::BIGINT AS covered_lines, (7 * count(*))::BIGINT AS total_lines, round(100 * sum(c) / (7 * count(*)), 6) AS pct FROM (SELECT repo_id, path, commit_id, count(*) AS c FROM commits GROUP BY ALL) GROUP BY ALL")
+def coverage_rollup(spark, d):
+    rows = P.commits(spark, d).distinct().select("repo_id", "path", F.lit(1).alias("covered_lines"), F.lit(7).alias("total_lines"))
+    return rounded(coverage.coverage_rollup(rows), "pct")
+
+
+@query("symbols", f"SELECT * FROM (WITH {NODES_SQL}\nSELECT repo_id, 'symbol_spotlight:' || key AS page_id, 'symbol_spotlight' AS page_type, key AS subject, 0 AS level FROM nodes)")
+def plan_symbol_pages(spark, d):
+    nodes = _symbol_graph(spark, d)[0].withColumn("pagerank", F.lit(0.0))
+    return planning.plan_symbol_pages(nodes)
+
+
+@query("files", "SELECT repo_id, page_type, pages::BIGINT AS pages FROM (SELECT repo_id, unnest(['file_page', 'symbol_spotlight', 'module_page', 'scc_page', 'api_contract', 'infra_page', 'repo_overview', 'architecture_diagram', 'onboarding']) AS page_type, unnest([count(*), 0, count(DISTINCT coalesce(lang, 'und')), 0, 0, 0, 1, 1, 1]) AS pages FROM files GROUP BY repo_id)")
+def page_counts(spark, d):
+    return _counts(spark, d)
