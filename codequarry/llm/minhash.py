@@ -10,14 +10,17 @@ proportion to its size:
 
 1. documents with equal sets are one class, represented by the smallest id;
 2. in each band bucket every class is compared with the bucket's smallest class;
-3. the confirmed links give components; buckets that still hold several components are
-   compared again across components (component by component, never inside one), until no
-   bucket has an unchecked pair between components.
+3. the confirmed links give components. In a bucket that still holds several, the classes are
+   compared with the one that is richest in common shingles (the least edited copy);
+4. in a bucket that holds several components even then, classes are compared across them, but
+   only where a link is possible at all: two classes share at most as many shingles as the poorer
+   one has common ones, plus the rare ones (held by at most ``RARE`` documents) that they share.
+   Independently edited copies, which fill such buckets, share none, and what a rare shingle
+   joins is bounded by its few documents.
 
 Defined cases: null or empty texts have an empty set and link with nothing; fewer than five
-words make one shingle; rows that share a doc_id are one document (its smallest set key
-represents it, links of any of its rows count, n_shingles is the largest); rows with a null doc_id
-are returned one by one, unlinked, with a null component and kept.
+words make one shingle; rows that share a doc_id are one document (links of any of its rows
+count, n_shingles is the largest); rows with a null doc_id are returned one by one, unlinked, with a null component and kept.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ WORDS = 5
 SIMILAR = 75  # per cent, at least
 HASHES, ROWS = 160, 5
 BANDS = 2 * HASHES // ROWS
-#: A bucket with more classes than this is split by a second band before pairs across components are made.
-WIDE = 48
+#: A shingle that at most this many documents of the mixed buckets hold is rare.
+RARE = 32
+#: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 
 _U = np.uint64
 _PERM = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
@@ -150,12 +155,26 @@ def _signatures(batches):
         )
 
 
-def _sets(batches):
-    for b in slices(batches):
+def _explode(batches):
+    """doc_id, shingle: the sets of the documents, one row a shingle."""
+    for b in slices(batches, most=500_000):
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["doc_id", "shingles"])
+        ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "shingle"])
+
+
+def _similar(batches):
+    """The pairs (a, b, text of a, text of b) whose full sets are similar enough."""
+    for b in slices(batches, "tb"):
+        left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+        texts = list(dict.fromkeys([*left, *right]))
+        sets = dict(zip(texts, shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])))
+        keep = []
+        for x, y in zip(left, right):
+            x, y = sets[x], sets[y]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared * 100 >= (len(x) + len(y) - shared) * SIMILAR)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -191,13 +210,16 @@ def _alike(n_a: str, n_b: str):
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * SIMILAR).select("a", "b")
+    """The pairs (a, b) whose full sets are similar enough; the texts travel, as they are smaller than the sets."""
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long")
+
+
+def _mixed(slots: DataFrame, found: DataFrame) -> DataFrame:
+    """Slots (h, doc_id, n) with their component, of the buckets that hold several; c0 is the bucket's first."""
+    named = slots.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = named.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    return cut(named.join(mixed.select("h", "c0"), "h"), "mixed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,29 +236,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = classes.select(F.explode("bands").alias("h"), "doc_id", "n")
     first = slots.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a <> top")
     buckets = cut(slots.join(first.select("h", "a"), "h"), "buckets")
+    ids = buckets.select("doc_id").distinct()
+    if ids.limit(FEW + 1).count() <= FEW:
+        ids = F.broadcast(ids)
+    near = cut(texts.join(ids, "doc_id", "left_semi"), "near_texts")
+    sizes = classes.join(ids, "doc_id", "left_semi").select("doc_id", "n")
     star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").where(_alike("na", "nb"))
+    star = star.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").where(_alike("na", "nb"))
     tried = cut(star.select("a", "b"), "pairs")
-    links = cut(_confirm(tried, texts), "links")
-    slots = buckets.select("h", "doc_id", "n")
+    links = cut(_confirm(tried, near), "links")
     found = components(links)
 
-    named = slots.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("width")).where("c0 <> c1")
-    named = named.join(split.select("h", "width"), "h")
-    narrow = named.where(F.col("width") <= WIDE).select("h", "doc_id", "n", "component")
-    wide = cut(named.where(F.col("width") > WIDE).select("h", "doc_id", "n", "component"), "wide")
-    # a wide bucket is cut by each document's other bands in turn
-    other = classes.join(wide.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("h2"))
-    finer = wide.join(other, "doc_id").where("h <> h2").select(F.xxhash64("h", "h2").alias("h"), "doc_id", "n", "component")
-    held = finer.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    rest = narrow.unionByName(finer.join(held.select("h"), "h", "left_semi"))
-    left = rest.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = left.join(right, "h").where("a < b and ca <> cb").where(_alike("na", "nb")).select("a", "b").distinct()
+    slots = buckets.select("h", "doc_id", "n")
+    named = _mixed(slots, found)
+    grams = cut(near.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_explode, "doc_id long, shingle long"), "grams")
+    rare = grams.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = cut(grams.join(rare, "shingle"), "rare")
+    common = grams.groupBy("doc_id").agg(F.count("*").alias("all")).join(rare.groupBy("doc_id").agg(F.count("*").alias("r")), "doc_id", "left")
+    common = cut(common.select("doc_id", (F.col("all") - F.coalesce("r", F.lit(0))).alias("common")), "common")
+    able = F.col("common") * 100 >= F.col("n") * SIMILAR
+
+    # a second star: from the class that is richest in common shingles, the least edited copy of a bucket
+    rich = named.join(common, "doc_id").where(able)
+    best = rich.groupBy("h").agg(F.max_by(F.struct("doc_id", "n", "component"), F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("m"))
+    star = rich.join(best, "h").where((F.col("component") != F.col("m.component")) & (F.col("doc_id") != F.col("m.doc_id"))).where(_alike("n", "m.n"))
+    star = star.select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b")).distinct()
+    second = cut(star.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        links = cut(links.unionByName(_confirm(second, near)), "links")
+        found = components(links)
+        named = _mixed(slots, found)
+        tried = tried.unionByName(second)
+
+    loose = named.where("component <> c0").select("doc_id").distinct()
+    facts = named.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("component").alias("c")).join(common, "doc_id")
+    facts = cut(facts, "facts")
+    of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x))
+    # J = i / (nx + ny - i) >= s  <=>  i * (100 + s) >= s * (nx + ny), and i <= common shingles of either + shared rare ones
+    need = (F.col("nx") + F.col("ny")) * SIMILAR
+    usual = F.least("mx", "my") * (100 + SIMILAR) >= need
+    # common shingles alone could do: only documents that are rich in them, bucket by bucket
+    rich = named.join(facts.where(able).select("doc_id", "common"), "doc_id")
+    left = rich.where("component <> c0").select("h", "c0", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("common").alias("mx"))
+    right = rich.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("common").alias("my"))
+    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where((F.col("cy") == F.col("c0")) | (F.col("x") < F.col("y"))).where(usual).select("x", "y")
+    # else they have to share rare shingles, each of which few documents hold
+    shared = rare.where("df > 1")
+    met = shared.join(loose, "doc_id", "left_semi").select("shingle", F.col("doc_id").alias("x")).join(shared.select("shingle", F.col("doc_id").alias("y")), "shingle").where("x <> y")
+    met = met.groupBy("x", "y").agg(F.count("*").alias("r")).join(of("x"), "x").join(of("y"), "y")
+    by_rare = met.where("cx <> cy").where((F.least("mx", "my") + F.col("r")) * (100 + SIMILAR) >= need).select("x", "y")
+    across = by_bucket.unionByName(by_rare).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not across.isEmpty():
-        more = cut(_confirm(across, texts), "links")
+        more = cut(_confirm(across, near), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
@@ -256,8 +308,10 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies only the document with the smallest id stays."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id"), "gone")
+    if gone.limit(FEW + 1).count() <= FEW:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 #: Words, shingles, all pairs that share a shingle, then reachability. Shingles are compared as text.
