@@ -10,13 +10,11 @@ proportion to its size:
 
 1. documents with equal sets are one class, represented by the smallest id;
 2. in each band bucket every class is compared with the bucket's smallest class;
-3. the confirmed links give components. In a bucket that still holds several, the classes are
-   compared with the one that is richest in common shingles (the least edited copy);
-4. in a bucket that holds several components even then, classes are compared across them, but
-   only where a link is possible at all: two classes share at most as many shingles as the poorer
-   one has common ones, plus the rare ones (held by at most ``RARE`` documents) that they share.
-   Independently edited copies, which fill such buckets, share none, and what a rare shingle
-   joins is bounded by its few documents.
+3. the confirmed links give components. In a bucket that still holds several of them, classes
+   are compared across components, but only where a link is possible at all: two classes share
+   at most as many shingles as the poorer one has common ones, plus the rare ones (held by at most
+   ``RARE`` documents) that they share. Independently edited copies, which fill such buckets,
+   share none, and what a rare shingle joins is bounded by its few documents.
 
 Defined cases: null or empty texts have an empty set and link with nothing; fewer than five
 words make one shingle; rows that share a doc_id are one document (links of any of its rows
@@ -256,18 +254,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = cut(common.select("doc_id", (F.col("all") - F.coalesce("r", F.lit(0))).alias("common")), "common")
     able = F.col("common") * 100 >= F.col("n") * SIMILAR
 
-    # a second star: from the class that is richest in common shingles, the least edited copy of a bucket
-    rich = named.join(common, "doc_id").where(able)
-    best = rich.groupBy("h").agg(F.max_by(F.struct("doc_id", "n", "component"), F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("m"))
-    star = rich.join(best, "h").where((F.col("component") != F.col("m.component")) & (F.col("doc_id") != F.col("m.doc_id"))).where(_alike("n", "m.n"))
-    star = star.select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b")).distinct()
-    second = cut(star.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = cut(links.unionByName(_confirm(second, near)), "links")
-        found = components(links)
-        named = _mixed(slots, found)
-        tried = tried.unionByName(second)
-
     loose = named.where("component <> c0").select("doc_id").distinct()
     facts = named.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("component").alias("c")).join(common, "doc_id")
     facts = cut(facts, "facts")
@@ -277,9 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usual = F.least("mx", "my") * (100 + SIMILAR) >= need
     # common shingles alone could do: only documents that are rich in them, bucket by bucket
     rich = named.join(facts.where(able).select("doc_id", "common"), "doc_id")
-    left = rich.where("component <> c0").select("h", "c0", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("common").alias("mx"))
-    right = rich.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("common").alias("my"))
-    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where((F.col("cy") == F.col("c0")) | (F.col("x") < F.col("y"))).where(usual).select("x", "y")
+    # a pair that shares several buckets is made in the first of them (a document is in BANDS buckets at most)
+    rich = rich.join(rich.groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "doc_id")
+    left = rich.where("component <> c0").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("common").alias("mx"), F.col("hs").alias("hx"))
+    right = rich.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("common").alias("my"), F.col("hs").alias("hy"))
+    once = F.col("h") == F.array_min(F.array_intersect("hx", "hy"))
+    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where(usual).where(once).select("x", "y")
     # else they have to share rare shingles, each of which few documents hold
     shared = rare.where("df > 1")
     met = shared.join(loose, "doc_id", "left_semi").select("shingle", F.col("doc_id").alias("x")).join(shared.select("shingle", F.col("doc_id").alias("y")), "shingle").where("x <> y")
