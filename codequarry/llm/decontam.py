@@ -1,15 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are compared as letters and digits, lower-cased, with one space
-between runs. Items longer than ``WHOLE`` characters are cut into overlapping passages of ``PASSAGE``
-characters (every ``STEP``, and the last), so a leak of a part is found too. A passage of m characters with
+between runs. Items longer than ``WHOLE`` characters are searched as overlapping passages of ``PASSAGE``
+characters (every ``STEP``, and the last), and all items longer than ``LEAK`` as passages of ``LEAK`` characters
+(every ``LEAK_STEP``, and the last) as well: a verbatim part of 66 characters (``LEAK`` less its 6 edits), or a part of 75
+(``LEAK + LEAK_STEP - 1``) within 6 edits, is certainly found wherever it lies. A passage of m characters with
 an edit budget k shares at least m - q + 1 - k*q of its q-grams with every text that holds it
 within k edits, and all of them lie on k + 1 neighbouring diagonals (text place minus passage place). So:
 
-1. hashes of all q-grams of a text are looked up in a bitmap of the passages' q-grams, and only
+1. hashes of all q-grams of a text are looked up in a bitmap of the items' q-grams, and only
    stretches with enough hits within one passage's reach go on;
-2. hits are counted by passage in bands of 2(k + 1) diagonals that overlap by k + 1;
-3. bands that reach the passage's bound are verified by banded alignment within the edit budget.
+2. hits are dealt by item to bands of 2(k + 1) diagonals that overlap by k + 1 (k the largest budget), and
+   counted there for each passage;
+3. passages that reach their bound in a band are verified by banded alignment within the edit budget.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK`` characters, one job a block, so what is
 broadcast is bounded however large the benchmark is; the documents are never shuffled.
@@ -30,6 +33,7 @@ from .common import id_and_text, ship, slices, text_of
 
 Q, EDITS = 8, 12  # one edit for every EDITS characters
 WHOLE, PASSAGE, STEP = 160, 128, 64
+LEAK, LEAK_STEP = 72, 4
 BLOCK = 4_000_000
 _BITS = 22
 _B = np.uint32(0x9E3779B1)
@@ -86,57 +90,75 @@ def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Passages:
-    """The passages of a block of items and the index of their q-grams."""
+    """The passages of a block of items and the index of the items' q-grams.
+
+    Passages come by level, longest first: whole items and passages of ``PASSAGE``, then those of ``LEAK``.
+    A passage is a place in its item, so q-grams are indexed once an item, however dense the passages are.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         codes, begins = normalise([t for _, t in items])
-        self.item, self.code = [], []
+        self.ids, self.codes = [], []
         for (item, _), a, b in zip(items, begins[:-1], begins[1:]):
-            own = codes[a : b - 1]
-            if len(own) < Q:
-                continue
-            if len(own) <= WHOLE:
-                parts = [own]
+            if b - 1 - a >= Q:
+                self.ids.append(item)
+                self.codes.append(codes[a : b - 1])
+        rows: list[tuple[int, int, int, int]] = []  # level, number of the item, begin, size
+        for k, own in enumerate(self.codes):
+            n = len(own)
+            if n <= WHOLE:
+                rows.append((0, k, 0, n))
             else:
-                at = [*range(0, len(own) - PASSAGE, STEP), len(own) - PASSAGE]
-                parts = [own[i : i + PASSAGE] for i in at]
-            self.item += [item] * len(parts)
-            self.code += parts
-        m = np.array([len(c) for c in self.code], dtype=np.int64)
+                rows += [(0, k, i, PASSAGE) for i in (*range(0, n - PASSAGE, STEP), n - PASSAGE)]
+            if n > LEAK:
+                rows += [(1, k, i, LEAK) for i in (*range(0, n - LEAK, LEAK_STEP), n - LEAK)]
+        level, self.of, self.begin, m = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4).T
+        self.level = np.searchsorted(level, [0, 1, 2])
         self.budget = np.minimum(m // EDITS, (m - Q) // Q)
         self.bound = m - Q + 1 - self.budget * Q
         self.size = m
-        hashes = [grams(c) for c in self.code]
-        if hashes:
+        if rows:
+            hashes = [grams(c) for c in self.codes]
             h = np.concatenate(hashes)
-            of = np.repeat(np.arange(len(m)), [len(x) for x in hashes])
+            owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
             at = np.concatenate([np.arange(len(x)) for x in hashes])
             order = np.argsort(h, kind="stable")
-            self.h, self.of, self.at = h[order], of[order], at[order]
+            self.h, self.owner, self.at = h[order], owner[order], at[order]
             self.bits = np.zeros(1 << _BITS, dtype=bool)
             self.bits[self.h >> np.uint32(32 - _BITS)] = True
-            self.least = int(self.bound.min())
-            self.reach = int((m + self.budget).max())
+            self.longest = max(map(len, self.codes))
+            self.width = int(self.budget.max()) + 1
+            self.least = np.full(len(self.codes), self.longest)
+            np.minimum.at(self.least, self.of, self.bound)
+            # (fewest hits, within how many characters) by edit budget
+            same = [self.budget == k for k in np.unique(self.budget)]
+            self.dense = [(int(self.bound[x].min()), int((m + self.budget)[x].max())) for x in same]
+
+    @property
+    def item(self) -> list:
+        return [self.ids[k] for k in self.of]
+
+    @property
+    def code(self) -> list[np.ndarray]:
+        return [self.codes[k][a : a + n] for k, a, n in zip(self.of, self.begin, self.size)]
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, begin, end, edits): the best place of each item in each text."""
-        if not self.code:
+        """(text, item, begin, end, edits): the best place of each item in each text, by the longest level that has one."""
+        if not len(self.size):
             return []
         code, begins = normalise(texts)
         h = grams(code)
         hit = np.flatnonzero(self.bits[h >> np.uint32(32 - _BITS)])
-        if not len(hit):
-            return []
         # a hit stays if some window of one passage's reach around it holds enough hits
-        k = self.least
-        if k > 1:
-            near = np.zeros(len(hit), dtype=bool)
-            full = np.flatnonzero(hit[k - 1 :] - hit[: len(hit) - k + 1] < self.reach) if len(hit) >= k else []
-            mark = np.zeros(len(hit) + 1, dtype=np.int64)
-            np.add.at(mark, full, 1)
-            np.add.at(mark, np.asarray(full, dtype=np.int64) + k, -1)
-            near = np.cumsum(mark[:-1]) > 0
-            hit = hit[near]
+        near = np.zeros(len(hit), dtype=bool)
+        for k, reach in self.dense:
+            if len(hit) >= k:
+                full = np.flatnonzero(hit[k - 1 :] - hit[: len(hit) - k + 1] < reach)
+                mark = np.zeros(len(hit) + 1, dtype=np.int64)
+                np.add.at(mark, full, 1)
+                np.add.at(mark, full + k, -1)
+                near |= np.cumsum(mark[:-1]) > 0
+        hit = hit[near]
         if not len(hit):
             return []
         lo, hi = np.searchsorted(self.h, h[hit]), np.searchsorted(self.h, h[hit], side="right")
@@ -144,36 +166,55 @@ class Passages:
         some = n > 0
         hit, lo, n = hit[some], lo[some], n[some]
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, of, at = np.repeat(hit, n), self.of[entry], self.at[entry]
-        # the same q-gram at several places of a passage must not count one place of the text twice in a band
-        width = self.budget[of] + 1
-        band = (place - at + self.size.max()) // width
-        key = np.concatenate([of * (1 << 40) + band, of * (1 << 40) + band - 1])
+        place, of, at = np.repeat(hit, n), self.owner[entry], self.at[entry]
+        band = (place - at + self.longest) // self.width + 1
+        most = (len(code) + self.longest) // self.width + 3
+        key = np.concatenate([of * most + band, of * most + band - 1])
         bands = np.sort(key)
-        edge = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
-        bands, rough = bands[edge], np.diff(np.append(edge, len(bands)))
-        enough = rough >= self.bound[bands >> 40]
+        edge = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]])) if len(bands) else []
+        bands = bands[edge]
+        rough = np.diff(np.append(edge, len(key)))
+        enough = rough >= self.least[bands // most]
         stay = np.flatnonzero(enough[np.searchsorted(bands, key)])
         if not len(stay):
             return []
-        pairs = np.unique(np.stack([key[stay], place[stay % len(place)]], axis=1), axis=0)
-        first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
-        count = np.diff(np.append(first, len(pairs)))
+        bands, first, group = np.unique(key[stay], return_index=True, return_inverse=True)
+        own, low = bands // most, (bands % most - 1) * self.width - self.longest
+        text = np.searchsorted(begins, place[stay[first] % len(place)], side="right") - 1
+        # the same q-gram at several places of a band must count once for each place of the item
+        wide = self.longest + 1
+        spots = np.unique(group * wide + at[stay % len(place)])
+        base = np.arange(len(bands)) * wide
+        ends = np.searchsorted(spots, np.append(base, len(bands) * wide))
+        left, right = spots[ends[:-1]] - base, spots[ends[1:] - 1] - base
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in np.flatnonzero(count >= self.bound[pairs[first, 0] >> 40]):
-            own = int(pairs[first[i], 0])
-            p = own >> 40
-            low = (own & ((1 << 40) - 1)) * int(self.budget[p] + 1) - int(self.size.max())
-            text = int(np.searchsorted(begins, pairs[first[i], 1], side="right")) - 1
-            key = (text, self.item[p])
-            if key in found and found[key][2] == 0:
+        for a, b in zip(self.level[:-1], self.level[1:]):
+            if a == b:
                 continue
-            a = max(low, int(begins[text]))
-            b = min(low + 2 * int(self.budget[p] + 1) + int(self.size[p]), int(begins[text + 1]) - 1)
-            placed = align(self.code[p], code[a:b], int(self.budget[p]))
-            if placed and (key not in found or placed[2] < found[key][2]):
-                found[key] = (a + placed[0] - int(begins[text]), a + placed[1] - int(begins[text]), placed[2])
-        return [(t, item, *x) for (t, item), x in sorted(found.items())]
+            line = self.of[a:b] * wide + self.begin[a:b]
+            start = a + np.searchsorted(line, own * wide + np.maximum(left - int(self.size[a:b].max()) + Q, 0))
+            n = a + np.searchsorted(line, own * wide + right, side="right") - start
+            g = np.repeat(np.arange(len(bands)), n)
+            p = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            front = base[g] + self.begin[p]
+            count = np.searchsorted(spots, front + self.size[p] - Q, side="right") - np.searchsorted(spots, front)
+            full = np.flatnonzero(count >= self.bound[p])
+            # with so few shared q-grams a place has at least so many edits
+            least = -((count - (self.size[p] - Q + 1)) // Q)
+            settled = set(found)
+            for i in full[np.argsort(least[full], kind="stable")]:
+                t, one = int(text[g[i]]), int(p[i])
+                key = (t, self.ids[self.of[one]])
+                if key in settled or key in found and found[key][2] <= least[i]:
+                    continue
+                at0, size, budget = int(low[g[i]] + self.begin[one]), int(self.size[one]), int(self.budget[one])
+                x = max(at0, int(begins[t]))
+                y = min(at0 + 2 * self.width + size, int(begins[t + 1]) - 1)
+                own_code = self.codes[self.of[one]][self.begin[one] : self.begin[one] + size]
+                placed = align(own_code, code[x:y], budget)
+                if placed and (key not in found or placed[2] < found[key][2]):
+                    found[key] = (x + placed[0] - int(begins[t]), x + placed[1] - int(begins[t]), placed[2])
+        return [(t, item, *x) for (t, item), x in sorted(found.items(), key=lambda f: f[0][0])]
 
 
 def align(passage: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:

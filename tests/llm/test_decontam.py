@@ -87,6 +87,18 @@ def test_part_of_a_long_item_is_found(spark):
     assert index.matches(["noise noise " + long[200:260] + " more"]) == []
 
 
+def test_short_leaks_are_found_wherever_they_lie():
+    rnd = random.Random(8)
+    for size in (74, 155, 250):
+        item = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        index = decontam.Passages([(9, item)])
+        for part in (66, 130):
+            texts = ["0123 4567 " * 9 + item[a : a + part] + " 8901 2345" * 9 for a in range(0, size - part + 1, 5)]
+            assert {t for t, *_ in index.matches(texts)} == set(range(len(texts)))
+        for a in range(0, size - 75 + 1, 25):
+            assert len(index.matches(["0123 4567 " * 9 + edit(rnd, item[a : a + 75], 6) + " 8901 2345" * 9])) == 1
+
+
 def test_stage_drops_only_what_leaks(spark, tmp_path):
     spark.createDataFrame([(0, "a benchmark question about the moon and the sea")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(1, "x A benchmark question, about the moon and the sea y", "en", "s", 1), (2, "clean text about the moon", "en", "s", 1), (3, None, None, None, None)]
