@@ -167,8 +167,11 @@ class Passages:
         hit, lo, n = hit[some], lo[some], n[some]
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place, of, at = np.repeat(hit, n), self.owner[entry], self.at[entry]
-        band = (place - at + self.longest) // self.width + 1
-        most = (len(code) + self.longest) // self.width + 3
+        # texts lie so far apart here that no band covers diagonals of two of them
+        apart = 2 * self.width + self.longest
+        text = np.repeat(np.searchsorted(begins, hit, side="right") - 1, n)
+        band = (place + text * apart - at + self.longest) // self.width + 1
+        most = (len(code) + len(texts) * apart + self.longest) // self.width + 3
         key = np.concatenate([of * most + band, of * most + band - 1])
         bands = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]])) if len(bands) else []
@@ -179,8 +182,8 @@ class Passages:
         if not len(stay):
             return []
         bands, first, group = np.unique(key[stay], return_index=True, return_inverse=True)
-        own, low = bands // most, (bands % most - 1) * self.width - self.longest
-        text = np.searchsorted(begins, place[stay[first] % len(place)], side="right") - 1
+        text = text[stay[first] % len(place)]
+        own, low = bands // most, (bands % most - 1) * self.width - self.longest - text * apart
         # the same q-gram at several places of a band must count once for each place of the item
         wide = self.longest + 1
         spots = np.unique(group * wide + at[stay % len(place)])

@@ -99,6 +99,15 @@ def test_short_leaks_are_found_wherever_they_lie():
             assert len(index.matches(["0123 4567 " * 9 + edit(rnd, item[a : a + 75], 6) + " 8901 2345" * 9])) == 1
 
 
+def test_rows_before_change_nothing():
+    item = "the quick brown fox jumps over one lazy dog by a river bank while seven wizards mix vexing potions for the judge who likes warm quilts and old jazz"
+    index = decontam.Passages([(1, item)])
+    for tail in range(8, 16):
+        for before in range(40, 70):
+            own = [m[1:] for m in index.matches(["z" * before + item[:tail], item]) if m[0] == 1]
+            assert own == [(1, 0, len(item), 0)]
+
+
 def test_stage_drops_only_what_leaks(spark, tmp_path):
     spark.createDataFrame([(0, "a benchmark question about the moon and the sea")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(1, "x A benchmark question, about the moon and the sea y", "en", "s", 1), (2, "clean text about the moon", "en", "s", 1), (3, None, None, None, None)]
