@@ -37,8 +37,8 @@ VOCABULARY = "word_bpe_49k.json"
 _LATIN = re.compile(f"[ -~\\n{_L}]*").fullmatch
 #: The vocabulary's public pattern for lower-case Latin text.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+").findall
-#: Separators that str.split() takes for white space and the vocabulary does not, and a letter whose lower case is two characters.
-_ODD = re.compile("[\x1c-\x1fİ]").search
+#: Separators that str.split() takes for white space and the vocabulary does not, a letter whose lower case is two characters, and one whose lower case depends on its place in str.lower() alone.
+_ODD = re.compile("[\x1c-\x1fİΣ]").search
 
 _cache: dict[str, bytes] = {}
 

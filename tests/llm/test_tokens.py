@@ -67,6 +67,13 @@ def test_packing_is_tight(spark):
     assert sequences <= -(-tokens // 4096) * 1.06
 
 
+def test_capital_final_sigma(spark):
+    t = packing._tokenizer(path := packing.vocabulary_path(packing.VOCABULARY))
+    for text in ("ΟΔΟΣ", "ΟΔΟΣ ΚΑΙ ΑΣ.", "οδος ΣΑΣ", "Σ"):
+        assert packing.token_bytes(text, path) == packing._packed(t.encode(text, add_special_tokens=False).ids)
+    check_packing(spark, spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "x ΛΟΓΟΣ y")], "doc_id long, text string"))
+
+
 @pytest.mark.parametrize("histogram", [{}, {4096: 3, 1: 1}, {2048: 3}, {1366: 5}, {2000: 3, 1500: 2}, {1: 5000}, {n: 3 for n in range(1, 4097, 13)}])
 def test_plan_places_every_length(histogram):
     used = Counter()
