@@ -63,16 +63,24 @@ def organisation_markers(files: DataFrame, p: Params = Params()) -> DataFrame:
     return fired(files.where("coalesce(is_file, true)"), "path", found)
 
 
-def co_changes(commits: DataFrame, min_count: int = 3, most_files: int = 200) -> DataFrame:
+def co_changes(commits: DataFrame, min_count: int = 3, most_files: int | None = None, block: int = 200) -> DataFrame:
     """(repo_id, a, b, count): distinct commits that touch both files, a < b.
 
-    Commits that touch more than ``most_files`` files are bulk changes and say nothing about
-    coupling: they are left out by definition, which also bounds the pairs a commit makes.
+    All commits count, unless ``most_files`` asks to leave out those that touch more files. A commit's files are
+    dealt into blocks of about ``block``; each pair of blocks is a join key of its own, so a large
+    commit's pairs are made by many tasks, and their counts are combined before the shuffle.
     """
-    once = commits.select("repo_id", "commit_id", "path").distinct()
-    usable = once.groupBy("repo_id", "commit_id").agg(F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("k") <= most_files)).select("repo_id", "commit_id")
-    once = once.join(usable, ["repo_id", "commit_id"], "left_semi")
-    pairs = once.withColumnRenamed("path", "a").join(once.withColumnRenamed("path", "b"), ["repo_id", "commit_id"]).where("a < b")
+    key = ["repo_id", "commit_id"]
+    once = commits.select(*key, "path").distinct()
+    sizes = once.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
+    if most_files is not None:
+        sizes = sizes.where(F.col("k") <= most_files)
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    once = once.join(sizes, key).select(*key, "path", blocks.alias("n"), F.pmod(F.xxhash64("path"), blocks).cast("int").alias("own"))
+    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = once.select(*key, F.col("path").alias("a"), F.col("own").alias("i"), each.alias("j"))
+    right = once.select(*key, F.col("path").alias("b"), F.col("own").alias("j"), each.alias("i"))
+    pairs = left.join(right, [*key, "i", "j"]).where("a < b")
     return pairs.groupBy("repo_id", "a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
 
 

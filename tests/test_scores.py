@@ -79,6 +79,21 @@ def test_bus_factor_and_co_changes(spark):
     assert [(r.a, r.b, r["count"]) for r in history.co_changes(c, 2).collect()] == [("a", "b", 2)]
 
 
+def test_co_changes_of_a_large_commit_equal_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from codequarry.plans import projections
+
+    rows = [commit("big", "x", 1, f"f{i}") for i in range(300)] + [commit("big2", "y", 2, f"f{i}") for i in range(0, 500, 2)] + [commit("s", "z", 3, p) for p in ("f1", "f2", "g")]
+    c = spark.createDataFrame([*rows, rows[0]], "repo_id string, commit_id string, email string, ts timestamp, path string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE commits (repo_id VARCHAR, commit_id VARCHAR, path VARCHAR)")
+    con.executemany("INSERT INTO commits VALUES (?, ?, ?)", [(r[0], r[1], r[4]) for r in rows])
+    want = con.execute(f"WITH {projections.SQL['cochange']} SELECT * FROM cochange").fetchall()
+    for got in (history.co_changes(c, 2), history.co_changes(c, 2, block=7)):
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert len(want) == 150 * 149 // 2 + 1 and history.co_changes(c, 2, most_files=200).count() == 0
+
+
 def test_clone_pair(spark):
     text = "func a() { one two three four five six }"
     rows = [("r", p, True, ".go", text, NOW, i) for i, p in enumerate(("z.go", "a.go", "m.go"))]
