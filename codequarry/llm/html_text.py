@@ -2,8 +2,10 @@
 
 The page is read into a tree of elements by one tag pattern (raw-text elements, implied end
 tags and unclosed elements as browsers treat them). Elements that are boilerplate by their
-meaning (navigation, footers, asides, forms, scripts, notices, adverts, comments) are cut
-first. For every other element
+meaning (navigation, footers, asides, forms, scripts, adverts) are cut first. A class or id that names
+boilerplate cuts an element only as a whole token and unless the element holds most of the page's
+text outside links (then it stays, if no article lies beside it); a word of a longer name ("has-sidebar") only
+lowers the score in the choice of the article. Headings are never cut by name. For every other element
 
     density = C / T * ln(C * T / (LC * LT)) / ln(1 + ln(C * LC / NC + C * LB / CB + e))
 
@@ -11,7 +13,7 @@ is the link-adjusted number of characters per tag, with C characters, T tags, LC
 characters, NC characters outside links and LT link tags of its subtree (each at least 1),
 and LB / CB the share of link characters in the whole body. The element with the largest sum of its children's densities
 holds the article; the least density on the path from it to the body is the threshold
-that its parts have to reach to stay.
+that parts with several short links have to reach to stay.
 
 Defined cases: null, empty or text-free html gives ''; nothing is capped; a page without
 markup is its own text; repeated rows give repeated results.
@@ -34,22 +36,27 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WHITE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title xmp".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas title xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend summary".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-DROP = frozenset("head nav footer aside form button select input label dialog menu".split()) | RAW
+DROP = frozenset("head nav footer aside form button select input label dialog menu annotation annotation-xml".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments disqus respond replies discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social pagination pager widget login search".split())
+#: Adverts never hold the article.
+ADS = frozenset("ad ads adv advert adverts advertisement advertising".split())
+NAMED, SHORT_LINK = 0.25, 25  # the weight of elements with a boilerplate name; characters of a link that can be one of a menu
+UNNAMED = HEADINGS | {"body", "html", "article", "main"}
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "weight")
 
-    def __init__(self, tag: str, parent, drop: bool):
-        self.tag, self.parent, self.drop, self.items = tag, parent, drop, []
+    def __init__(self, tag: str, parent, drop: bool, named: int = 0):
+        self.tag, self.parent, self.drop, self.items, self.named, self.weight = tag, parent, drop, [], named, 1.0
 
 
 def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
@@ -61,13 +68,26 @@ def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
         k, v = k.lower(), v.strip("\"'")
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v.lower() in ROLES:
             return True
-        if k in ("class", "id") and tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(x.lower() for x in _PARTS.split(v)):
+        if k in ("class", "id") and tag not in UNNAMED and not ADS.isdisjoint(v.lower().split()):
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True
     return False
 
 
+def _named(tag: str, rest: str) -> int:
+    """2 if a class or id is a boilerplate name, 1 if a word of one is, else 0."""
+    found = 0
+    if "=" in rest and tag not in UNNAMED:
+        for k, v in _ATTR.findall(rest):
+            if k.lower() in ("class", "id"):
+                v = v.strip("\"'")
+                if not NAMES.isdisjoint(v.lower().split()):
+                    return 2
+                found = found or int(not NAMES.isdisjoint(x.lower() for x in _PARTS.split(v)))
+    return found
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text items are strings, dropped subtrees are kept empty."""
     root = Node("html", None, False)
@@ -111,7 +131,7 @@ def parse(page: str) -> Node:
             if node.tag in ends:
                 articles -= _articles_between(open_, node)
                 open_ = node.parent
-        node = Node(tag, open_, open_.drop or _dropped(tag, m["rest"], articles > 0))
+        node = Node(tag, open_, open_.drop or _dropped(tag, m["rest"], articles > 0), _named(tag, m["rest"]))
         open_.items.append(node)
         if tag in VOID or m["rest"].endswith("/") and tag in RAW:
             continue
@@ -162,12 +182,30 @@ def _measure(root: Node) -> list[Node]:
         base = math.log(c * node.link_chars / max(c - node.link_chars, 1) + share * c + math.e)
         node.density = max(0.0, c / t * math.log(max(c * t / (max(node.link_chars, 1) * max(node.link_tags, 1)), 1.0)) / math.log(base + 1.0))
     for node in order:
-        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.drop)
+        node.total = sum(x.density * x.weight for x in node.items if isinstance(x, Node) and not x.drop)
     return order
 
 
+def _judge(order: list[Node]) -> bool:
+    """Drop or weigh down the elements with boilerplate names (parents first); whether there are any."""
+    named = [n for n in order if n.named]
+    if not named:
+        return False
+    root, marks = order[0], [n for n in order if n.tag in ("article", "main") and n.chars]
+    for node in named:
+        most = 2 * (node.chars - node.link_chars) > root.chars - root.link_chars
+        beside = any(node not in _upwards(m) and m not in _upwards(node) for m in marks)
+        if node.named == 2 and (beside or not most):
+            node.drop = True
+        elif not most:
+            node.weight = NAMED
+    for node in order[1:]:
+        node.weight *= node.parent.weight
+    return True
+
+
 def _blocks(node: Node, threshold: float) -> list[str]:
-    """The text blocks of a subtree in page order. Block elements below the threshold go, unless they carry only plain text."""
+    """The text blocks of a subtree in page order. Menus (blocks of several short links) below the threshold go."""
     out, line = [], []
 
     def flush():
@@ -189,7 +227,8 @@ def _blocks(node: Node, threshold: float) -> list[str]:
                 line.append(" ")
             else:
                 if x.tag in BLOCK:
-                    if x.density < threshold and x.link_chars * 2 > x.chars:
+                    menu = x.link_tags > 1 and x.tag not in HEADINGS and x.link_chars < SHORT_LINK * x.link_tags
+                    if menu and x.density < threshold and x.link_chars * 2 > x.chars:
                         continue
                     flush()
                 stack.append((x, iter(x.items)))
@@ -212,6 +251,8 @@ def main_text(page: str) -> str:
     """The article of a page: blocks joined by an empty line."""
     root = parse(page)
     order = _measure(root)
+    if _judge(order):
+        order = _measure(root)
     if not root.chars:
         return ""
     best = max(order, key=lambda n: n.total)

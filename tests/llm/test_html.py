@@ -41,6 +41,30 @@ def test_density_finds_text_without_marks():
     assert html_text.main_text(page) == f"{(LONG * 3).strip()}\n\n{(LONG * 4).strip()}"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-sidebar", "sidebar"])
+def test_names_do_not_cut_the_article(name):
+    page = f'<body><div class="menu"><p>m</p></div><div id=content class={name}><h1>T</h1><p>{LONG * 3}</p><p>{LONG * 4}</p></div></body>'
+    assert html_text.main_text(page) == f"T\n\n{(LONG * 3).strip()}\n\n{(LONG * 4).strip()}"
+
+
+def test_named_headings_and_sections_stay():
+    page = f"<article><h2 id=related-work>A</h2><p>{LONG * 3}</p><h2 class=related>B</h2><section id=search-and-discussion><p>{LONG}</p></section><div class='x comments'><p>no</p></div></article>"
+    assert html_text.main_text(page) == f"A\n\n{(LONG * 3).strip()}\n\nB\n\n{LONG.strip()}"
+
+
+def test_formulas_and_objects_stay():
+    page = f"<article><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> so</p><object data=a><p>fallback</p></object></article>"
+    assert html_text.main_text(page) == f"{LONG}x=1 so\n\nfallback"
+
+
+def test_linked_headings_paragraphs_and_references_stay():
+    references = "".join(f"<li><a href=#r{i}>On the title of the reference number {i} of many</a></li>" for i in range(3))
+    menu = "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(9))
+    page = f"<article><h2><a href=#x>Title</a></h2><p>{LONG * 3}</p><p><a href=#y>Alone</a></p><ol>{references}</ol><ul>{menu}</ul></article>"
+    want = ["Title", (LONG * 3).strip(), "Alone", *(f"On the title of the reference number {i} of many" for i in range(3))]
+    assert html_text.main_text(page).split("\n\n") == want
+
+
 def test_operator(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (2, None, None, None), (None, "u", "", "y"), (3, "u", f"<article><p>{LONG * 20_000}</p></article>", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
