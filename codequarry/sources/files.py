@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import col, ext_of
@@ -70,22 +70,26 @@ def detect_coverage_format(text: str | Column) -> Column:
 
 
 def parse_lcov(reports: DataFrame) -> DataFrame:
-    """(repo_id, key, pct) from whole reports (repo_id, value); the last record of a path wins, no lines give 0."""
-    lines = reports.select("repo_id", F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("line", F.regexp_replace("line", "\r+$", ""))
-    w = Window.partitionBy("repo_id").orderBy("pos")
-    lines = lines.where(F.col("line").rlike("^(SF:|DA:|end_of_record$)"))
-    rec = F.sum(F.when(F.col("line").startswith("SF:") | (F.col("line") == "end_of_record"), 1).otherwise(0)).over(w)
-    lines = lines.withColumn("rec", rec)
-    da = F.col("line").startswith("DA:") & F.col("line").contains(",")
-    hits = F.expr("try_cast(regexp_extract(line, '^DA:[^,]*,(.*)$', 1) as bigint)")
-    per = lines.groupBy("repo_id", "rec").agg(F.max(F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 1_000_000))).alias("key"), F.count_if(da).alias("n"), F.count_if(da & (hits > 0)).alias("hit"))
-    per = per.where("key <> ''")
-    pct = F.when(F.col("n") > 0, F.col("hit") / F.col("n") * 100.0).otherwise(0.0)
-    return per.groupBy("repo_id", "key").agg(F.max_by(pct, "rec").alias("pct"))
+    """(repo_id, key, pct) from whole reports (repo_id, value, and report if they have names); no lines give 0.
+
+    Of a path's records in a report the last wins; of several reports, the one with the last name (without names, the
+    greatest hash of its text). Reports are cut into records before any grouping, so lines of two reports never mix.
+    """
+    name = F.col("report") if "report" in reports.columns else F.sha2("value", 256)
+    cut = F.split("value", r"(?dm)^(?=SF:)|^end_of_record\r*$")
+    records = reports.select("repo_id", name.alias("report"), F.posexplode(cut).alias("rec", "record")).where(F.col("record").startswith("SF:"))
+    lines = F.transform(F.split("record", "\n"), lambda x: F.regexp_replace(x, "\r+$", ""))
+    records = records.select("repo_id", "report", "rec", lines.alias("lines"))
+    da = F.filter("lines", lambda x: x.startswith("DA:") & x.contains(","))
+    hit = F.filter("da", lambda x: F.regexp_extract(x, "^DA:[^,]*,(.*)$", 1).try_cast("bigint") > 0)
+    per = records.select("repo_id", "report", "rec", F.substring(F.col("lines")[0], 4, 2_000_000_000).alias("key"), da.alias("da"))
+    pct = F.when(F.size("da") > 0, F.size(hit) / F.size("da") * 100.0).otherwise(0.0)
+    per = per.where("key <> ''").select("repo_id", "report", "rec", "key", pct.alias("pct"))
+    return per.groupBy("repo_id", "key").agg(F.max_by("pct", F.struct("report", "rec")).alias("pct"))
 
 
 def read_lcov(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    return parse_lcov(spark.read.text(path, wholetext=True).withColumn("repo_id", F.lit(repo_id)))
+    return parse_lcov(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("report"), F.lit(repo_id).alias("repo_id")))
 
 
 def read_cobertura(spark: SparkSession, path: str, repo_id: str) -> DataFrame:

@@ -94,6 +94,17 @@ def test_co_changes_of_a_large_commit_equal_the_sql(spark):
     assert len(want) == 150 * 149 // 2 + 1 and history.co_changes(c, 2, most_files=200).count() == 0
 
 
+def test_lcov_reports_do_not_mix(spark, tmp_path):
+    one = "TN:\nSF:a.go\nDA:1,1\nDA:2,1\nDA:3,0\nend_of_record\nSF:c.go\nDA:1,x\nDA:2,4\nend_of_record\nDA:7,7\n"
+    two = "SF:b.go\r\nDA:1,0\r\nend_of_record\r\nSF:c.go\r\nDA:1,0\r\nSF:d.go\nDA:1,2\nDA:2,2\nDA:3,2\nDA:4,0\n"
+    want = {"a.go": 66.67, "b.go": 0.0, "c.go": 0.0, "d.go": 75.0}
+    (tmp_path / "1.info").write_bytes(one.encode())
+    (tmp_path / "2.info").write_bytes(two.encode())
+    assert {r.key: round(r.pct, 2) for r in src.read_lcov(spark, str(tmp_path), "r").collect()} == want
+    df = spark.createDataFrame([("r", one), ("r", two)], "repo_id string, value string")
+    assert {r.key: round(r.pct, 2) for r in src.parse_lcov(df).collect() if r.key != "c.go"} == {k: v for k, v in want.items() if k != "c.go"}
+
+
 def test_clone_pair(spark):
     text = "func a() { one two three four five six }"
     rows = [("r", p, True, ".go", text, NOW, i) for i, p in enumerate(("z.go", "a.go", "m.go"))]
