@@ -9,16 +9,20 @@ Only links that the components need are confirmed, so a group of copies costs ro
 proportion to its size:
 
 1. documents with equal sets are one class, represented by the smallest id;
-2. in each band bucket every class is compared with the bucket's smallest class;
+2. in each band bucket every class is compared with the bucket's hub: the class that shares the most
+   bucket places with others, which in a group of edited copies is the one nearest to all;
 3. the confirmed links give components. In a bucket that still holds several of them, classes
    are compared across components, but only where a link is possible at all: two classes share
    at most as many shingles as the poorer one has common ones, plus the rare ones (held by at most
    ``RARE`` documents) that they share. Independently edited copies, which fill such buckets,
    share none, and what a rare shingle joins is bounded by its few documents.
 
+Classes are joined by id as one row each, with their buckets in an array that is exploded afterwards.
+
 Defined cases: null or empty texts have an empty set and link with nothing; fewer than five
-words make one shingle; rows that share a doc_id are one document (links of any of its rows
-count, n_shingles is the largest); rows with a null doc_id are returned one by one, unlinked, with a null component and kept.
+words make one shingle; rows that share a doc_id are one document, for which the row with the largest
+set stands (ties: the greatest digest of the set); rows with a null doc_id are returned one by one, unlinked,
+with a null component and kept; extra columns are neither read nor returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ HASHES, ROWS = 160, 5
 BANDS = 2 * HASHES // ROWS
 #: A shingle that at most this many documents of the mixed buckets hold is rare.
 RARE = 32
+#: About so many documents are compared with one copy of their hub's text.
+CHUNK = 64
 #: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 
@@ -137,6 +143,10 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def _set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _signatures(batches):
     for b in slices(batches):
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
@@ -146,7 +156,7 @@ def _signatures(batches):
         sizes = np.zeros(len(sets), dtype=np.int32)
         sizes[full] = BANDS
         offsets[1:] = np.cumsum(sizes)
-        own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        own = [_set_key(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))],
             names=["doc_id", "n_shingles", "set_key", "bands"],
@@ -161,18 +171,20 @@ def _explode(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "shingle"])
 
 
-def _similar(batches):
-    """The pairs (a, b, text of a, text of b) whose full sets are similar enough."""
-    for b in slices(batches, "tb"):
-        left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-        texts = list(dict.fromkeys([*left, *right]))
-        sets = dict(zip(texts, shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])))
+def _against(batches):
+    """The pairs (hub, other) that are similar enough, from rows (hub, chunk, member, other, text) by hub and chunk, the hub's own row first."""
+    hub = None
+    for b in slices(batches):
+        sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column(4).to_pylist()])
         keep = []
-        for x, y in zip(left, right):
-            x, y = sets[x], sets[y]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared * 100 >= (len(x) + len(y) - shared) * SIMILAR)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for member, own in zip(b.column(2).to_pylist(), sets):
+            if member:
+                shared = len(np.intersect1d(hub, own, assume_unique=True))
+                keep.append(shared * 100 >= (len(hub) + len(own) - shared) * SIMILAR)
+            else:
+                hub = own
+                keep.append(False)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["hub", "other"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -208,16 +220,84 @@ def _alike(n_a: str, n_b: str):
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the texts travel, as they are smaller than the sets."""
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long")
+    """The links (a, b) among the pairs (hub, other) whose full sets are similar enough.
+
+    A hub's text travels once for about ``CHUNK`` of its partners, and a task holds one hub's set and one slice
+    of partners at a time, however many there are. Texts travel, as they are smaller than the sets.
+    """
+    pairs = pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    spread = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("spread"))
+    dealt = cut(pairs.join(spread, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.col("spread")).cast("int").alias("chunk")), "dealt")
+    hubs = dealt.select("hub", "chunk").distinct().join(texts, F.col("hub") == F.col("doc_id")).select("hub", "chunk", F.lit(False).alias("member"), F.col("hub").alias("other"), "text")
+    members = dealt.join(texts, F.col("other") == F.col("doc_id")).select("hub", "chunk", F.lit(True).alias("member"), "other", "text")
+    rows = hubs.unionByName(members).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
+    return rows.mapInArrow(_against, "hub long, other long").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
+
+
+def _company(classes: DataFrame) -> DataFrame:
+    """doc_id, n, hs, score: the classes that share a bucket, their shared buckets and those buckets' sizes together."""
+    slots = classes.select(F.explode("bands").alias("h"), "doc_id", "n")
+    shared = slots.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    return slots.join(shared, "h").groupBy("doc_id").agg(F.first("n").alias("n"), F.collect_list("h").alias("hs"), F.sum("size").alias("score"))
+
+
+def _stars(company: DataFrame) -> DataFrame:
+    """(a, b, hub), a < b: every class with the hub of each of its buckets, where the sizes allow a link."""
+    slots = company.select(F.explode("hs").alias("h"), "doc_id", "n", "score")
+    hubs = slots.groupBy("h").agg(F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("hub"))
+    pairs = slots.join(hubs, "h").where("doc_id <> hub.doc_id").where(_alike("n", "hub.n"))
+    return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"), F.col("hub.doc_id").alias("hub")).distinct()
+
+
+def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame | None:
+    """(a, b, hub), a < b: the untried pairs of classes that share a bucket, not a component, and could be linked."""
+    named = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    slots = named.select(F.explode("hs").alias("h"), "doc_id", "n", "c", "score")
+    mixed = slots.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    # one row a class: its buckets that hold several components, and whether it lies outside the first one somewhere
+    facts = slots.join(mixed, "h").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("score").alias("score"), F.collect_list("h").alias("hs"), F.max(F.col("c") != F.col("c0")).alias("outside"))
+    facts = cut(facts, "mixed")
+    if facts.isEmpty():
+        return None
+    grams = cut(texts.join(facts.select("doc_id"), "doc_id", "left_semi").mapInArrow(_explode, "doc_id long, shingle long"), "grams")
+    rare = grams.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = cut(grams.join(rare, "shingle"), "rare")
+    scarce = rare.groupBy("doc_id").agg(F.count("*").alias("r"))
+    facts = facts.join(scarce, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("r", F.lit(0)))
+    facts = cut(facts.drop("r"), "facts")
+    # J = i / (nx + ny - i) >= s  <=>  i * (100 + s) >= s * (nx + ny), and i <= common shingles of either + shared rare ones
+    need = (F.col("nx") + F.col("ny")) * SIMILAR
+    side = lambda d, x: d.select("h", F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x), F.col("score").alias("s" + x), F.col("hs").alias("h" + x))
+    # common shingles alone could do: only documents that are rich in them, bucket by bucket
+    rich = facts.where(F.col("common") * 100 >= F.col("n") * SIMILAR)
+    left = side(rich.where("outside").select("*", F.explode("hs").alias("h")), "x")
+    right = side(rich.select("*", F.explode("hs").alias("h")), "y")
+    # a pair that shares several buckets is made in the first of them (a document is in BANDS buckets at most)
+    once = F.col("h") == F.array_min(F.array_intersect("hx", "hy"))
+    usual = F.least("mx", "my") * (100 + SIMILAR) >= need
+    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where(usual).where(once).select("x", "sx", "y", "sy")
+    # else they have to share rare shingles, each of which few documents hold
+    shared = rare.where("df > 1").select("shingle", "doc_id")
+    met = shared.join(facts.where("outside").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "x").join(shared.withColumnRenamed("doc_id", "y"), "shingle").where("x <> y")
+    of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x), F.col("score").alias("s" + x))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("r")).join(of("x"), "x").join(of("y"), "y")
+    by_rare = met.where("cx <> cy").where((F.least("mx", "my") + F.col("r")) * (100 + SIMILAR) >= need).select("x", "sx", "y", "sy")
+    hub = F.when(F.struct("sx", -F.col("x")) > F.struct("sy", -F.col("y")), F.col("x")).otherwise(F.col("y"))
+    pairs = by_bucket.unionByName(by_rare).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hub.alias("hub"))
+    return cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
 
 
-def _mixed(slots: DataFrame, found: DataFrame) -> DataFrame:
-    """Slots (h, doc_id, n) with their component, of the buckets that hold several; c0 is the bucket's first."""
-    named = slots.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    return cut(named.join(mixed.select("h", "c0"), "h"), "mixed")
+def _repeated(rows: DataFrame) -> DataFrame | None:
+    """The ids that several rows share, or None."""
+    found = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    return None if found.isEmpty() else found
+
+
+def _set_keys(batches):
+    """(doc_id, set_key, text) of rows (doc_id, text)."""
+    for b in slices(batches):
+        sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_key(s) for s in sets], pa.binary()), b.column(1)], names=["doc_id", "set_key", "text"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,66 +305,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
     signed = cut(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    repeated = _repeated(signed)
+    if repeated is not None:  # the row with the largest set stands for its document
+        one = signed.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key", "bands")).alias("r")).select("doc_id", "r.*")
+        of_one = texts.join(repeated, "doc_id", "left_semi").mapInArrow(_set_keys, "doc_id long, set_key binary, text string")
+        of_one = of_one.join(one.select("doc_id", "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
+        signed = cut(signed.join(repeated, "doc_id", "left_anti").unionByName(one), "signatures")
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(of_one)
     usable = signed.where("doc_id is not null and set_key is not null")
     classes = cut(
         usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("set_key", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.bands"), "classes"
     )
     members = usable.join(classes.select("set_key", F.col("doc_id").alias("class_id")), "set_key").select("doc_id", "class_id")
 
-    slots = classes.select(F.explode("bands").alias("h"), "doc_id", "n")
-    first = slots.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a <> top")
-    buckets = cut(slots.join(first.select("h", "a"), "h"), "buckets")
-    ids = buckets.select("doc_id").distinct()
+    company = cut(_company(classes), "company")
+    ids = company.select("doc_id")
     if ids.limit(FEW + 1).count() <= FEW:
         ids = F.broadcast(ids)
     near = cut(texts.join(ids, "doc_id", "left_semi"), "near_texts")
-    sizes = classes.join(ids, "doc_id", "left_semi").select("doc_id", "n")
-    star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").where(_alike("na", "nb"))
-    tried = cut(star.select("a", "b"), "pairs")
+    tried = cut(_stars(company), "pairs")
     links = cut(_confirm(tried, near), "links")
     found = components(links)
-
-    slots = buckets.select("h", "doc_id", "n")
-    named = _mixed(slots, found)
-    grams = cut(near.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_explode, "doc_id long, shingle long"), "grams")
-    rare = grams.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = cut(grams.join(rare, "shingle"), "rare")
-    common = grams.groupBy("doc_id").agg(F.count("*").alias("all")).join(rare.groupBy("doc_id").agg(F.count("*").alias("r")), "doc_id", "left")
-    common = cut(common.select("doc_id", (F.col("all") - F.coalesce("r", F.lit(0))).alias("common")), "common")
-    able = F.col("common") * 100 >= F.col("n") * SIMILAR
-
-    loose = named.where("component <> c0").select("doc_id").distinct()
-    facts = named.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("component").alias("c")).join(common, "doc_id")
-    facts = cut(facts, "facts")
-    of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x))
-    # J = i / (nx + ny - i) >= s  <=>  i * (100 + s) >= s * (nx + ny), and i <= common shingles of either + shared rare ones
-    need = (F.col("nx") + F.col("ny")) * SIMILAR
-    usual = F.least("mx", "my") * (100 + SIMILAR) >= need
-    # common shingles alone could do: only documents that are rich in them, bucket by bucket
-    rich = named.join(facts.where(able).select("doc_id", "common"), "doc_id")
-    # a pair that shares several buckets is made in the first of them (a document is in BANDS buckets at most)
-    rich = rich.join(rich.groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "doc_id")
-    left = rich.where("component <> c0").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("common").alias("mx"), F.col("hs").alias("hx"))
-    right = rich.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("common").alias("my"), F.col("hs").alias("hy"))
-    once = F.col("h") == F.array_min(F.array_intersect("hx", "hy"))
-    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where(usual).where(once).select("x", "y")
-    # else they have to share rare shingles, each of which few documents hold
-    shared = rare.where("df > 1")
-    met = shared.join(loose, "doc_id", "left_semi").select("shingle", F.col("doc_id").alias("x")).join(shared.select("shingle", F.col("doc_id").alias("y")), "shingle").where("x <> y")
-    met = met.groupBy("x", "y").agg(F.count("*").alias("r")).join(of("x"), "x").join(of("y"), "y")
-    by_rare = met.where("cx <> cy").where((F.least("mx", "my") + F.col("r")) * (100 + SIMILAR) >= need).select("x", "y")
-    across = by_bucket.unionByName(by_rare).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
+    across = _across(company, found, near, tried)
+    if across is not None and not across.isEmpty():
         more = cut(_confirm(across, near), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
     of_class = classes.select(F.col("doc_id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     placed = members.join(of_class, "class_id").select("doc_id", "component")
-    known = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    placed = placed.groupBy("doc_id").agg(F.min("component").alias("component"))
+    known = signed.where("doc_id is not null").select("doc_id", "n_shingles")
     out = known.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     loose = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -296,11 +346,21 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies only the document with the smallest id stays."""
+    """Pipeline stage: of each group of near copies only the document with the smallest id stays.
+
+    Of rows that share an id the one with the longest text stays (ties: the greatest text); rows without
+    an id stay, as nothing tells them apart from other documents.
+    """
+    columns = docs.columns
     gone = cut(near_duplicates(docs).where("not kept").select("doc_id"), "gone")
     if gone.limit(FEW + 1).count() <= FEW:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*columns)
+    repeated = _repeated(left.select("doc_id"))
+    if repeated is None:
+        return left
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*columns), F.struct(F.length("text"), "text")).alias("r")).select("r.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(one)
 
 
 #: Words, shingles, all pairs that share a shingle, then reachability. Shingles are compared as text.
