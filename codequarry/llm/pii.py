@@ -36,7 +36,7 @@ CUES = ("iban", "account", "acct", "ssn", "passport", "token", "api_key", "apike
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP_RUN, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP_RUN, _IP = re.compile(r"[0-9.]+"), re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match never begins inside a number
 _CARD_RUN, _CARD = re.compile(r"[0-9 -]+"), re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:-]+@(?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+(?::[0-9]{1,5})?")
@@ -79,26 +79,28 @@ def iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
-def _account(text: str, at: int):
-    """The account value that starts behind a cue ending at ``at``, or None."""
+def _account(text: str, at: int, failed: int):
+    """The span of the account value behind a cue that ends at ``at``, or None; and where the last value that is no secret ends."""
     p = _CUE_GAP.match(text, at).end()
     if m := _IBAN.match(text, p):
         for e in range(m.end(), m.start() + 14, -1):  # the longest valid one
             if text[e - 1] != " " and iban_ok(text[p:e]):
-                return p, e
+                return (p, e), failed
     if m := _SSN.match(text, p):
-        return p, m.end()
-    if p > at and (m := _SECRET.match(text, p)):
+        return (p, m.end()), failed
+    # a part of a value without a letter or without a digit has none either
+    if p > at and p >= failed and (m := _SECRET.match(text, p)):
         v = m.group()
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-            return p, m.end()
-    return None
+            return (p, m.end()), failed
+        failed = m.end()
+    return None, failed
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """All spans of ``text`` by kind, in order and without overlaps inside a kind."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_end = ip_end = card_end = phone_end = address_end = account_end = 0
+    email_end = ip_end = card_end = phone_end = address_end = account_end = failed = 0
     for last, (kind, size) in _automaton().iter(text):
         if kind == "d":
             if last >= ip_end:
@@ -134,7 +136,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     address_end = m.end()
                     out["address"].append((start, address_end))
         elif last >= account_end and (last == size - 1 or not text[last - size].isalnum()):
-            if found := _account(text, last + 1):
+            found, failed = _account(text, last + 1, failed)
+            if found:
                 account_end = found[1]
                 out["account"].append(found)
     return out

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from codequarry.llm import pii
 
@@ -46,3 +49,15 @@ def test_operator_and_odd_rows(spark, odd_docs, no_docs):
     staged = pii.pii_stage(spark, odd_docs, "")
     assert staged.columns == odd_docs.columns
     assert "[PHONE]" in next(r.text for r in staged.collect() if r.doc_id is None and r.text)
+
+
+@pytest.mark.parametrize("piece", ["token=", "1", "1.", "a@", "password ", "+1", "1 ", "iban ", "http://", "mailto:", "1.1.1."])
+def test_hostile_texts_take_linear_time(piece):
+    begin = time.time()
+    pii.find_spans(piece * (1_000_000 // len(piece)))
+    assert time.time() - begin < 8
+
+
+def test_values_behind_failed_ones():
+    spans = pii.find_spans("token=token=token=abcdefgh12345678 password=abcdefghijklmnopqrst password=abcdefghijklmnop1")
+    assert [s for s in spans["account"]] == [(6, 34), (74, 91)]
