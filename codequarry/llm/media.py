@@ -1,9 +1,9 @@
 """Media columns: payloads stored in archives and read back by a Spark data source.
 
 Writing: each task packs its rows as WAV members (8-bit mono samples) into ZIP archives of
-about ``ARCHIVE`` bytes in shared storage. Reading: the data source ``media_archive`` plans
-one partition for each byte range of an archive. A partition reads the archive's central
-directory, takes the members whose local header begins inside its range, fetches and
+about ``ARCHIVE`` bytes in shared storage. Reading: the data source ``media_archive`` plans partitions of byte ranges
+of the archives, ``RANGE`` bytes each, or more where that would make over ``PARTITIONS`` partitions. A partition reads its
+archives' central directories, takes the members whose local header begins inside its ranges, fetches and
 decodes each by its offset, and streams them as Arrow batches. A member that fails is tried
 again by its own offset (``retries`` times) without touching its neighbours; if it keeps
 failing its row carries the error and a null payload.
@@ -32,6 +32,7 @@ from .archives import create, open_fs, task_file
 from .common import cut, id_and_text, shared_dir, ship, slices
 
 ARCHIVE, RANGE, BATCH, RETRIES, RATE = 32 << 20, 8 << 20, 4 << 20, 3, 8000
+PARTITIONS = 50_000  # the driver plans so many partitions at most, whatever the input
 _WAV = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -101,31 +102,43 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return folder, cut(id_and_text(docs, id_col, text_col).mapInArrow(_write(folder), "archive string, bytes long, members long"), "media_manifest")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, begin: int, end: int):
-        self.archive, self.begin, self.end = archive, begin, end
+class ByteRanges(InputPartition):
+    """Byte ranges (archive, begin, end) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 MEMBER = "archive string, offset long, doc_id long, n_bytes long, media binary, error string"
 
 
 class MediaArchiveReader(DataSourceReader):
-    """Options: archives (a manifest written by Spark), range_bytes, retries."""
+    """Options: archives (a manifest written by Spark), range_bytes, partitions (at most), retries."""
 
     def __init__(self, options):
         self.manifest = options["path"]
         self.range = int(options.get("range_bytes", RANGE))
         self.retries = int(options.get("retries", RETRIES))
+        self.most = int(options.get("partitions", PARTITIONS))
 
     def partitions(self):
-        import pyarrow.parquet as pq
+        import pyarrow.dataset as ds
 
         fs, path = open_fs(self.manifest)
-        table = pq.read_table(path, columns=["archive", "bytes"], filesystem=fs)
-        out = []
-        for archive, size in zip(*(table.column(i).to_pylist() for i in (0, 1))):
-            out += [ByteRange(archive, at, min(size, at + self.range)) for at in range(0, size, self.range)]
-        return out or [ByteRange("", 0, 0)]
+        manifest = ds.dataset(path, filesystem=fs, format="parquet")
+        rows = lambda: (r for b in manifest.to_batches(columns=["archive", "bytes"]) for r in zip(*(c.to_pylist() for c in b.columns)))
+        step = max(self.range, -(-sum(size for _, size in rows()) // self.most))
+        out, own, held = [], [], 0
+        for archive, size in rows():
+            at = 0
+            while at < size:
+                end = min(size, at + step - held)
+                own.append((archive, at, end))
+                held, at = held + end - at, end
+                if held == step:
+                    out.append(ByteRanges(own))
+                    own, held = [], 0
+        return [*out, ByteRanges(own)] if own or not out else out
 
     def _member(self, fs, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         problem = None
@@ -146,23 +159,22 @@ class MediaArchiveReader(DataSourceReader):
                 time.sleep(0.05 * 2**attempt if attempt < self.retries else 0)
         return None, problem
 
-    def read(self, partition: ByteRange):
-        if not partition.archive:
-            return
-        fs, path = open_fs(partition.archive)
+    def read(self, partition: ByteRanges):
         names = [x.split()[0] for x in MEMBER.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        with fs.open_input_file(path) as f:
-            members = [i for i in zipfile.ZipFile(f).infolist() if partition.begin <= i.header_offset < partition.end]
         rows, size = [], 0
-        for info in members:
-            media, error = self._member(fs, path, info)
-            doc, _, n = info.comment.decode().partition(",")
-            rows.append((partition.archive, info.header_offset, int(doc) if doc else None, int(n), media, error))
-            size += len(media or b"")
-            if size >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                rows, size = [], 0
+        for archive, begin, end in partition.ranges:
+            fs, path = open_fs(archive)
+            with fs.open_input_file(path) as f:
+                members = [i for i in zipfile.ZipFile(f).infolist() if begin <= i.header_offset < end]
+            for info in members:
+                media, error = self._member(fs, path, info)
+                doc, _, n = info.comment.decode().partition(",")
+                rows.append((archive, info.header_offset, int(doc) if doc else None, int(n), media, error))
+                size += len(media or b"")
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
