@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
-The page is read into a tree of elements by one tag pattern (raw-text elements, implied end
-tags and unclosed elements as browsers treat them). Elements that are boilerplate by their
+The page is read into a tree of elements in one pass (raw-text elements, implied end
+tags and unclosed elements much as browsers treat them). Elements that are boilerplate by their
 meaning (navigation, footers, asides, forms, scripts, adverts) are cut first. A class or id that names
 boilerplate cuts an element only as a whole token and unless the element holds most of the page's
 text outside links (then it stays, if no article lies beside it); a word of a longer name ("has-sidebar") only
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,16 +32,23 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WHITE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg canvas title xmp".split())
+RAW_TEXT = frozenset("script style textarea title xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend summary".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+#: Start tags that end open elements: the groups of elements that each ends, in the order they are looked for.
+ENDS = {"li": ("li", "p"), "dt": ("d", "p"), "dd": ("d", "p"), "tr": ("tr", "td"), "td": ("td",), "th": ("td",), "option": ("option",)}
+#: The group of an element that another start tag may end, and the elements beyond which a group isn't looked for.
+GROUP = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_WALLS = frozenset("article section div td table body html".split())
+WALLS = {"p": _WALLS, "li": _WALLS | {"ul", "ol", "menu"}, "d": _WALLS | {"dl"}, "tr": {"table", "body", "html"}, "td": {"table", "tr", "body", "html"}, "option": _WALLS | {"select"}}
+_NEAR = frozenset(GROUP) | frozenset().union(*WALLS.values())
 DROP = frozenset("head nav footer aside form button select input label dialog menu annotation annotation-xml".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -53,10 +61,18 @@ _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "weight")
+    """An element. ``near``: for each group the closest open element a start tag may end; ``paragraph``: the one that </p> ends."""
+
+    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "weight", "near", "paragraph", "marks")
 
     def __init__(self, tag: str, parent, drop: bool, named: int = 0):
         self.tag, self.parent, self.drop, self.items, self.named, self.weight = tag, parent, drop, [], named, 1.0
+        self.near = parent.near if parent is not None else {}
+        if tag in _NEAR:
+            self.near = {g: x for g, x in self.near.items() if tag not in WALLS[g]}
+            if tag in GROUP:
+                self.near[GROUP[tag]] = self
+        self.paragraph = self if tag == "p" else None if tag in BLOCK or parent is None else parent.paragraph
 
 
 def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
@@ -88,71 +104,139 @@ def _named(tag: str, rest: str) -> int:
     return found
 
 
+class _Tags:
+    """The tags of a page one after the other, in one pass.
+
+    A quoted attribute value may hold ">". When a quote is never closed, this tag and all behind it end at their first ">".
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end_of(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose attributes begin at ``at`` (the page's size if there is none)."""
+        page, first = self.page, at
+        while self.quotes:
+            m = _MARK.search(page, at)
+            if m is None:
+                return len(page)
+            if m.group() == ">":
+                return m.start()
+            close = page.find(m.group(), m.end())
+            self.quotes = close >= 0
+            at = close + 1
+        close = page.find(">", first)
+        return close if close >= 0 else len(page)
+
+    def __iter__(self):
+        """(begin, end, name, whether it is an end tag, attributes); for comments and the like the name is "", CDATA gives its text as attributes."""
+        page, size, at = self.page, len(self.page), 0
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin) or page.startswith("<![CDATA[", begin):
+                mark, skip = ("-->", 4) if page[begin + 2] == "-" else ("]]>", 9)
+                close = page.find(mark, begin + skip)
+                at = close + 3 if close >= 0 else size
+                own = page[begin + skip : close if close >= 0 else size] if skip == 9 else ""
+                at = (yield begin, at, "", False, own) or at
+                continue
+            if page[begin + 1 : begin + 2] in ("!", "?"):
+                close = page.find(">", begin)
+                at = close + 1 if close >= 0 else size
+                at = (yield begin, at, "", False, "") or at
+                continue
+            end = page.startswith("/", begin + 1)
+            m = _NAME.match(page, begin + 1 + end)
+            if m is None:
+                at = begin + 1
+                continue
+            close = self.end_of(m.end())
+            at = min(close + 1, size)
+            at = (yield begin, at, m.group().lower(), end, page[m.end() : close]) or at
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; text items are strings, dropped subtrees are kept empty."""
+    """The tree of a page; text items are strings, dropped subtrees are kept empty. Time is proportional to the page's size."""
     root = Node("html", None, False)
     open_, at, size = root, 0, len(page)
-    articles = 0
-    while at < size:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text and not open_.drop:
-            open_.items.append(text)
-        if not m:
+    articles, body = 0, False
+    scopes: list[Counter] = [Counter()]  # open elements by name since the last open article
+    unclosed: set[str] = set()
+    tags = iter(_Tags(page))
+    move = None
+
+    def close_to(node: Node) -> None:
+        """Close ``node`` and all that is open inside it."""
+        nonlocal open_, articles
+        while True:
+            articles -= open_.tag in ("article", "main")
+            if open_.tag == "article":
+                scopes.pop()
+            else:
+                scopes[-1][open_.tag] -= 1
+            last, open_ = open_, open_.parent
+            if last is node:
+                return
+
+    while True:
+        try:
+            begin, end, tag, ends, rest = tags.send(move)
+        except StopIteration:
             break
-        at = m.end()
-        if m["cdata"]:
-            if not open_.drop:
-                open_.items.append(m["cdata"])
+        move = None
+        if begin > at and not open_.drop:
+            open_.items.append(page[at:begin])
+        at = end
+        if not tag:
+            if rest and not open_.drop:
+                open_.items.append(rest)
             continue
-        if not m["name"]:
-            continue
-        tag = m["name"].lower()
-        if m["end"]:
-            node = open_
-            while node is not None and node.tag != tag:
-                if tag == "p" and node.tag in BLOCK or node.tag == "article" and tag not in ("body", "html", "main"):
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                articles -= _articles_between(open_, node)
-                open_ = node.parent
+        if ends:
+            if tag == "p":
+                node = open_.paragraph
+            elif tag == "article" and len(scopes) > 1 or scopes[-1][tag] or tag in ("body", "main") and any(x[tag] for x in scopes):
+                node = open_
+                while node.tag != tag:
+                    node = node.parent
+            else:
+                node = None
+            if node is not None:
+                close_to(node)
             elif tag == "p" and not open_.drop:
                 open_.items.append(Node("p", open_, False))
             continue
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(x, Node) and x.tag == "body" for x in root.items)):
+        if tag == "html" or tag == "body" and body:
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            ends, stop = ({"p"} if tag in CLOSES_P else set()) | SIBLINGS.get(tag, set()), SCOPES.get(tag, set()) | {"article", "section", "div", "td", "table", "body", "html"}
-            node = open_
-            while node.parent is not None and node.tag not in ends and node.tag not in stop:
-                node = node.parent
-            if node.tag in ends:
-                articles -= _articles_between(open_, node)
-                open_ = node.parent
-        node = Node(tag, open_, open_.drop or _dropped(tag, m["rest"], articles > 0), _named(tag, m["rest"]))
+        body = body or tag == "body"
+        for group in ENDS.get(tag, ("p",) if tag in CLOSES_P else ()):
+            if group in open_.near:
+                close_to(open_.near[group])
+                break
+        node = Node(tag, open_, open_.drop or _dropped(tag, rest, articles > 0), _named(tag, rest))
         open_.items.append(node)
-        if tag in VOID or m["rest"].endswith("/") and tag in RAW:
+        if tag in VOID or rest.endswith("/") and tag in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            # all up to the end tag; without one, text elements end with their parent and the others are empty
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if close is not None:
+                at = move = close.end()
+            else:
+                unclosed.add(tag)
+                if tag in RAW_TEXT:
+                    own = re.compile(rf"</{re.escape(open_.tag)}\s*>", re.I).search(page, at)
+                    at = move = own.start() if own else size
             continue
         articles += tag in ("article", "main")
+        if tag == "article":
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
         open_ = node
+    if at < size and not open_.drop:
+        open_.items.append(page[at:])
     return root
 
 
-def _articles_between(node: Node, top: Node) -> int:
-    n = 0
-    while True:
-        n += node.tag in ("article", "main")
-        if node is top:
-            return n
-        node = node.parent
-
-
 def _measure(root: Node) -> list[Node]:
     """Counts of every kept node (children before parents); returns the nodes, parents first."""
     order, stack = [], [root]
@@ -191,10 +275,16 @@ def _judge(order: list[Node]) -> bool:
     named = [n for n in order if n.named]
     if not named:
         return False
-    root, marks = order[0], [n for n in order if n.tag in ("article", "main") and n.chars]
+    root, inside = order[0], {id(n): 0 for n in order}
+    for node in reversed(order):  # articles inside each element, itself included
+        inside[id(node)] += node.tag in ("article", "main") and node.chars > 0
+        if node.parent is not None:
+            inside[id(node.parent)] += inside[id(node)]
+    for node in order:  # and around it
+        node.marks = (node.parent.marks if node.parent is not None else 0) + (node.tag in ("article", "main") and node.chars > 0)
     for node in named:
         most = 2 * (node.chars - node.link_chars) > root.chars - root.link_chars
-        beside = any(node not in _upwards(m) and m not in _upwards(node) for m in marks)
+        beside = inside[id(root)] > inside[id(node)] + node.marks  # an article that lies neither in it nor around it
         if node.named == 2 and (beside or not most):
             node.drop = True
         elif not most:

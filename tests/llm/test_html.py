@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 import pytest
 
 from codequarry.llm import html_text
@@ -73,3 +77,68 @@ def test_operator(spark):
     assert next(r for r in got if r.page_id == 3).n_chars == len((LONG * 20_000).strip())
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def plain_density(tree, body):
+    """Counts and density of (tag, children) by their definitions: characters, tags, link characters, link tags."""
+
+    def chars(n, inside=False, links=False):
+        inside = inside or n[0] == "a"
+        return sum((len(x.replace(" ", "")) if not links or inside else 0) if isinstance(x, str) else chars(x, inside, links) for x in n[1])
+
+    def tags(n, name=None):
+        return sum((name in (None, x[0])) + tags(x, name) for x in n[1] if not isinstance(x, str))
+
+    def link_tags(n):
+        return (n[0] == "a") + tags(n, "a")
+
+    c, t, lc, lt = chars(tree), tags(tree), chars(tree, links=True), link_tags(tree)
+    if not c:
+        return c, t, lc, lt, 0.0
+    share = chars(body, links=True) / chars(body)
+    low = math.log(1 + math.log(c * lc / max(c - lc, 1) + share * c + math.e))
+    return c, t, lc, lt, max(0.0, c / max(t, 1) * math.log(max(c * max(t, 1) / (max(lc, 1) * max(lt, 1)), 1)) / low)
+
+
+def test_density_of_random_trees():
+    rnd = random.Random(4)
+
+    def grow(depth):
+        kids = []
+        for _ in range(rnd.randint(1, 4)):
+            kids.append("w" * rnd.randint(1, 30) + " x" if depth > 4 or rnd.random() < 0.4 else (rnd.choice(["div", "section", "span", "b"]), grow(depth + 1)) if rnd.random() < 0.7 else ("a", ["link " * rnd.randint(1, 5)]))
+        return kids
+
+    def page(n):
+        return f"<{n[0]}>" + "".join(x if isinstance(x, str) else page(x) for x in n[1]) + f"</{n[0]}>"
+
+    def walk(node, tree, body):
+        assert node.tag == tree[0]
+        assert (node.chars, node.tags, node.link_chars, node.link_tags) == (want := plain_density(tree, body))[:4]
+        assert math.isclose(node.density, want[4], abs_tol=1e-9)
+        own = [x for x in node.items if not isinstance(x, str)]
+        kids = [x for x in tree[1] if not isinstance(x, str)]
+        assert len(own) == len(kids) and math.isclose(node.total, sum(plain_density(k, body)[4] for k in kids), abs_tol=1e-9)
+        for a, b in zip(own, kids):
+            walk(a, b, body)
+
+    for _ in range(40):
+        tree = ("html", grow(0))
+        root = html_text.parse(page(tree)[len("<html>") : -len("</html>")])
+        html_text._measure(root)
+        walk(root, tree, tree)
+
+
+def test_unclosed_elements():
+    assert html_text.main_text("<iframe><p>a</p>") == "a"
+    assert html_text.main_text("<div><script>x</div><p>a</p>") == "a"
+    assert html_text.main_text("<ul><li><p>a<li>b</ul><table><tr><td>c<tr><td>d</table>") == "a\n\nb\n\nc\n\nd"
+    assert html_text.main_text('<p title="a>b</p><p>c</p>') == "b\n\nc"
+
+
+@pytest.mark.parametrize("piece", ['<a x"', '<a ">"', "<div>", "</span>", "<b><h1>", "<iframe>", '<div class="menu">x</div>', "<li>", "<", "<!--", "<td>"])
+def test_hostile_pages_take_linear_time(piece):
+    for before, after in (("", ""), ("<span><article>", "</span>" * 5_000), ("<p><table>", "</p>" * 5_000), ("", '"')):
+        begin = time.time()
+        html_text.main_text(before + piece * (500_000 // len(piece)) + after)
+        assert time.time() - begin < 5
