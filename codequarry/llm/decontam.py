@@ -14,6 +14,10 @@ within k edits, and all of them lie on k + 1 neighbouring diagonals (text place
    counted there for each passage;
 3. passages that reach their bound in a band are verified by banded alignment within the edit budget.
 
+A long text is searched in overlapping windows of ``WINDOW`` characters, each of which holds every match that begins in
+it whole; windows of one text with equal characters (repeated lines) are searched once. Looked-up q-grams are
+dealt with in groups of windows, about ``ENTRIES`` at a time, so memory is bounded on hostile texts too.
+
 The benchmark goes to the tasks in blocks of at most ``BLOCK`` characters, one job a block, so what is
 broadcast is bounded however large the benchmark is; the documents are never shuffled.
 
@@ -24,6 +28,8 @@ a null item text is empty; empty tables give empty results. Positions are those
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +41,7 @@ Q, EDITS = 8, 12  # one edit for every EDITS characters
 WHOLE, PASSAGE, STEP = 160, 128, 64
 LEAK, LEAK_STEP = 72, 4
 BLOCK = 4_000_000
+WINDOW, ENTRIES = 4_096, 1_000_000
 _BITS = 22
 _B = np.uint32(0x9E3779B1)
 
@@ -142,11 +149,43 @@ class Passages:
     def code(self) -> list[np.ndarray]:
         return [self.codes[k][a : a + n] for k, a, n in zip(self.of, self.begin, self.size)]
 
+    def windows(self, code: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, begin, end) of the stretches to search: whole texts, long ones as their different windows."""
+        reach = int((self.size + 2 * self.budget).max())
+        size = max(WINDOW, 4 * reach)
+        out = []
+        for t, (a, b) in enumerate(zip(begins[:-1].tolist(), (begins[1:] - 1).tolist())):
+            if b - a <= size:
+                out.append((t, a, b))
+                continue
+            seen = set()
+            for x in range(a, b - reach, size - reach):
+                y = min(x + size, b)
+                own = hashlib.blake2b(code[x:y].tobytes(), digest_size=16).digest()
+                if own not in seen:
+                    seen.add(own)
+                    out.append((t, x, y))
+        return out
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits): the best place of each item in each text, by the longest level that has one."""
         if not len(self.size):
             return []
-        code, begins = normalise(texts)
+        whole, begins = normalise(texts)
+        spans = self.windows(whole, begins)
+        code = np.concatenate([np.append(whole[a:b], np.uint32(0)) for _, a, b in spans]) if spans else whole
+        edges = np.concatenate([[0], np.cumsum([b - a + 1 for _, a, b in spans])])
+        best: dict[tuple[int, int], tuple] = {}
+        for w, item, begin, end, edits, level in self._search(code, edges):
+            t, a, _ = spans[w]
+            row = (level, edits, a - int(begins[t]) + begin, a - int(begins[t]) + end)
+            key = (t, item)
+            if key not in best or row[:2] < best[key][:2]:
+                best[key] = row
+        return [(t, item, begin, end, edits) for (t, item), (_, edits, begin, end) in sorted(best.items(), key=lambda f: f[0][0])]
+
+    def _search(self, code: np.ndarray, begins: np.ndarray):
+        """(window, item, begin, end, edits, level) of the best place of each item in each window, in order of the windows."""
         h = grams(code)
         hit = np.flatnonzero(self.bits[h >> np.uint32(32 - _BITS)])
         # a hit stays if some window of one passage's reach around it holds enough hits
@@ -160,18 +199,31 @@ class Passages:
                 near |= np.cumsum(mark[:-1]) > 0
         hit = hit[near]
         if not len(hit):
-            return []
+            return
         lo, hi = np.searchsorted(self.h, h[hit]), np.searchsorted(self.h, h[hit], side="right")
         n = hi - lo
         some = n > 0
         hit, lo, n = hit[some], lo[some], n[some]
+        window = np.searchsorted(begins, hit, side="right") - 1
+        upto = np.concatenate([[0], np.cumsum(n)])
+        starts = np.append(np.flatnonzero(np.diff(window, prepend=-1)), len(hit))  # where each window's hits begin
+        at = 0
+        while at < len(starts) - 1:
+            # whole windows, as many as hold about ENTRIES entries together, one at least
+            to = max(at + 1, int(np.searchsorted(upto[starts], upto[starts[at]] + ENTRIES, side="right")) - 1)
+            part = slice(starts[at], starts[to])
+            yield from self._verify(code, begins, hit[part], lo[part], n[part])
+            at = to
+
+    def _verify(self, code: np.ndarray, begins: np.ndarray, hit: np.ndarray, lo: np.ndarray, n: np.ndarray):
+        """Bands, counts and alignment of the hits (places in ``code``), whose q-grams are the entries from ``lo`` on."""
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place, of, at = np.repeat(hit, n), self.owner[entry], self.at[entry]
         # texts lie so far apart here that no band covers diagonals of two of them
         apart = 2 * self.width + self.longest
         text = np.repeat(np.searchsorted(begins, hit, side="right") - 1, n)
         band = (place + text * apart - at + self.longest) // self.width + 1
-        most = (len(code) + len(texts) * apart + self.longest) // self.width + 3
+        most = (len(code) + len(begins) * apart + self.longest) // self.width + 3
         key = np.concatenate([of * most + band, of * most + band - 1])
         bands = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]])) if len(bands) else []
@@ -180,7 +232,7 @@ class Passages:
         enough = rough >= self.least[bands // most]
         stay = np.flatnonzero(enough[np.searchsorted(bands, key)])
         if not len(stay):
-            return []
+            return
         bands, first, group = np.unique(key[stay], return_index=True, return_inverse=True)
         text = text[stay[first] % len(place)]
         own, low = bands // most, (bands % most - 1) * self.width - self.longest - text * apart
@@ -191,7 +243,8 @@ class Passages:
         ends = np.searchsorted(spots, np.append(base, len(bands) * wide))
         left, right = spots[ends[:-1]] - base, spots[ends[1:] - 1] - base
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for a, b in zip(self.level[:-1], self.level[1:]):
+        levels: dict[tuple[int, int], int] = {}
+        for level, (a, b) in enumerate(zip(self.level[:-1], self.level[1:])):
             if a == b:
                 continue
             line = self.of[a:b] * wide + self.begin[a:b]
@@ -217,7 +270,9 @@ class Passages:
                 placed = align(own_code, code[x:y], budget)
                 if placed and (key not in found or placed[2] < found[key][2]):
                     found[key] = (x + placed[0] - int(begins[t]), x + placed[1] - int(begins[t]), placed[2])
-        return [(t, item, *x) for (t, item), x in sorted(found.items(), key=lambda f: f[0][0])]
+                    levels[key] = level
+        for (t, item), x in sorted(found.items(), key=lambda f: f[0][0]):
+            yield t, item, *x, levels[t, item]
 
 
 def align(passage: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -114,3 +115,28 @@ def test_stage_drops_only_what_leaks(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = decontam.decontamination_stage(spark, df, str(tmp_path))
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
+
+
+ITEM = "the quick answer to the benchmark question is forty two and nothing else"
+
+
+def test_repeated_text_is_searched_once_and_bounded():
+    index = decontam.Passages([(0, "word " * 40), (1, ITEM), (2, "word " * 30 + "another end of it")])
+    begin = time.time()
+    got = index.matches(["word " * 400_000, "line of text\n" * 100_000 + ITEM + " line of text" * 50_000])
+    assert time.time() - begin < 20
+    assert {(t, i) for t, i, *_ in got} == {(0, 0), (0, 2), (1, 1)}
+
+
+def test_windows_find_what_the_whole_text_holds(monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, say(rnd.choice([6, 14, 40, 90]))) for i in range(12)]
+    texts = [" ".join([say(rnd.randint(0, 900)), items[rnd.randrange(12)][1], say(300), items[rnd.randrange(12)][1], say(rnd.randint(0, 200))]) for _ in range(12)]
+    index = decontam.Passages(items)
+    monkeypatch.setattr(decontam, "WINDOW", 10**9)
+    whole = index.matches(texts)
+    monkeypatch.setattr(decontam, "WINDOW", 700)
+    monkeypatch.setattr(decontam, "ENTRIES", 50)
+    assert {(t, i, e) for t, i, _, _, e in index.matches(texts)} == {(t, i, e) for t, i, _, _, e in whole}
