@@ -15,6 +15,7 @@ import os
 import tempfile
 import zipfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,9 +25,17 @@ from pyspark.sql import functions as F
 from ..storage import cut, shared_dir  # noqa: F401 - the operators take them from here
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; rows alone don't bound it, as texts may be long.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session (they may not share the driver's path)."""
+    """Send this package to the executors once a session (they may not share the driver's path).
+
+    Also bounds the bytes of Arrow batches.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_codequarry_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -77,19 +86,41 @@ def crc_unsigned(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def labelled_sample(rows: DataFrame, text: DataFrame, most: int, longest: int) -> list:
-    """At most ``most`` labelled rows (doc_id, label) of the training folds, with their texts.
+def labelled_sample(rows: DataFrame, text: DataFrame, most: int, chars: int, even: bool = False) -> list:
+    """At most ``most`` labelled rows (doc_id, label) of the training folds, with their whole texts.
 
     The rows are those with the smallest hashes of their ids: the same at every run and for
-    every partitioning, and spread evenly. Only their ids and labels are ordered; the texts come
-    by a join with these at most ``most`` ids. Texts are cut at ``longest`` characters here
-    (a bound on the driver's memory; scores always take whole texts).
+    every partitioning, and spread evenly. With ``even`` each label gets an equal share of ``most`` (so that a rare one
+    is learned too), else labels come as often as they are. Only ids, labels and sizes are ordered; the texts come
+    by a join with these at most ``most`` ids. No text is cut: in the order of their hashes, rows are taken as long as the
+    texts hold at most ``chars`` characters together, which bounds the driver's memory; a row that
+    would go beyond is passed over.
     """
-    chosen = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold() != 0))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).collect()
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold() != 0)).withColumn("order", F.xxhash64("doc_id"))
+    spark = text.sparkSession
+    if even:
+        # the commonest `most` labels at most; a cut by the hash leaves a bounded number of ids of each, with room to spare
+        counts = cut(rows.groupBy("label").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "label").limit(most), "labels")
+        each = max(1, most // max(1, counts.count()))
+        rows = rows.withColumn("order", F.pmod(F.col("order"), F.lit(1 << 30)))
+        near = rows.join(F.broadcast(counts), "label").where(F.col("order") / float(1 << 30) * F.col("rows") <= 2 * each + 50)
+        chosen, seen = [], Counter()
+        for r in sorted(near.select("doc_id", "label", "order").collect(), key=lambda r: (r["order"], r.doc_id, str(r.label))):
+            seen[r.label] += 1
+            if seen[r.label] <= each:
+                chosen.append(r)
+    else:
+        chosen = rows.orderBy("order", "doc_id", "label").limit(most).select("doc_id", "label", "order").collect()
     if not chosen:
         return []
-    spark = text.sparkSession
-    few = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], rows.select("doc_id", "label").schema)
-    found = text.join(F.broadcast(few), "doc_id").select("doc_id", F.substring("text", 1, longest).alias("text"), "label")
-    return sorted(((r.doc_id, r.text, r.label) for r in found.collect()), key=lambda r: (r[0], r[1]))
+    kind = rows.schema["label"].dataType.simpleString()
+    few = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], f"doc_id long, label {kind}, order long"))
+    sized = text.join(few, "doc_id").select("doc_id", "label", "order", F.length("text").alias("size")).collect()
+    left, kept = chars, []
+    for r in sorted(sized, key=lambda r: (r["order"], r.doc_id, str(r.label), r["size"])):
+        if r["size"] <= left:
+            left -= r["size"]
+            kept.append((r.doc_id, r.label, r["size"]))
+    few = F.broadcast(spark.createDataFrame(kept, f"doc_id long, label {kind}, size int").distinct())
+    found = text.withColumn("size", F.length("text")).join(few, ["doc_id", "size"]).select("doc_id", "text", "label").collect()
+    return sorted(((r.doc_id, r.text, r.label) for r in found), key=lambda r: (r[0], r[1]))

@@ -2,38 +2,42 @@
 
 Every language has its own probabilities for the pieces of one fixed public vocabulary.
 The probability of a word is the sum over all ways to cut it into pieces, by the forward
-algorithm; a text's is the product over its words (runs of letters, lower-cased, marked at
+algorithm; a text's is the product over its words (runs of letters of any length, lower-cased, marked at
 their begin). Forward sums run over many words at once in numpy and workers keep
-the scores of words they have met (at most ``CACHE``), so a repeated word costs one lookup.
+the scores of short words they have met, so a repeated word costs one lookup; words of ``LONG`` letters or more
+are summed on their own, scaled at every letter, in segments of bounded memory.
 
-The probabilities are learned by expectation maximisation (forward and backward sums) from
-at most ``SAMPLE`` labelled documents of the training folds (see ``labelled_sample``; each cut at
-``LONGEST`` characters for training only). Language, source and id are no inputs of a prediction.
+The probabilities are learned by expectation maximisation (forward and backward sums) from a sample of the
+labelled documents of the training folds: whole texts, at most ``SAMPLE`` rows shared evenly among the languages and at
+most ``CHARS`` characters (see ``labelled_sample``). Language, source and id are no inputs of a prediction.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text
+Defined cases: a text that is null or has no letter (Unicode category L) is ``und`` with score 0, as is every text
 when nothing is labelled; ties go to the first language in alphabetical order; repeated rows
-give repeated results; a null doc_id belongs to the held-out fold.
+give repeated results; a null doc_id belongs to the held-out fold; extra columns are neither read nor returned by
+``predict`` and stay as they are in ``language_stage``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, id_and_text, labelled_sample, ship, slices
 from .token_counts import vocabulary_path
 
-SAMPLE, LONGEST, ROUNDS, SMOOTH = 3_000, 20_000, 3, 0.5
-CACHE, WORD, UNKNOWN = 300_000, 32, 1e-7
+SAMPLE, CHARS, ROUNDS, SMOOTH = 3_000, 12_000_000, 3, 0.5
+LONG, SEGMENT, UNKNOWN = 32, 4_096, 1e-7
+#: Scores that a worker keeps: at most so many words, and at most so many numbers in all.
+CACHE, CACHE_NUMBERS = 300_000, 4_000_000
 VOCABULARY, UND = "piece_bpe_32k.model", "und"
 
-words_of = re.compile(r"[^\W\d_]+").findall
+words_of = regex.compile(r"\p{L}+").findall
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
 
@@ -98,13 +102,8 @@ def table(path: str) -> Table:
 
 
 def split_words(text: str) -> list[str]:
-    """The marked words of a text; very long runs of letters are cut every ``WORD`` letters."""
-    out = []
-    for w in words_of(text.lower()):
-        out.append("▁" + w if len(w) < WORD else "▁" + w[: WORD - 1])
-        if len(w) >= WORD:
-            out += [w[i : i + WORD] for i in range(WORD - 1, len(w), WORD)]
-    return out
+    """The marked words of a text."""
+    return ["▁" + w for w in words_of(text.lower())]
 
 
 def lattice(t: Table, words: list[str]):
@@ -135,6 +134,40 @@ def forward(t: Table, words: list[str], P: np.ndarray):
     return alpha, edges
 
 
+def long_word(t: Table, word: str, P: np.ndarray, factors: bool = False):
+    """The log probability of a word of any length in each language, summed over all its segmentations.
+
+    ``window[k - 1]`` is the forward sum at k letters before the present one over that at the letter before, so
+    nothing runs out of range; each step's factor is the ratio of neighbouring forward sums. With
+    ``factors`` these ratios (letters, languages) are returned instead of their summed logarithms.
+    """
+    reach, languages = t.longest, P.shape[1]
+    known = np.concatenate([P, np.zeros((1, languages))])  # piece -1, none, is the last row
+    window = np.zeros((reach, languages))
+    window[0] = 1.0
+    total, kept = np.zeros(languages), []
+    for at in range(0, len(word), SEGMENT):
+        first = max(0, at - reach + 1)
+        part = word[first : at + SEGMENT]
+        edges, n = lattice(t, [part])[0], min(SEGMENT, len(word) - at)
+        step = np.zeros((n, reach, languages))
+        for k, e in edges.items():
+            begin = np.arange(at + 1 - k, at + n + 1 - k) - first  # of the pieces of k letters that end at each place
+            fits = np.flatnonzero(begin >= 0)
+            step[fits, k - 1] = known[e[0][begin[fits]]]
+        alone = edges[1][0][at - first : at - first + n]
+        step[alone < 0, 0] = UNKNOWN
+        ratio = np.empty((n, languages))
+        for i in range(n):
+            ratio[i] = (window * step[i]).sum(0)
+            window[1:] = window[:-1] / ratio[i]
+            window[0] = 1.0
+        total += np.log(ratio).sum(0)
+        if factors:
+            kept.append(ratio)
+    return np.concatenate(kept) if factors else total
+
+
 def by_length(words) -> list[list[str]]:
     groups = defaultdict(list)
     for w in words:
@@ -144,13 +177,31 @@ def by_length(words) -> list[list[str]]:
 
 def word_scores(path: str, words: list[str], P: np.ndarray) -> dict[str, np.ndarray]:
     """The log probability of each word in each language."""
-    out = {}
-    for group in by_length(words):
+    out = {w: long_word(table(path), w, P) for w in words if len(w) >= LONG}
+    for group in by_length(w for w in words if len(w) < LONG):
         alpha, _ = forward(table(path), group, P)
         out.update(zip(group, np.log(alpha[-1] + 1e-300)))
     return out
 
 
+def _expect_long(t: Table, word: str, weight: np.ndarray, P: np.ndarray, expected: np.ndarray) -> None:
+    """Add the expected piece counts of one long word. ``after[i]``: how likely a piece ends at place i, times the weight."""
+    ratio = long_word(t, word, P, factors=True)
+    size, languages = ratio.shape
+    edges, known = lattice(t, [word])[0], np.concatenate([P, np.zeros((1, languages))])
+    after = np.zeros((size + 1, languages))
+    after[size] = weight
+    for i in range(size - 1, -1, -1):
+        reach = min(size - i, t.longest)
+        piece = np.array([edges[k][0][i] for k in range(1, reach + 1)])
+        p = known[piece]
+        if piece[0] < 0:
+            p[0] = UNKNOWN
+        flow = p / np.cumprod(ratio[i : i + reach], axis=0) * after[i + 1 : i + reach + 1]
+        after[i] = flow.sum(0)
+        expected[piece[piece >= 0]] += flow[piece >= 0]  # pieces that begin at one place differ
+
+
 def train(texts: list[str], labels: list[str], path: str) -> tuple[list[str], np.ndarray]:
     """The languages in order and the piece probabilities (pieces, languages)."""
     languages = sorted(set(labels))
@@ -169,7 +220,9 @@ def train(texts: list[str], labels: list[str], path: str) -> tuple[list[str], np
     P = np.repeat((start / start.sum())[:, None], len(languages), axis=1)
     for _ in range(ROUNDS):
         expected = np.full((t.size, len(languages)), SMOOTH)
-        for group in by_length(counts):
+        for word in (w for w in counts if len(w) >= LONG):
+            _expect_long(t, word, counts[word], P, expected)
+        for group in by_length(w for w in counts if len(w) < LONG):
             weight = np.array([counts[w] for w in group])
             alpha, edges = forward(t, group, P)
             size = len(alpha) - 1
@@ -192,30 +245,42 @@ def train(texts: list[str], labels: list[str], path: str) -> tuple[list[str], np
 
 
 class Predictor:
+    """Predicts texts with a trained model; keeps the scores of the short words it has met."""
+
     def __init__(self, languages: list[str], P: np.ndarray, path: str):
         self.languages, self.P, self.path = languages, P, path
         self.row: dict[str, int] = {}
-        self.scores = np.zeros((CACHE, len(languages)))
+        self.most = min(CACHE, CACHE_NUMBERS // max(len(languages), 1))
+        self.scores = np.zeros((self.most, len(languages)))
+
+    def _learn(self, words: list[str]) -> None:
+        at = len(self.row)
+        for group in by_length(words):
+            alpha, _ = forward(table(self.path), group, self.P)
+            self.scores[at : at + len(group)] = np.log(alpha[-1] + 1e-300)
+            self.row.update(zip(group, range(at, at + len(group))))
+            at += len(group)
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         docs = [split_words(t) for t in texts]
+        if not self.languages:
+            return [(UND, 0.0)] * len(docs)
+        long = [[w for w in d if len(w) >= LONG] for d in docs]
+        docs = [[w for w in d if len(w) < LONG] if x else d for d, x in zip(docs, long)]
         missing = list({w for d in docs for w in d if w not in self.row})
         if len(self.row) + len(missing) > len(self.scores):
             self.row.clear()
             missing = list({w for d in docs for w in d})
-            self.scores = np.zeros((max(CACHE, len(missing)), len(self.languages)))
-        at = len(self.row)
-        for group in by_length(missing) if self.languages else ():
-            alpha, _ = forward(table(self.path), group, self.P)
-            self.scores[at : at + len(group)] = np.log(alpha[-1] + 1e-300)
-            self.row.update(zip(group, range(at, at + len(group))))
-            at += len(group)
+            self.scores = np.zeros((max(self.most, len(missing)), len(self.languages)))
+        self._learn(missing)
         out = []
-        for d in docs:
-            if not d or not self.languages:
+        for d, more in zip(docs, long):
+            if not d and not more:
                 out.append((UND, 0.0))
                 continue
             x = self.scores[np.fromiter(map(self.row.__getitem__, d), np.int64, len(d))].sum(0)
+            for w in more:
+                x = x + long_word(table(self.path), w, self.P)
             k = int(np.argmax(x))
             out.append((self.languages[k], float(1 / np.exp(x - x[k]).sum())))
         return out
@@ -223,7 +288,7 @@ class Predictor:
 
 def fit(docs: DataFrame, path: str | None = None, most: int = SAMPLE):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    sample = labelled_sample(rows, id_and_text(docs), most, LONGEST)
+    sample = labelled_sample(rows, id_and_text(docs), most, CHARS, even=True)
     return train([t for _, t, _ in sample], [x for _, _, x in sample], path or vocabulary_path(VOCABULARY))
 
 

@@ -7,8 +7,8 @@ and goes into a softmax of two classes. A document is as toxic as its most toxic
 keeps a few words visible in a very long text. In training every passage takes its document's label
 at first; later only the passages that look like their document's most toxic one keep it.
 
-The model learns from at most ``SAMPLE`` labelled documents of the training folds (see
-``labelled_sample``; each cut at ``LONGEST`` characters for training only). Labels, language,
+The model learns from at most ``SAMPLE`` labelled documents of the training folds, whole texts of at most ``CHARS``
+characters together (see ``labelled_sample``). Labels, language,
 source and id are never inputs of a score.
 
 Defined cases: null or empty texts and texts without words get the score of an empty passage
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, id_and_text, labelled_sample, ship, slices
 
-SAMPLE, LONGEST = 3_000, 20_000
+SAMPLE, CHARS = 3_000, 12_000_000
 BUCKETS, SIZE, PASSAGE, LEAST = 1 << 17, 4, 24, 8
 EPOCHS, SETTLE, RATE, RIDGE, PRIOR, COMMON, SEED = 91, 30, 0.3, 0.1, 10.0, 3, 7
 CACHE = 400_000
@@ -48,7 +48,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mult = np.uint64(0x100000001B3)
     h = np.full(len(codes), 0xCBF29CE484222325, dtype=np.uint64)
     ids, of = [], []
-    for n in range(1, 6):
+    for n in range(1, min(5, len(codes)) + 1):
         h[: len(codes) - n + 1] = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * mult
         if n >= 3:
             whole = left >= n
@@ -188,7 +188,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, float]:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    sample = labelled_sample(rows, id_and_text(docs), most, LONGEST)
+    sample = labelled_sample(rows, id_and_text(docs), most, CHARS)
     return train([t for _, t, _ in sample], [int(x > 0) for _, _, x in sample])
 
 

@@ -2,7 +2,10 @@ import math
 import random
 import zlib
 
+import numpy as np
+
 from codequarry.llm import langid, toxicity
+from codequarry.llm.common import labelled_sample
 
 
 def held(i):
@@ -59,6 +62,96 @@ def test_forward_sums_all_segmentations():
             assert abs(got[w][g] - math.log(a[-1])) < 1e-9
 
 
+def test_long_runs_equal_the_plain_recursion():
+    path = langid.vocabulary_path(langid.VOCABULARY)
+    _, p = langid.train(["the cat sat on the mat", "der Hund und die Donaudampfschifffahrtsgesellschaftskapitänsmütze"], ["en", "de"], path)
+    number = {q: i for i, q in enumerate(langid.pieces(path))}
+    t, rnd = langid.table(path), random.Random(6)
+    for n in (2, 31, 32, 33, 500, 10_000):
+        w = "▁" + "".join(rnd.choice("etaoinshrdlu日ßж") for _ in range(n - 1))
+        got = langid.long_word(t, w, p)
+        for g in range(2):
+            a = [0.0]
+            for i in range(1, len(w) + 1):
+                terms = []
+                for k in range(1, min(i, t.longest) + 1):
+                    q = w[i - k : i]
+                    x = p[number[q], g] if q in number else langid.UNKNOWN if k == 1 else 0.0
+                    if x:
+                        terms.append(a[i - k] + math.log(x))
+                top = max(terms)
+                a.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+            assert math.isclose(got[g], a[-1], rel_tol=1e-9)
+
+
+def test_expectations_of_long_runs():
+    """The scaled sums give the same expected counts as all segmentations written out."""
+    path = langid.vocabulary_path(langid.VOCABULARY)
+    _, p = langid.train(["the cat sat on the mat"], ["en"], path)
+    number = {q: i for i, q in enumerate(langid.pieces(path))}
+    w, want, total = "▁thecat", {}, 0.0
+
+    def cuts(at):
+        if at == len(w):
+            yield []
+        for k in range(1, len(w) - at + 1):
+            q = w[at : at + k]
+            if q in number or k == 1:
+                yield from ([q, *rest] for rest in cuts(at + k))
+
+    for way in cuts(0):
+        x = math.prod(p[number[q], 0] if q in number else langid.UNKNOWN for q in way)
+        total += x
+        for q in way:
+            want[q] = want.get(q, 0.0) + x
+    expected = np.zeros((len(number), 1))
+    langid._expect_long(langid.table(path), w, np.array([2.0]), p, expected)
+    for q, x in want.items():
+        if q in number:
+            assert math.isclose(expected[number[q], 0], 2 * x / total, rel_tol=1e-9)
+
+
+def test_texts_without_letters_are_undetermined():
+    path = langid.vocabulary_path(langid.VOCABULARY)
+    model = langid.train(["the cat", "der Hund"], ["en", "de"], path)
+    got = langid.Predictor(*model, path)(["½", "²³ ①", "Ⅷ", "1234 _", "", "x½", "日本"])
+    assert [x for x, _ in got[:5]] == ["und"] * 5 and "und" not in {x for x, _ in got[5:]}
+
+
+def test_ties_go_to_the_first_language():
+    path = langid.vocabulary_path(langid.VOCABULARY)
+    model = langid.train(["same words here", "same words here"], ["b", "a"], path)
+    assert langid.Predictor(*model, path)(["same words"])[0][0] == "a"
+
+
+def test_samples_hold_whole_texts_of_every_label(spark):
+    rows = [(i, "x" * (40_000 if i % 7 == 0 else 10), "rare" if i % 50 == 0 else "usual") for i in range(1_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    texts = {i: t for i, t, _ in rows}
+    got = labelled_sample(df.select("doc_id", "label"), df.select("doc_id", "text"), 40, 10_000_000, even=True)
+    assert len(got) == min(20, sum(i % 50 == 0 and not held(i) for i in texts)) + 20 and {x for _, _, x in got} == {"rare", "usual"}
+    assert all(texts[i] == t and not held(i) for i, t, _ in got) and any(len(t) == 40_000 for _, t, _ in got)
+    few = labelled_sample(df.select("doc_id", "label"), df.select("doc_id", "text"), 400, 100_000)
+    assert sum(len(t) for _, t, _ in few) <= 100_000 and len(few) > 100
+    assert few == labelled_sample(df.repartition(3).select("doc_id", "label"), df.select("doc_id", "text"), 400, 100_000)
+
+
+def test_scores_equal_a_plain_sum_over_ngrams():
+    rnd = np.random.default_rng(1)
+    share = rnd.normal(size=toxicity.BUCKETS).astype(np.float32)
+    scorer = toxicity.Scorer(share, 0.25)
+
+    def lean(word):
+        ids, n = toxicity.subwords([word])
+        assert len(ids) == n[0] == sum(max(0, len(word) + 2 - k + 1) for k in (3, 4, 5)) + 1
+        return float(np.mean(share[ids].astype(np.float64)))
+
+    for text in ("one two three", "a b", "word " * 60 + "other"):
+        words = toxicity.words_of(text)
+        z = max(sum(map(lean, s := set(words[i : i + toxicity.PASSAGE]))) / max(len(s), toxicity.LEAST) for i in range(0, len(words), toxicity.PASSAGE))
+        assert math.isclose(scorer([text])[0], 1 / (1 + math.exp(-z - 0.25)), rel_tol=1e-9)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
