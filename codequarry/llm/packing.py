@@ -5,7 +5,9 @@ The plan is made on the histogram of piece lengths, never on the pieces: there a
 there are. Lengths above a third of the capacity ("large") are matched greedily, at most two
 a sequence: the largest that is left takes the largest partner that still fits. The smaller
 lengths, longest first, go to the sequences with the tightest gap that holds them; what fits
-nowhere opens new sequences. Equal sequences are planned as one run with a multiplicity.
+nowhere opens new sequences. Equal sequences are planned as one run with a multiplicity: no more than
+``4 * CAPACITY`` runs of at most 90 different lengths each, whatever the input, so what goes to
+the tasks is bounded too.
 
 Pieces are then dealt to the planned places by their rank among the pieces of their length.
 A rank is the piece's rank in its own partition plus the counts of the partitions before it,
@@ -77,11 +79,11 @@ def token_bytes(text: str, path: str) -> bytes:
     return b"".join(map(_cache.__getitem__, low))
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """Runs (multiplicity, lengths) that use every length as often as the histogram says."""
+def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Runs (multiplicity, [(length, times in a row)]) that use every length as often as the histogram says."""
     left = {n: c for n, c in histogram.items() if c > 0}
     large = sorted(n for n in left if 3 * n > capacity)
-    runs: list[list] = []  # [multiplicity, lengths]
+    runs: list[list] = []  # [multiplicity, [(length, times)]]
     gaps: dict[int, list[list]] = defaultdict(list)
     sizes: list[int] = []  # the gaps in use, in order
 
@@ -108,7 +110,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         for m in {n, partner} - {None}:
             if not left[m]:
                 large.remove(m)
-        put(count, [n] if partner is None else [n, partner], capacity - n - (partner or 0))
+        pair = [(n, 1)] if partner is None else [(n, 2)] if partner == n else [(n, 1), (partner, 1)]
+        put(count, pair, capacity - n - (partner or 0))
     for n in sorted((n for n in left if 3 * n <= capacity), reverse=True):
         count = left[n]
         while count:
@@ -117,9 +120,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 each = capacity // n
                 full, rest = divmod(count, each)
                 if full:
-                    put(full, [n] * each, capacity - n * each)
+                    put(full, [(n, each)], capacity - n * each)
                 if rest:
-                    put(1, [n] * rest, capacity - n * rest)
+                    put(1, [(n, rest)], capacity - n * rest)
                 break
             gap = sizes[k]
             run = gaps[gap].pop()
@@ -131,9 +134,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             lengths, spare = run[1], run[0] - full - (1 if rest else 0)
             runs_left = []
             if full:
-                runs_left.append((full, lengths + [n] * each, gap - n * each))
+                runs_left.append((full, lengths + [(n, each)], gap - n * each))
             if rest:
-                runs_left.append((1, lengths + [n] * rest, gap - n * rest))
+                runs_left.append((1, lengths + [(n, rest)], gap - n * rest))
             if spare:
                 runs_left.append((spare, lengths, gap))
             run[0] = 0
@@ -143,20 +146,26 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return [(c, x) for c, x in runs if c]
 
 
-def places(runs: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
-    """For each length the rows (first rank, first sequence, step, offset) of its places, by first rank.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """The runs with their lengths written out: (multiplicity, lengths)."""
+    return [(c, [n for n, k in lengths for _ in range(k)]) for c, lengths in plan_runs(histogram, capacity)]
+
+
+def places(runs: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:
+    """For each length the rows (first rank, first sequence, sequences, offset) of its places, by first rank.
 
-    A run of m sequences that holds a length k times in a row gives k rows of m ranks each.
+    A run of m sequences that holds a length k times in a row is one row of m * k ranks: rank j of
+    them is in its sequence j % m, at the offset plus j // m times the length.
     """
     rows: dict[int, list] = defaultdict(list)
     rank: dict[int, int] = defaultdict(int)
     sequence = 0
     for count, lengths in runs:
         offset = 0
-        for n in lengths:
-            rows[n].append((rank[n], sequence, offset))
-            rank[n] += count
-            offset += n
+        for n, k in lengths:
+            rows[n].append((rank[n], sequence, count, offset))
+            rank[n] += count * k
+            offset += n * k
         sequence += count
     return {n: np.array(x, dtype=np.int64) for n, x in rows.items()}
 
@@ -197,11 +206,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     counts = cut(counts, "piece_counts")
     # at most `capacity` rows, whatever the input
     histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
-    table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
+    table = spark.sparkContext.broadcast(places(plan_runs(histogram, capacity)))
     # where the ranks of a partition begin: one row for each length and partition
     before = counts.withColumn("base", F.sum("c").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "part", F.coalesce("base", F.lit(0)).alias("base"))
-    ranked = pieces.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # a row for each length and partition is too much to broadcast on large inputs
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def deal(batches):
         for b in batches:
@@ -210,8 +220,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
             for n in np.unique(length):
                 rows, own = table.value[int(n)], np.flatnonzero(length == n)
                 k = np.searchsorted(rows[:, 0], rank[own], side="right") - 1
-                sequence[own] = rows[k, 1] + rank[own] - rows[k, 0]
-                offset[own] = rows[k, 2]
+                nth = rank[own] - rows[k, 0]
+                sequence[own] = rows[k, 1] + nth % rows[k, 2]
+                offset[own] = rows[k, 3] + nth // rows[k, 2] * n
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return ranked.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

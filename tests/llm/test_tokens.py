@@ -1,6 +1,8 @@
+import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codequarry.llm import packing, token_counts
@@ -67,6 +69,45 @@ def test_packing_is_tight(spark):
     assert sequences <= -(-tokens // 4096) * 1.06
 
 
+#: Letters whose case, form or spacing differs between Python and the vocabularies, among plain ones.
+MIXED = "abcdeXYZ  \n\t.,'0123ΑΣσςΟΔάİıiIßẞéÉe\u0301\u0300ǅﬁﬀ½²①Ⅷж日本ａ😀\u200d\xa0\x85\x1c\u2028_-"
+
+
+def mixed_texts(n, seed):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(MIXED) for _ in range(rnd.randint(1, 14))) for _ in range(n)]
+
+
+def test_random_texts_have_the_librarys_ids():
+    t = packing._tokenizer(path := packing.vocabulary_path(packing.VOCABULARY))
+    texts = mixed_texts(20_000, 1)
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert packing.token_bytes(text, path) == packing._packed(want.ids), text
+
+
+def test_random_texts_have_the_librarys_counts():
+    t = token_counts._tokenizer(path := token_counts.vocabulary_path(token_counts.VOCABULARY))
+    texts = mixed_texts(20_000, 2)
+    want = [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+    got = token_counts.count_tokens(texts, path, {})
+    assert [x for x, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_long_chunks_are_not_kept():
+    path = token_counts.vocabulary_path(token_counts.VOCABULARY)
+    token_counts.count_tokens(["y" * 100_000 + " z"], path, {})
+    assert max(map(len, token_counts._caches[path])) <= token_counts.KEY
+
+
+def test_the_plan_is_small_whatever_the_input():
+    histogram = {n: 1 + 10**12 // n**2 for n in range(1, 4097)}
+    rows = packing.places(packing.plan_runs(dict(histogram)))
+    assert sum(map(len, rows.values())) < 20 * 4096
+    for n, x in rows.items():  # the ranks of a length are covered without gaps
+        ends = np.append(x[1:, 0], histogram[n])
+        assert ((ends - x[:, 0]) % x[:, 2] == 0).all() and x[0, 0] == 0
+
+
 def test_capital_final_sigma(spark):
     t = packing._tokenizer(path := packing.vocabulary_path(packing.VOCABULARY))
     for text in ("ΟΔΟΣ", "ΟΔΟΣ ΚΑΙ ΑΣ.", "οδος ΣΑΣ", "Σ"):
