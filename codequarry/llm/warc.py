@@ -3,15 +3,19 @@
 Payload bytes are stored once for each SHA-256 digest, as gzip members of ``.warc.gz`` files
 (one WARC record a member, so any WARC reader opens them); the exact header bytes of every
 record, of responses and of revisits alike, are kept apart in a table that Spark writes.
-A join by digest reconstructs the original record bytes. Every payload is checked against its digest
+A join by digest of headers and archive index (small rows, no payloads) says which member each record needs;
+the records are then rebuilt file by file, in the order of the members. Every payload is checked against its digest
 (and length) when it is read back, so a damaged archive stops the job instead of passing.
 
 Of the records with equal payloads the one with the largest page_id is the response; the
-others are revisits that refer to it.
-
-Defined cases: null html counts as empty; null urls give an empty target; rows that share
-page_id and payload share one record and one result row each; rows with a null page_id are responses when no other
-row holds the payload, else revisits; an empty table writes no file and gives an empty result.
+others are revisits that refer to it. Digests are found inside the JVM, and only the row that is stored is compressed.
+Joins by digest may meet a payload that a third of all pages share; they carry small rows and are sort-merge
+joins, which adaptive execution splits.
+
+Defined cases: null html counts as empty; null urls give an empty target, and white space in a url (which a header
+can't hold) becomes single spaces; rows that share page_id and payload share one record and one result row each; rows
+with a null page_id are responses when no other row holds the payload, else revisits; extra columns are neither read
+nor returned; an empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from .common import cut, shared_dir, ship, slices
 
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
+#: Extension fields of the records: the page's id and that of the response.
+PAGE, REFERS = "WARC-Page-ID", "WARC-Refers-To-Page-ID"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -50,6 +56,7 @@ def record_head(page_id, url: str, digest: str, payload_bytes: int, refers_to) -
     else:
         extra = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>"]
         length = len(http)
+    extra += [f"{PAGE}: {page_id}"] * (page_id is not None) + [f"{REFERS}: {refers_to}"] * (refers_to is not None)
     kind = "response" if refers_to is None else "revisit"
     head = _lines("WARC/1.1", f"WARC-Type: {kind}", own, f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", *extra, "Content-Type: application/http;msgtype=response", f"Content-Length: {length}")
     return head + http
@@ -62,19 +69,11 @@ def payload_record(data: bytes, sha256: str) -> bytes:
 
 
 def _compress(batches):
-    for b in slices(batches, "html"):
-        ids, html = b.column(0), [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-        sha = [hashlib.sha256(h).hexdigest() for h in html]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([bytes.fromhex(s) for s in sha], pa.binary()), pa.array([payload_record(h, s) for h, s in zip(html, sha)], pa.binary())], names=["row_id", "sha256", "member"])
-
-
-def _describe(batches):
+    """(sha256, member) of rows (sha256, html)."""
     for b in slices(batches, "html"):
         html = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([hashlib.sha256(h).digest() for h in html], pa.binary()), pa.array([sha1_base32(h) for h in html]), pa.array([len(h) for h in html], pa.int64()), b.column(2)],
-            names=["page_id", "sha256", "payload_digest", "payload_bytes", "url"],
-        )
+        members = [payload_record(h, s.hex()) for h, s in zip(html, b.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(members, pa.binary())], names=["sha256", "member"])
 
 
 def _store(folder: str):
@@ -95,10 +94,11 @@ def _store(folder: str):
 
 
 def _heads(batches):
+    """The header of each record, from rows (page_id, url, sha1 in hex, payload_bytes, refers_to, sha256)."""
     for b in batches:
-        rows = zip(*(b.column(i).to_pylist() for i in range(6)))
-        heads = [record_head(p, u or "", d, n, r) for p, u, d, n, r, _ in rows]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4, 5)), pa.array(heads, pa.binary())], names=["page_id", "payload_digest", "payload_bytes", "refers_to", "sha256", "head"])
+        rows = zip(*(b.column(i).to_pylist() for i in range(5)))
+        heads = [record_head(p, u or "", base64.b32encode(bytes.fromhex(d)).decode(), n, r) for p, u, d, n, r in rows]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 4, 5)), pa.array(heads, pa.binary())], names=["page_id", "refers_to", "sha256", "head"])
 
 
 def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -110,15 +110,16 @@ def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: st
     ship(spark)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), html.alias("html"), F.col(url_col).cast("string").alias("url"))
-    seen = cut(rows.mapInArrow(_describe, "page_id long, sha256 binary, payload_digest string, payload_bytes long, url string"), "warc_seen")
+    strong = F.unhex(F.sha2("html", 256))
+    seen = cut(rows.select("page_id", "url", strong.alias("sha256"), F.sha1("html").alias("sha1"), F.octet_length("html").cast("long").alias("payload_bytes")), "warc_seen")
     owners = cut(seen.groupBy("sha256").agg(F.max("page_id").alias("owner")), "warc_owners")
     refers = F.when((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    heads = seen.join(owners, "sha256").select("page_id", "url", "payload_digest", "payload_bytes", refers.alias("refers_to"), "sha256")
-    heads = cut(heads.mapInArrow(_heads, "page_id long, payload_digest string, payload_bytes long, refers_to long, sha256 binary, head binary"), "warc_heads")
-    # one row a payload: the row of its owner, found by the page's id, which has no hot values
-    members = rows.select(F.coalesce("page_id", F.lit(0)).alias("row_id"), "html").mapInArrow(_compress, "row_id long, sha256 binary, member binary")
-    chosen = members.join(owners.select(F.coalesce("owner", F.lit(0)).alias("row_id"), "sha256"), ["row_id", "sha256"], "left_semi")
-    chosen = chosen.dropDuplicates(["row_id", "sha256"]).select("sha256", "member")
+    heads = seen.join(owners, "sha256").select("page_id", "url", "sha1", "payload_bytes", refers.alias("refers_to"), "sha256")
+    heads = cut(heads.mapInArrow(_heads, "page_id long, refers_to long, sha256 binary, head binary"), "warc_heads")
+    # one row a payload, the owner's: found by the page's id, which has no hot values, and the digest, before anything is compressed
+    keys = owners.select(F.coalesce("owner", F.lit(0)).alias("row_id"), "sha256")
+    chosen = rows.select(F.coalesce("page_id", F.lit(0)).alias("row_id"), strong.alias("sha256"), "html").join(keys, ["row_id", "sha256"], "left_semi")
+    chosen = chosen.dropDuplicates(["row_id", "sha256"]).select("sha256", "html").mapInArrow(_compress, "sha256 binary, member binary")
     index = cut(chosen.mapInArrow(_store(shared_dir(spark, "warc")), "file string, offset long, size long, sha256 binary"), "warc_index")
     return index, heads
 
@@ -136,11 +137,11 @@ def split_record(block: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def _load(batches):
+def _members(batches):
+    """(payload, its SHA-256, the other columns) for index rows (file, offset, size, ...), read and verified."""
+    path = stream = None
     for b in batches:
-        fs = path = stream = None
-        rows, size = [], 0
-        for uri, offset, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for uri, offset, n, *rest in zip(*(c.to_pylist() for c in b.columns)):
             if path != uri:
                 if stream is not None:
                     stream.close()
@@ -150,43 +151,67 @@ def _load(batches):
             sha = hashlib.sha256(data).digest()
             if fields["WARC-Block-Digest"] != f"sha256:{sha.hex()}":
                 raise ValueError(f"payload at {uri}:{offset} doesn't match its digest")
-            rows.append((sha, data))
-            size += len(data)
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["sha256", "payload"])
-                rows, size = [], 0
-        if stream is not None:
-            stream.close()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["sha256", "payload"])
+            yield data, sha, rest
+    if stream is not None:
+        stream.close()
+
+
+def _in_batches(rows, names: list[str], kinds: list, most: int = 4_000_000):
+    """Arrow batches of rows whose last column holds bytes, at most about ``most`` of them in a batch."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1])
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
 
 def payloads(index: DataFrame) -> DataFrame:
     """sha256, payload: read from the archives and verified."""
-    return index.select("file", "offset", "size").mapInArrow(_load, "sha256 binary, payload binary")
+
+    def run(batches):
+        yield from _in_batches(((sha, data) for data, sha, _ in _members(batches)), ["sha256", "payload"], [pa.binary(), pa.binary()])
+
+    return index.select("file", "offset", "size").mapInArrow(run, "sha256 binary, payload binary")
 
 
 def reconstruct(index: DataFrame, heads: DataFrame) -> DataFrame:
     """page_id, record: the original bytes of every record, revisits without a payload."""
-    whole = heads.where("refers_to is null").join(payloads(index), "sha256")
-    end = F.lit(CRLF + CRLF)
-    full = whole.select("page_id", F.concat("head", "payload", end).alias("record"))
-    return full.unionByName(heads.where("refers_to is not null").select("page_id", F.concat("head", end).alias("record")))
-
 
-def _digests(batches):
-    for b in slices(batches, "payload"):
-        data = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([sha1_base32(d) for d in data])], names=["sha256", "payload_bytes", "payload_digest"])
+    def run(batches):
+        records = ((page, head + data + CRLF + CRLF) for data, _, (page, head) in _members(batches))
+        yield from _in_batches(records, ["page_id", "record"], [pa.int64(), pa.binary()])
+
+    needed = cut(heads.where("refers_to is null").join(index, "sha256").select("file", "offset", "size", "page_id", "head"), "warc_needed")
+    full = needed.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, "page_id long, record binary")
+    return full.unionByName(heads.where("refers_to is not null").select("page_id", F.concat("head", F.lit(CRLF + CRLF)).alias("record")))
+
+
+def _read_records(batches):
+    """What the bytes of records say; a response's payload has to match its digest and length."""
+    for b in slices(batches, "record"):
+        rows = []
+        for record in b.column(0).to_pylist():
+            fields, block = split_record(record)
+            http, _, payload = block.partition(CRLF + CRLF)
+            n = int(next(x for x in http.split(CRLF) if x.startswith(b"Content-Length:")).partition(b":")[2])
+            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            whole = fields["WARC-Type"] == "response"
+            if whole and (len(payload) != n or sha1_base32(payload) != digest):
+                raise ValueError(f"record of page {fields.get(PAGE)} doesn't match its header")
+            rows.append((int(fields[PAGE]) if PAGE in fields else None, n, digest, fields["WARC-Type"], int(fields[REFERS]) if REFERS in fields else None))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def archive(pages: DataFrame, least: int = 0, **columns) -> DataFrame:
-    """Write the archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archives, rebuild the records: page_id, payload_bytes, payload_digest, record_type, refers_to as the records' bytes have them."""
     index, heads = write(pages, least, **columns)
-    stored = payloads(index).mapInArrow(_digests, "sha256 binary, payload_bytes long, payload_digest string")
-    kept = heads.select("page_id", "refers_to", "sha256")
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return kept.join(stored, "sha256").select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
+    records = reconstruct(index, heads).select("record")
+    return records.mapInArrow(_read_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:

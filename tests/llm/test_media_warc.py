@@ -30,6 +30,25 @@ def test_ranges_cover_members_once(spark):
         assert sorted(ids) == list(range(200))
 
 
+def test_partitions_are_bounded(spark):
+    df = spark.createDataFrame([(i, f"{i} " * 900) for i in range(200)], "doc_id long, text string").repartition(6)
+    _, manifest = media.write_archives(df)
+    folder = manifest.inputFiles()[0].rpartition("/")[0]
+    total = sum(r.bytes for r in manifest.collect())
+    for most in (1, 3, 100):
+        parts = media.MediaArchiveReader({"path": folder, "range_bytes": 1_000, "partitions": most}).partitions()
+        assert len(parts) <= most and sum(e - b for p in parts for _, b, e in p.ranges) == total
+        ids = [r.doc_id for r in media.read_archives(spark, folder, range_bytes=1_000, partitions=most).select("doc_id").collect()]
+        assert sorted(ids) == list(range(200))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "m", "s", "f"), (2, None, None, None, None)], "doc_id long, text string, media string, sha256 string, feature string")
+    assert sorted(r.n_bytes for r in media.media_columns(df).collect()) == [0, 1]
+    p = spark.createDataFrame([(1, "u", "x", b"h", 5, "r"), (2, "u", "x", b"h", 5, "r")], "page_id long, url string, html string, head binary, sha256 long, record string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive(p).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_damaged_member_is_told_alone(spark):
     df = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(5)], "doc_id long, text string").coalesce(1)
     _, manifest = media.write_archives(df)
