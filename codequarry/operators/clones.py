@@ -3,7 +3,8 @@
 A window belongs to the first file (in input order) that shows it; every later file that
 shows it is compared with that owner only, so a licence header in a third of all files gives one
 row a file, not one a pair of files. Owners are a minimum per window (combined before the
-shuffle); the join back to the windows is a plain sort-merge join that adaptive execution may split.
+shuffle); the join back to the windows is a plain sort-merge join that adaptive execution may split. Windows travel as two
+64-bit keys and their first token; equal keys stand for equal windows, whose similarity is 1.
 """
 
 from __future__ import annotations
@@ -48,35 +49,33 @@ def token_windows(files: DataFrame, order: str = "path", p: Params = Params(), e
 
 
 def _keyed(windows: DataFrame) -> DataFrame:
-    """Two independent 64-bit keys in place of the window's tokens."""
-    return windows.select("*", F.xxhash64("window").alias("k1"), F.xxhash64(F.reverse("window"), F.lit(1)).alias("k2"))
+    """Two independent 64-bit keys and the first token in place of the window's tokens."""
+    keys = F.xxhash64("window").alias("k1"), F.xxhash64(F.reverse("window"), F.lit(1)).alias("k2")
+    return windows.select("repo_id", "path", "ord", "last_mod", "pos", F.col("window")[0].alias("token"), *keys)
 
 
 def window_owners(windows: DataFrame) -> DataFrame:
-    """(repo_id, k1, k2, owner struct(ord, pos, path, last_mod, window)): who shows each window first."""
+    """(repo_id, k1, k2, owner struct(ord, pos, path, last_mod)): who shows each window first."""
     w = _keyed(windows) if "k1" not in windows.columns else windows
-    return w.groupBy("repo_id", "k1", "k2").agg(F.min(F.struct("ord", "pos", "path", "last_mod", "window")).alias("owner"))
+    return w.groupBy("repo_id", "k1", "k2").agg(F.min(F.struct("ord", "pos", "path", "last_mod")).alias("owner"))
 
 
-def clone_pairs(windows: DataFrame, p: Params = Params()) -> DataFrame:
+def clone_pairs(windows: DataFrame) -> DataFrame:
     """One row for each file and owner that share a window: the file's first such window."""
     w = _keyed(windows)
     hits = w.join(window_owners(w), ["repo_id", "k1", "k2"]).where(F.col("path") != F.col("owner.path"))
-    hits = hits.where(jaccard("window", "owner.window") >= p.similarity)
-    first = hits.groupBy("repo_id", "path", F.col("owner.path").alias("owner")).agg(
-        F.min(F.struct("pos", F.col("window")[0].alias("token"), "last_mod", F.col("owner.window")[0].alias("owner_token"), F.col("owner.last_mod").alias("owner_mod"))).alias("f")
-    )
+    first = hits.groupBy("repo_id", "path", F.col("owner.path").alias("owner")).agg(F.min(F.struct("pos", "token", "last_mod", F.col("owner.last_mod").alias("owner_mod"))).alias("f"))
     return first.select("repo_id", "path", "owner", "f.*")
 
 
 def dry_violations(files: DataFrame, order: str = "path", p: Params = Params(), exts: list[str] | None = STRUCTURAL) -> DataFrame:
     """``markers`` of duplicated code: one for each unordered pair of files, on the later file."""
-    pairs = clone_pairs(token_windows(files, order, p, exts), p)
+    pairs = clone_pairs(token_windows(files, order, p, exts))
     text = files.select("repo_id", "path", "content")
     pairs = pairs.join(text, ["repo_id", "path"]).join(text.select("repo_id", F.col("path").alias("owner"), F.col("content").alias("owner_content")), ["repo_id", "owner"])
     since = F.lit(p.as_of).cast("timestamp") - F.expr(f"INTERVAL {p.active_days} DAYS")
     active = F.coalesce((F.col("last_mod") > since) & (F.col("owner_mod") > since), F.lit(False))
     deduction = F.least(F.lit(1.5), F.when(active, F.lit(p.active_factor)).otherwise(1.0))
-    say = F.format_string("Clone detected: similar code to '%s' (line ~%d)", F.col("owner"), estimate_line("owner_content", "owner_token"))
+    say = F.format_string("Clone detected: similar code to '%s' (line ~%d)", F.col("owner"), estimate_line("owner_content", "token"))
     m = marker("dry_violation", "medium", say, estimate_line("content", "token"), deduction, "duplication")
     return pairs.select("repo_id", F.col("path").alias("file"), m.alias("m")).select("repo_id", "file", "m.*")

@@ -28,7 +28,7 @@ def dead_code_summary(findings: DataFrame) -> DataFrame:
 def symbol_importance(symbols: DataFrame, ranks: DataFrame) -> DataFrame:
     """0.6 * PageRank of the file relative to the repository's largest + 0.2 if exported + 0.2 * min(1, lines / 100)."""
     top = ranks.groupBy("repo_id").agg(F.max("pagerank").alias("top"))
-    rows = symbols.join(ranks.select("repo_id", F.col("path").alias("file_path"), "pagerank"), ["repo_id", "file_path"], "left").join(F.broadcast(top), "repo_id", "left")
+    rows = symbols.join(ranks.select("repo_id", F.col("path").alias("file_path"), "pagerank"), ["repo_id", "file_path"], "left").join(top, "repo_id", "left")
     lines = F.coalesce(F.col("end_line") - F.col("line") + 1, F.lit(1))
     exported = F.col("name").rlike("^[A-Z]").cast("double")
     rank = F.coalesce(F.try_divide("pagerank", "top"), F.lit(0.0))

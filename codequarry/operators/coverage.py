@@ -34,7 +34,7 @@ def coverage_markers(files: DataFrame, matched: DataFrame, nodes: DataFrame, thr
     """untested_hotspot, else coverage_gap; test files are left out."""
     rows = files.where("coalesce(is_file, true)").where(~is_test_filename("path")).join(matched.select("repo_id", "path", "pct"), ["repo_id", "path"])
     rows = rows.join(nodes.where("node_type = 'file'").select("repo_id", "path", "pagerank"), ["repo_id", "path"], "left")
-    rows = rows.join(F.broadcast(threshold.select("repo_id", F.col("value").alias("least"))), "repo_id", "left")
+    rows = rows.join(threshold.select("repo_id", F.col("value").alias("least")), "repo_id", "left")
     top = (F.col("least") > 0) & (F.col("pagerank") >= F.col("least"))
     hot = F.coalesce((F.col("churn") >= p.untested_churn) & (F.col("pct") < p.untested_below) & top, F.lit(False))
     gap = (p.gap_below - F.col("pct")) / p.gap_below * p.gap_deduction

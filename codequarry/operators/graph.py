@@ -7,6 +7,8 @@ from one aggregated row; neither nodes nor edges ever come to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter:
 def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_rounds: int | None = None) -> DataFrame:
     """(repo_id, key, community_id): modularity local moving, deterministic.
 
-    Every round half of the nodes (by a hash of node and round) may move to the neighbouring
+    Every round half of the nodes (by the first digit of the MD5 of key and round) may move to the neighbouring
     community with the best gain w(i,C) - r*k_i*S_C/2m, if it beats staying by more than 1e-9;
     ties go to the smallest community. Ids are numbered from 0 within a repository. Stops when both
     halves stay, at ``p.rounds`` rounds (each: both halves).
@@ -114,7 +116,8 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
     still = 0
     for i in range(2 * (max_rounds or p.rounds)):
         size = state.groupBy("repo_id", "c").agg(F.sum("k").alias("s"))
-        turn = state.where((F.pmod(F.xxhash64("key", F.lit(i // 2)), F.lit(2)) == i % 2) & (F.col("k") > 0))
+        digit = F.instr(F.lit("0123456789abcdef"), F.md5(F.concat("key", F.lit(f":{i // 2}"))).substr(1, 1))
+        turn = state.where((digit % 2 == i % 2) & (F.col("k") > 0))
         label = state.select("repo_id", F.col("key").alias("dst"), F.col("c").alias("to"))
         into = w.join(label, ["repo_id", "dst"]).groupBy("repo_id", F.col("src").alias("key"), "to").agg(F.sum("w").alias("w"))
         stay = turn.select("repo_id", "key", F.col("c").alias("to"), F.lit(0.0).alias("w"))
@@ -128,13 +131,13 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
         moves = best.where(F.col("gain") > F.col("own") + 1e-9).select("repo_id", "key", "to")
         new = state.join(moves, ["repo_id", "key"], "left")
         new = cut(new.select("repo_id", "key", "k", "m2", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "co_state")
-        moved = new.where("moved").limit(1).count()
+        moved = not new.where("moved").isEmpty()
         state = new.drop("moved")
-        still = 0 if moved else still + 1
+        still = i % 2 * still + (not moved)
         if still == 2:
             break
-    names = state.select("repo_id", "c").distinct()
-    ids = names.select("repo_id", "c", (F.row_number().over(Window.partitionBy("repo_id").orderBy("c")) - 1).cast("bigint").alias("community_id"))
+    names = state.select("repo_id", "c", F.lit(1).alias("one")).distinct()
+    ids = running_totals(names, "repo_id", "c", "one").select("repo_id", "c", F.col("below").cast("bigint").alias("community_id"))
     return state.join(ids, ["repo_id", "c"]).select("repo_id", "key", "community_id")
 
 
@@ -236,14 +239,17 @@ def ego_graph(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
     return reach(edges, start, depth)
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int = 12) -> DataFrame:
-    """(repo_id, path, distance): one shortest directed path from a to b (the smallest by name), if any."""
+def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int | None = None) -> DataFrame:
+    """(repo_id, path, distance): one shortest directed path from a to b (the smallest by name), if any.
+
+    Looks on until b is found or nothing new is reached; with ``max_depth`` longer paths aren't looked for.
+    """
     e = edges.select("repo_id", "src", "dst").distinct()
     front = e.where(F.col("src") == a).select("repo_id").distinct().select("repo_id", F.lit(a).alias("key"), F.array(F.lit(a)).alias("path"))
     seen = front.select("repo_id", "key")
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         hit = front.where(F.col("key") == b)
-        if not hit.isEmpty():
+        if front.isEmpty() or not hit.isEmpty():
             return hit.select("repo_id", "path", (F.size("path") - 1).alias("distance"))
         step = front.withColumnRenamed("key", "src").join(e, ["repo_id", "src"]).select("repo_id", F.col("dst").alias("key"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen, ["repo_id", "key"], "left_anti").groupBy("repo_id", "key").agg(F.min("path").alias("path"))
@@ -291,9 +297,10 @@ def group_files_as_modules(files: DataFrame, under: str = "") -> DataFrame:
     base = under.rstrip("/") + "/" if under else ""
     rows = files.where(F.col("path").startswith(base)) if base else files
     rest = F.expr(f"substring(path, {len(base) + 1})")
-    share = F.avg(F.col("path").startswith("packages/").cast("double")).over(Window.partitionBy("repo_id"))
+    share = rows.groupBy("repo_id").agg(F.avg(F.col("path").startswith("packages/").cast("double")).alias("packages"))
+    rows = rows.join(share, "repo_id")
     parts = F.split(rest, "/")
-    mono = (share > 0.5) & parts[0].eqNullSafe("packages") & (F.size(parts) > 2)
+    mono = (F.col("packages") > 0.5) & parts[0].eqNullSafe("packages") & (F.size(parts) > 2)
     module = F.when(mono, prefix(rest, 2)).when(F.size(parts) > 1, parts[0]).otherwise("root")
     rows = rows.withColumn("module", F.concat(F.lit(base), module))
     return rows.groupBy("repo_id", "module").agg(
@@ -353,8 +360,8 @@ def flow_edges(traces: DataFrame) -> DataFrame:
 def start_here_files(nodes: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
     """Per repository the top files by PageRank among entry points (all files when there are none), with their page."""
     files = nodes.where("node_type = 'file'")
-    any_entry = F.max("is_entry_point").over(Window.partitionBy("repo_id"))
-    rows = files.withColumn("any", any_entry).where("is_entry_point or not any")
+    any_entry = files.groupBy("repo_id").agg(F.max("is_entry_point").alias("any"))
+    rows = files.join(any_entry, "repo_id").where("is_entry_point or not any")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("pagerank"), "path"))).where(F.col("k") <= top)
     return rows.select("repo_id", "path", "pagerank", "k").join(docs.select("repo_id", F.col("target_path").alias("path"), "page_id"), ["repo_id", "path"], "left")
 
@@ -407,16 +414,20 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(degrees(edges), ["repo_id", "key"], "left").fillna({"in_degree": 0, "out_degree": 0})
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 16, max_depth: int = 8) -> DataFrame:
-    """Approximate betweenness from ``sources`` sampled source nodes (the smallest hashes of their keys).
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = 16) -> DataFrame:
+    """Betweenness over directed shortest paths of any length; exact with ``sources=None``.
 
-    Breadth-first counts of shortest paths forwards, then dependencies backwards, all sources at once.
+    Else an estimate from ``sources`` sampled source nodes of all repositories (the smallest hashes of their keys), scaled by
+    a repository's nodes over its sampled ones. Breadth-first counts of shortest paths forwards until nothing new is
+    reached, then dependencies backwards, all sources at once.
     """
     e = edges.select("repo_id", "src", "dst").distinct()
-    roots = nodes.select("repo_id", "key").distinct().orderBy(F.xxhash64("key"), "key").limit(sources)
+    roots = all_ = nodes.select("repo_id", "key").distinct()
+    if sources is not None:
+        roots = cut(roots.orderBy(F.xxhash64("key"), "key").limit(sources), "bc_roots")
     seen = cut(roots.select("repo_id", F.col("key").alias("s"), "key", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bc")
     front, depth = seen, 0
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         step = front.withColumnRenamed("key", "src").join(e, ["repo_id", "src"]).groupBy("repo_id", "s", F.col("dst").alias("key")).agg(F.sum("sigma").alias("sigma"))
         front = cut(step.join(seen, ["repo_id", "s", "key"], "left_anti").select("repo_id", "s", "key", F.lit(d).alias("d"), "sigma"), "bc")
         if front.isEmpty():
@@ -428,7 +439,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 16, max_depth
         parent = seen.where(F.col("d") == d - 1).select("repo_id", "s", F.col("key").alias("src"), F.col("sigma").alias("up"))
         flow = child.join(e, ["repo_id", "dst"]).join(parent, ["repo_id", "s", "src"]).groupBy("repo_id", "s", F.col("src").alias("key")).agg(F.sum(F.col("up") / F.col("sigma") * (1 + F.col("dep"))).alias("add"))
         score = cut(score.join(flow, ["repo_id", "s", "key"], "left").select("repo_id", "s", "key", (F.col("dep") + F.coalesce("add", F.lit(0.0))).alias("dep")), "bc")
-    out = score.where("key <> s").groupBy("repo_id", "key").agg(F.sum("dep").alias("betweenness"))
+    scale = all_.groupBy("repo_id").agg(F.count("*").alias("all")).join(roots.groupBy("repo_id").agg(F.count("*").alias("used")), "repo_id")
+    out = score.where("key <> s").groupBy("repo_id", "key").agg(F.sum("dep").alias("b")).join(scale, "repo_id")
+    out = out.select("repo_id", "key", (F.col("b") * F.col("all") / F.col("used")).alias("betweenness"))
     return nodes.select("repo_id", "key").join(out, ["repo_id", "key"], "left").fillna({"betweenness": 0.0})
 
 
@@ -436,9 +449,11 @@ def callers_callees(edges: DataFrame, limit: int = 50) -> DataFrame:
     """Per symbol: callers and callees, counted, each list cut at ``limit`` (the lists' feature)."""
     calls = edges.where("rel = 'calls'").select("repo_id", "src", "dst").distinct()
     rows = calls.select("repo_id", F.col("dst").alias("key"), F.col("src").alias("other"), F.lit("caller").alias("side")).unionByName(calls.select("repo_id", F.col("src").alias("key"), F.col("dst").alias("other"), F.lit("callee").alias("side")))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "key", "side").orderBy("other")))
-    per = ranked.groupBy("repo_id", "key", "side").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("k") <= limit, F.col("other")))).alias("others"))
-    return per.withColumn("truncated", F.col("total") > limit)
+    total = rows.groupBy("repo_id", "key", "side").agg(F.count("*").alias("total"))
+    # the limit on ranks is pushed below the shuffle, so a hub's task gets `limit` rows from each task before it
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "key", "side").orderBy("other"))).where(F.col("k") <= limit)
+    per = ranked.groupBy("repo_id", "key", "side").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    return total.join(per, ["repo_id", "key", "side"]).withColumn("truncated", F.col("total") > limit)
 
 
 def entry_points(edges: DataFrame) -> DataFrame:
@@ -469,6 +484,14 @@ def execution_flows(nodes: DataFrame, edges: DataFrame, top: int = 10, max_depth
     return flows.select("repo_id", "entry", "trace", "communities")
 
 
+def hot_files(last_commits: DataFrame, edges: DataFrame, p: Params = Params(), days: int = 30, limit: int = 50) -> DataFrame:
+    """The edges between the ``limit`` files of each repository (repo_id, path, commits, last) that changed most in the last ``days`` days."""
+    recent = last_commits.where(F.col("last") > F.lit(p.as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commits"), "path"))
+    keys = recent.withColumn("k", rank).where(F.col("k") <= limit).select("repo_id", F.col("path").alias("key"))
+    return sub_graph(edges, keys)
+
+
 def sub_graph(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """The edges between the given nodes (repo_id, key)."""
     return edges.join(keys.withColumnRenamed("key", "src"), ["repo_id", "src"], "left_semi").join(keys.withColumnRenamed("key", "dst"), ["repo_id", "dst"], "left_semi")

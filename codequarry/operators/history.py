@@ -185,14 +185,14 @@ def owners(commits: DataFrame, p: Params = Params()) -> DataFrame:
 def co_authors(commits: DataFrame) -> DataFrame:
     """(repo_id, email, other, shared, total, share): files two authors share, of the first one's files.
 
-    Files are first folded to their author sets: equal sets are counted once with a weight, so a
-    pair is made for each distinct set of authors and not for each file.
+    Authors of one file are paired as files of one commit are: block by block, so a file that everyone touches is
+    shared out over many tasks.
     """
-    sets = file_author_stats(commits).groupBy("repo_id", "path").agg(F.array_sort(F.collect_set("email")).alias("who"))
-    sets = sets.groupBy("repo_id", "who").agg(F.count("*").alias("w")).where(F.size("who") > 1)
-    pairs = sets.select("repo_id", "w", "who", F.explode("who").alias("email")).select("repo_id", "w", "email", F.explode("who").alias("other")).where("email <> other")
-    shared = pairs.groupBy("repo_id", "email", "other").agg(F.sum("w").alias("shared"))
-    total = file_author_stats(commits).groupBy("repo_id", "email").agg(F.count("*").alias("total"))
+    stats = file_author_stats(commits)
+    pairs = co_changes(stats.select("repo_id", F.col("path").alias("commit_id"), F.col("email").alias("path")), 1)
+    shared = pairs.select("repo_id", F.col("a").alias("email"), F.col("b").alias("other"), F.col("count").alias("shared"))
+    shared = shared.unionByName(shared.select("repo_id", F.col("other").alias("email"), F.col("email").alias("other"), "shared"))
+    total = stats.groupBy("repo_id", "email").agg(F.count("*").alias("total"))
     return shared.join(total, ["repo_id", "email"]).withColumn("share", F.col("shared") / F.col("total"))
 
 

@@ -192,7 +192,7 @@ def importance_rank(files: DataFrame) -> DataFrame:
     """Files with importance = 0.7 PageRank + 0.3 churn / largest churn (negative churn counts as 0)."""
     most = files.groupBy("repo_id").agg(F.max("churn").alias("most"))
     part = F.when(F.col("most") > 0, F.greatest(F.col("churn"), F.lit(0)) / F.col("most")).otherwise(0.0)
-    return files.join(F.broadcast(most), "repo_id").withColumn("importance", F.col("pagerank") * 0.7 + part * 0.3).drop("most")
+    return files.join(most, "repo_id").withColumn("importance", F.col("pagerank") * 0.7 + part * 0.3).drop("most")
 
 
 def _top(rows: DataFrame, order: list, n: int) -> DataFrame:

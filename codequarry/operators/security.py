@@ -1,9 +1,9 @@
 """Concurrency and security patterns as text rules over source lines.
 
 Each hit is one row of ``symbols`` (name = rule, type = 'biomarker') and, on request, one
-marker. The rules look at text, not at a syntax tree: comments and strings are not excluded,
-and a rule that spans lines looks at a bounded window. Rules that need a tree (what a function's body
-assigns) are approximations; their patterns say how far they look.
+marker. The rules look at text, not at a syntax tree: comments and strings are not excluded.
+Rules that need a tree (what a function's body assigns) are approximations: they look at the body up to its first
+inner brace, however long that is.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ _KT, _TF, _PY, _JAVA, _GO = (".kt", ".kts"), (".tf", ".hcl"), (".py",), (".java"
 PATTERNS = [
     ("unsecured_goroutine", _GO, r"(?m)^[^/\"\n]*\bgo\s+(?:func\b|[A-Za-z_][\w.]*\s*\()"),
     ("goroutine_outer_mutation", _GO, r"\bgo\s+func\s*\(\s*\)"),
-    ("async_race_condition", _JS, r"=>\s*\{\s*(?:[^{}]{0,400};\s*)?[A-Za-z_$][\w$.\[\]]*\s*=[^=>]"),
-    ("read_before_await", _JS, r"\bfunction\s+\w+\s*\([^)]*\)\s*\{[^{}]{0,400}?\bvar\s+\w+[^{}]{0,400}?\bawait\b"),
-    ("unsynchronized_mutation", _JAVA, r"\bvoid\s+\w*run\w*\s*\([^)]*\)[^{;]*\{[^{}]{0,400}?(?:^|[;{\s])[A-Za-z_][\w.\[\]]*\s*[-+*/]?=[^=]"),
+    ("async_race_condition", _JS, r"=>\s*\{\s*(?:[^{}]*;\s*)?[A-Za-z_$][\w$.\[\]]*\s*=[^=>]"),
+    ("read_before_await", _JS, r"\bfunction\s+\w+\s*\([^)]*\)\s*\{[^{}]*?\bvar\s+\w+[^{}]*?\bawait\b"),
+    ("unsynchronized_mutation", _JAVA, r"\bvoid\s+\w*run\w*\s*\([^)]*\)[^{;]*\{[^{}]*?(?:^|[;{\s])[A-Za-z_][\w.\[\]]*\s*[-+*/]?=[^=]"),
     ("logical_race", _PY, r"\bawait\s+[\w.]+\("),
     ("broken_crypto", _GO, r"\.(?:NewMD5|NewSHA1|NewDES)\s*\("),
     ("broken_crypto", _JS, r"\.\w*createHash\w*\s*\(\s*['\"][^'\"]*(?:md5|sha1)"),

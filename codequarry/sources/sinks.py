@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import col
 from ..operators.rules import SUGGESTIONS
+from ..schemas import MARKERS
 
 
-def write_markers(markers: DataFrame, path: str) -> None:
-    """Replace the findings of the repositories in ``markers``; other repositories' partitions stay."""
+def write_markers(markers: DataFrame, path: str, repositories: DataFrame | None = None) -> None:
+    """Replace the findings of the repositories in ``markers`` and in ``repositories`` (repo_id); other repositories' partitions stay.
+
+    A repository of ``repositories`` without findings loses its old ones: each gets one empty row, which
+    overwrites its partition and which ``load_markers`` leaves out.
+    """
+    if repositories is not None:
+        markers = markers.unionByName(repositories.select("repo_id").distinct(), allowMissingColumns=True)
     markers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
 
 
 def load_markers(spark: SparkSession, path: str) -> DataFrame:
     """All findings; blank advice is filled in."""
     pairs = [F.lit(x) for kv in SUGGESTIONS.items() for x in kv]
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(MARKERS).parquet(path).where("type is not null")
     return rows.withColumn("suggestion", F.coalesce(F.nullif("suggestion", F.lit("")), F.create_map(*pairs)[F.col("type")], F.lit("")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share, and there below the application's id.
 
-    Only where that is unset (local tests) a temporary folder takes its place.
+    Where that is unset a temporary folder takes its place if driver and executors are one process; a cluster needs the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/codequarry/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/codequarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound Arrow batches to Python workers by bytes; rows alone don't bound them, as files and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
