@@ -1,0 +1 @@
+"""Projections of the benchmark tables and the registered queries."""
