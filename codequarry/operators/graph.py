@@ -77,7 +77,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter:
     d = p.damping
     pairs = edges.select("repo_id", "src", "dst").distinct()
     degree = pairs.groupBy("repo_id", "src").agg(F.count("*").alias("out"))
-    links = cut(pairs.join(degree, ["repo_id", "src"]), "pr_links")
+    links = _dealt(cut(pairs.join(degree, ["repo_id", "src"]), "pr_links"), "repo_id", "src")
     sizes = nodes.groupBy("repo_id").agg(F.count("*").alias("n"))
     state = nodes.select("repo_id", "key").distinct().join(sizes, "repo_id").join(degree.select("repo_id", F.col("src").alias("key"), "out"), ["repo_id", "key"], "left")
     state = cut(state.select("repo_id", "key", "n", F.col("out").isNull().alias("sink"), (1 / F.col("n")).alias("r")), "pr_state")
@@ -88,16 +88,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter:
         new = state.join(inflow, ["repo_id", "key"], "left").join(lost, "repo_id")
         value = (1 - d) / F.col("n") + d * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("n"))
         new = new.select("repo_id", "key", "n", "sink", value.alias("r"), F.col("r").alias("old"))
-        if tolerance > 0 or i % cut_every == cut_every - 1:
+        if tolerance > 0 or i % cut_every == cut_every - 1 or i == max_iter - 1:
             new = cut(new, "pr_state")
         state = new.drop("old")
         if tolerance > 0:
             worst = new.groupBy("repo_id").agg(F.sqrt(F.sum((F.col("r") - F.col("old")) ** 2)).alias("c")).agg(F.max("c")).first()[0]
             if worst is None or worst < tolerance:
                 break
+    links.unpersist()
     return state.select("repo_id", "key", F.col("r").alias("pagerank"))
 
 
+def _dealt(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges that every round joins by the same keys: dealt by them once and kept (spilled to disk if need be).
+
+    What a lost executor held is read again from the written table below.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(n, *keys).persist()
+
+
 def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_rounds: int | None = None) -> DataFrame:
     """(repo_id, key, community_id): modularity local moving, deterministic.
 
@@ -109,6 +119,7 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
     pairs = edges.select("repo_id", "src", "dst").where("src <> dst").distinct()
     both = pairs.unionByName(pairs.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
     w = cut(both.groupBy("repo_id", "src", "dst").agg(F.count("*").cast("double").alias("w")), "co_links")
+    near = _dealt(w, "repo_id", "dst")
     degree = w.groupBy("repo_id", F.col("src").alias("key")).agg(F.sum("w").alias("k"))
     total = degree.groupBy("repo_id").agg(F.sum("k").alias("m2"))
     state = nodes.select("repo_id", "key").distinct().join(degree, ["repo_id", "key"], "left").join(total, "repo_id", "left")
@@ -116,10 +127,10 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
     still = 0
     for i in range(2 * (max_rounds or p.rounds)):
         size = state.groupBy("repo_id", "c").agg(F.sum("k").alias("s"))
-        digit = F.instr(F.lit("0123456789abcdef"), F.md5(F.concat("key", F.lit(f":{i // 2}"))).substr(1, 1))
-        turn = state.where((digit % 2 == i % 2) & (F.col("k") > 0))
+        moves_now = lambda key: F.instr(F.lit("0123456789abcdef"), F.md5(F.concat(key, F.lit(f":{i // 2}"))).substr(1, 1)) % 2 == i % 2  # noqa: B023, E731
+        turn = state.where(moves_now("key") & (F.col("k") > 0))
         label = state.select("repo_id", F.col("key").alias("dst"), F.col("c").alias("to"))
-        into = w.join(label, ["repo_id", "dst"]).groupBy("repo_id", F.col("src").alias("key"), "to").agg(F.sum("w").alias("w"))
+        into = near.where(moves_now("src")).join(label, ["repo_id", "dst"]).select("repo_id", F.col("src").alias("key"), "to", "w")
         stay = turn.select("repo_id", "key", F.col("c").alias("to"), F.lit(0.0).alias("w"))
         options = into.unionByName(stay).groupBy("repo_id", "key", "to").agg(F.sum("w").alias("w"))
         options = options.join(turn, ["repo_id", "key"]).join(size.withColumnRenamed("c", "to"), ["repo_id", "to"])
@@ -136,6 +147,7 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
         still = i % 2 * still + (not moved)
         if still == 2:
             break
+    near.unpersist()
     names = state.select("repo_id", "c", F.lit(1).alias("one")).distinct()
     ids = running_totals(names, "repo_id", "c", "one").select("repo_id", "c", F.col("below").cast("bigint").alias("community_id"))
     return state.join(ids, ["repo_id", "c"]).select("repo_id", "key", "community_id")

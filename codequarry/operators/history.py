@@ -95,12 +95,10 @@ def git_metadata(commits: DataFrame, p: Params = Params(), top: int = 3) -> Data
         F.min("ts").alias("first_commit_at"),
         F.max("ts").alias("last_commit_at"),
     )
-    ranked = stats.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("n"), "email")))
-    authors = ranked.groupBy("repo_id", "path").agg(
-        F.count("*").alias("contributor_count"),
-        F.sum("n").alias("all"),
-        F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "email", "n")))).alias("a"),
-    )
+    # the limit on ranks is pushed below the shuffle, so a file that everyone touches sends few rows to its task
+    ranked = stats.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("n"), "email"))).where(F.col("k") <= top)
+    leaders = ranked.groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(F.struct("k", "email", "n"))).alias("a"))
+    authors = stats.groupBy("repo_id", "path").agg(F.count("*").alias("contributor_count"), F.sum("n").alias("all")).join(leaders, ["repo_id", "path"])
     authors = authors.select(
         "repo_id", "path", "contributor_count",
         F.col("a")[0]["email"].alias("primary_owner"),
@@ -144,10 +142,17 @@ def ownership(commits: DataFrame, granularity: str = "file", silo: float = 0.8)
 
 
 def bus_factor(commits: DataFrame) -> DataFrame:
-    """The fewest authors that made half of a file's commits."""
-    w = Window.partitionBy("repo_id", "path").orderBy(F.desc("n"), "email")
-    ranked = file_author_stats(commits).select("repo_id", "path", F.row_number().over(w).alias("k"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("n").over(Window.partitionBy("repo_id", "path")).alias("all"))
-    return ranked.where("2 * run >= all").groupBy("repo_id", "path").agg(F.min("k").cast("int").alias("bus_factor"))
+    """The fewest authors that made half of a file's commits.
+
+    Authors with equally many commits are one row, so a file's window is ordered over its different counts only.
+    """
+    same = file_author_stats(commits).groupBy("repo_id", "path", "n").agg(F.count("*").alias("authors"))
+    of_file = Window.partitionBy("repo_id", "path")
+    more = of_file.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    made = F.col("n") * F.col("authors")
+    rows = same.select("repo_id", "path", "n", "authors", F.coalesce(F.sum("authors").over(more), F.lit(0)).alias("before"), F.coalesce(F.sum(made).over(more), F.lit(0)).alias("run"), F.sum(made).over(of_file).alias("all"))
+    needed = F.greatest(F.ceil((F.col("all") / 2 - F.col("run")) / F.col("n")), F.lit(1))
+    return rows.where(needed <= F.col("authors")).groupBy("repo_id", "path").agg(F.min(F.col("before") + needed).cast("int").alias("bus_factor"))
 
 
 def git_summary(commits: DataFrame, p: Params = Params()) -> DataFrame:
@@ -158,6 +163,11 @@ def git_summary(commits: DataFrame, p: Params = Params()) -> DataFrame:
     return hot.join(people, "repo_id").join(top, "repo_id")
 
 
+def repo_modules(commits: DataFrame) -> DataFrame:
+    """Distinct files and folders of each repository's commits."""
+    return commits.groupBy("repo_id").agg(F.count_distinct("path").alias("files"), F.count_distinct(dirname("path")).alias("modules"))
+
+
 #: Message patterns by category, first match wins; ours (none are given).
 COMMIT_CATEGORIES = [("fix", r"(?i)\b(fix|bug|hotfix|patch)"), ("refactor", r"(?i)\b(refactor|clean|rename|restructure)"), ("dependency", r"(?i)\b(bump|upgrade|dependenc|deps)"), ("feature", r"(?i)\b(feat|add|implement|support)")]
 
@@ -204,6 +214,6 @@ def reviewer_suggestions(commits: DataFrame, paths: DataFrame, p: Params = Param
         extra = both.join(paths.select("repo_id", "path"), ["repo_id", "path"]).select("repo_id", F.col("p2").alias("path"), F.lit(0.5).alias("w"))
         wanted = wanted.unionByName(extra).groupBy("repo_id", "path").agg(F.max("w").alias("w"))
     stats = file_author_stats(commits).join(wanted, ["repo_id", "path"])
-    all_ = Window.partitionBy("repo_id", "path")
+    stats = stats.join(stats.groupBy("repo_id", "path").agg(F.sum("n").alias("all")), ["repo_id", "path"])
     age = (F.lit(p.as_of).cast("timestamp").cast("double") - F.col("last").cast("timestamp").cast("double")) / 86400
-    return stats.select("repo_id", "email", (F.col("w") * F.col("n") / F.sum("n").over(all_) * F.exp(-age / 365)).alias("s")).groupBy("repo_id", "email").agg(F.sum("s").alias("score"))
+    return stats.select("repo_id", "email", (F.col("w") * F.col("n") / F.col("all") * F.exp(-age / 365)).alias("s")).groupBy("repo_id", "email").agg(F.sum("s").alias("score"))

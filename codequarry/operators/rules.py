@@ -7,9 +7,11 @@ so the text of a file is read once however many rules there are. Users add rules
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,23 @@ def token_estimate(content: Column) -> Column:
     return F.floor(F.octet_length(content) / 4)
 
 
+def bpe_tokens(path: str) -> Callable[[Column], Column]:
+    """Exact counts for ``standard_rules(tokens=...)``: the tokens of a vocabulary file (.json) on every worker."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(e.ids) for e in _vocabulary(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+
+    return count
+
+
+@functools.cache
+def _vocabulary(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def pii_rules(names: Iterable[str] | None = None) -> list[Rule]:
     on = pii_switches(names)
     foreign = lambda c: F.exists(F.regexp_extract_all(c, F.lit(E164), F.lit(0)), lambda x: ~x.startswith("+91"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import coverage_band, dirname
+from ..functions.paths import coverage_band
 from ..operators import clones, contracts, coverage, graph, history, increments, planning, reports, rules, scoring
 from ..schemas import Params
 from . import projections as P
@@ -417,7 +417,7 @@ def group_files_as_modules(spark, d):
 
 @query()
 def communities(spark, d):
-    """No SQL: iterative; the tests check its properties."""
+    """Its SQL, the rounds written out, is in ``graphs``."""
     pairs = history.co_changes(P.commits(spark, d), 2).select("repo_id", F.col("a").alias("src"), F.col("b").alias("dst"))
     ends = pairs.select("repo_id", F.explode(F.array("src", "dst")).alias("key")).distinct()
     return graph.communities(ends, pairs, Params(as_of=P.AS_OF, rounds=5))
@@ -556,7 +556,7 @@ def contributor_network(spark, d):
 
 @query("commits", "SELECT repo_id, count(DISTINCT path) AS files, count(DISTINCT regexp_extract(path, '^(.*)/', 1)) AS modules FROM commits GROUP BY ALL")
 def repo_modules(spark, d):
-    return P.commits(spark, d).groupBy("repo_id").agg(F.count_distinct("path").alias("files"), F.count_distinct(dirname("path")).alias("modules"))
+    return history.repo_modules(P.commits(spark, d))
 
 
 @query(

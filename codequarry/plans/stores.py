@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import dirname
-from ..operators import clones, coverage, graph, history, increments, planning, rules
+from ..operators import clones, coverage, graph, history, increments, planning, reports, rules
 from ..sources import files as src
 from ..sources import sinks
 from ..storage import cut, shared_dir
@@ -145,11 +145,16 @@ def upsert_repositories(spark, d):
     return sinks.upsert_repositories(old, new)
 
 
-@query("", "SELECT * FROM (SELECT c_custkey AS id, c_mktsegment AS name FROM customer ORDER BY name, id LIMIT 100)")
+@query("", "SELECT c_custkey AS id, c_mktsegment AS name FROM customer")
 def list_repositories(spark, d):
-    """The first hundred in order, one looked up among them."""
-    c = sinks.list_repositories(P.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))).limit(100)
-    return c.join(sinks.get_repository(c, c.first().id).select("id"), "id", "left_semi").unionByName(c.join(sinks.get_repository(c, c.first().id).select("id"), "id", "left_anti"))
+    return sinks.list_repositories(P.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name")))
+
+
+@query("", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = (SELECT arg_max(o_custkey, (o_totalprice, o_custkey)) FROM orders)")
+def get_repository(spark, d):
+    """The customer of the dearest order."""
+    best = P.table(spark, d, "orders").agg(F.max_by("o_custkey", F.struct("o_totalprice", "o_custkey"))).first()[0]
+    return sinks.get_repository(P.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), best)
 
 
 @query("", "SELECT o_orderkey AS id, 'old' AS title, CASE WHEN o_orderstatus = 'O' THEN 'new' ELSE 'old' END AS content, CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS updated_at FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 'new', 'new', 2 FROM orders WHERE o_orderkey % 4 = 0 AND o_orderstatus = 'O'")
@@ -281,3 +286,21 @@ def recent_authors(spark, d):
     c = o.select(F.lit("shop").alias("repo_id"), F.col("o_orderkey").cast("string").alias("commit_id"), F.lit("a").alias("email"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path"))
     m = history.file_metrics(c, P.PARAMS)
     return m.select("repo_id", "path", (F.col("author_count") > 0).alias("recent"), F.col("churn").cast("bigint").alias("n"))
+
+
+@query("", "SELECT o_orderpriority AS type, o_orderkey AS subject, o_custkey % 7 AS level FROM orders")
+def list_wiki_pages(spark, d):
+    o = P.table(spark, d, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderkey").alias("subject"), F.pmod("o_custkey", F.lit(7)).alias("level"))
+    return planning.list_wiki_pages(o)
+
+
+@query("", "SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT AS created_at FROM orders")
+def list_wiki_jobs(spark, d):
+    return planning.list_wiki_jobs(P.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("created_at")))
+
+
+@query("own", "SELECT regexp_extract(key, '^([^/]*)', 1) AS module, round(avg(share), 6) AS score FROM own GROUP BY ALL")
+def module_rollup_sort(spark, d):
+    """Modules by their files' mean share of the first owner."""
+    o = history.ownership(P.commits(spark, d)).groupBy(F.substring_index("key", "/", 1).alias("module")).agg(F.avg("share").alias("score"))
+    return rounded(reports.module_rollup_sort(o), "score")

@@ -96,3 +96,23 @@ def test_repeated_hits_get_their_own_lines(spark):
     s = security.security_symbols(df)
     assert sorted(r.line for r in s.collect()) == [1, 3]
     assert {r.type for r in security.security_markers(s).collect()} == {"broken_crypto"}
+
+
+def test_exact_token_counts(spark):
+    import os
+
+    import pytest
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = ["", "a b c\nd", "x" * 900, "word " * 60, None]
+    df = spark.createDataFrame([("r", f"f{i}", True, ".txt", x) for i, x in enumerate(texts)], "repo_id string, path string, is_file boolean, ext string, content string")
+    found = rules.content_markers(df, rules.standard_rules(tokens=rules.bpe_tokens(path)))
+    got = {r.file: r.message for r in found.where("type = 'token_bloat'").collect()}
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids) / (x.count("\n") + 1)
+    assert got == {f"f{i}": f"High token density detected: {count(x):.2f} tokens/line" for i, x in enumerate(texts) if x and count(x) > 50}
+    assert len(got) >= 1
