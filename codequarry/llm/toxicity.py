@@ -83,6 +83,63 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(max(a[0], 0.0)), float(a[1]), float(-np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-9)))
 
 
+class Bags:
+    """The passages of documents as bags of words, and words as bags of subword buckets; sums and gradients over them.
+
+    Documents of ``watch`` only choose and calibrate the model, so their words need not be common; of the others
+    only words that at least ``COMMON`` of them hold count.
+    """
+
+    def __init__(self, docs: list[list[str]], watch: np.ndarray):
+        df = Counter(w for d, v in zip(docs, watch) if not v for w in set(d))
+        vocabulary = {w: i for i, w in enumerate(w for w, n in df.items() if n >= COMMON)}
+        everything = list({**vocabulary, **dict.fromkeys(w for d, v in zip(docs, watch) if v for w in d)})
+        number = {w: i for i, w in enumerate(everything)}  # the vocabulary's words come first
+        self.mine, self.words = len(vocabulary), len(everything)
+        if not self.mine:
+            return
+        ids, self.counts = subwords(everything)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.used, self.local = np.unique(ids, return_inverse=True)
+        self.inside = int(self.counts[: self.mine].sum())
+        word, passage, of_doc, length = [], [], [], []
+        for d, ws in enumerate(docs):
+            for at in _bounds(len(ws)):
+                different = set(ws[at : at + PASSAGE])
+                own = sorted(number[w] for w in different if watch[d] or w in vocabulary)
+                word += own
+                passage += [len(of_doc)] * len(own)
+                of_doc.append(d)
+                length.append(max(LEAST, len(different)))
+        self.word, self.passage, self.of_doc = np.array(word, np.int64), np.array(passage, np.int64), np.array(of_doc, np.int64)
+        self.scale = PASSAGE / np.array(length)
+        self.learn = ~watch[self.of_doc]
+        # a bucket moves by its gradient over (how often it was seen + PRIOR): what is rare stays near zero
+        seen, own = np.bincount(self.word[self.learn[self.passage]], minlength=self.words)[: self.mine], self.counts[: self.mine]
+        self.curve = np.bincount(self.local[: self.inside], weights=np.repeat(seen / own**2, own), minlength=len(self.used)) + PRIOR
+
+    @staticmethod
+    def _sum(index: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(index, weights=weights[:, k], minlength=size) for k in range(weights.shape[1])], axis=1)
+
+    def forward(self, E: np.ndarray, W: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(averaged embedding, logit of the toxic class) of every passage."""
+        V = np.add.reduceat(E[self.local], self.first, axis=0) / self.counts[:, None]
+        X = self._sum(self.passage, V[self.word], len(self.of_doc)) * self.scale[:, None]
+        return X, X @ (W[:, 1] - W[:, 0]) + b[1] - b[0]
+
+    def gradients(self, E: np.ndarray, W: np.ndarray, X: np.ndarray, z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, gradients of E, W and b) of the cross entropy over the learned passages plus RIDGE / 2 of the squares of E."""
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        d1 = np.where(self.learn, p - target, 0.0)
+        g = np.stack([-d1, d1], axis=1)
+        gX = (g @ W.T) * self.scale[:, None]
+        own = self.counts[: self.mine]
+        gV = self._sum(self.word, gX[self.passage], self.words)[: self.mine] / own[:, None]
+        gE = self._sum(self.local[: self.inside], np.repeat(gV, own, axis=0), len(self.used)) + RIDGE * E
+        return p, gE, X[self.learn].T @ g[self.learn], g.sum(0)
+
+
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias): what a softmax over averaged embeddings adds up to.
 
@@ -97,65 +154,36 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     watch = np.arange(len(docs)) % 4 == 3
     if y[watch].sum() < 4 or y[~watch].sum() < 4:
         watch = np.zeros(len(docs), dtype=bool)
-    df = Counter(w for d, v in zip(docs, watch) if not v for w in set(d))
-    vocabulary = {w: i for i, w in enumerate(w for w, n in df.items() if n >= COMMON)}
-    if not vocabulary:
+    bags = Bags(docs, watch)
+    if not bags.mine:
         return np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean())))
-    everything = list({**vocabulary, **dict.fromkeys(w for d, v in zip(docs, watch) if v for w in d)})
-    ids, counts = subwords(everything)
-    number = {w: i for i, w in enumerate(everything)}  # the vocabulary's words come first
-    first = np.cumsum(counts) - counts
-    used, local = np.unique(ids, return_inverse=True)
-    mine = len(vocabulary)
-    inside = int(counts[:mine].sum())
-    word, passage, of_doc, length = [], [], [], []
-    for d, ws in enumerate(docs):
-        for at in _bounds(len(ws)):
-            different = set(ws[at : at + PASSAGE])
-            own = sorted(number[w] for w in different if watch[d] or w in vocabulary)
-            word += own
-            passage += [len(of_doc)] * len(own)
-            of_doc.append(d)
-            length.append(max(LEAST, len(different)))
-    word, passage, of_doc = np.array(word, np.int64), np.array(passage, np.int64), np.array(of_doc, np.int64)
-    scale = PASSAGE / np.array(length)
-    learn = ~watch[of_doc]
+    of_doc, learn = bags.of_doc, bags.learn
     target, n = y[of_doc], int(learn.sum())  # each passage takes its document's label
     begin = np.searchsorted(of_doc, np.arange(len(docs)))
     rng = np.random.default_rng(SEED)
-    E, W = rng.normal(0, 1e-3, (len(used), SIZE)), np.linspace(-0.5, 0.5, 2 * SIZE).reshape(2, SIZE).T * [-1, 1]
+    E, W = rng.normal(0, 1e-3, (len(bags.used), SIZE)), np.linspace(-0.5, 0.5, 2 * SIZE).reshape(2, SIZE).T * [-1, 1]
     b = np.array([0.0, np.log(target[learn].mean() / (1 - target[learn].mean()))])
-    bag = lambda index, weights, size: np.stack([np.bincount(index, weights=weights[:, k], minlength=size) for k in range(SIZE)], axis=1)
-    # a bucket moves by its gradient over (how often it was seen + PRIOR): what is rare stays near zero
-    seen = np.bincount(word[learn[passage]], minlength=len(everything))[:mine]
-    curve = np.bincount(local[:inside], weights=np.repeat(seen / counts[:mine] ** 2, counts[:mine]), minlength=len(used)) + PRIOR
     speed, best = np.zeros_like(E), None
     for epoch in range(1, EPOCHS + 1):
-        V = np.add.reduceat(E[local], first, axis=0) / counts[:, None]
-        X = bag(passage, V[word], len(of_doc)) * scale[:, None]
-        z = X @ (W[:, 1] - W[:, 0]) + b[1] - b[0]
+        X, z = bags.forward(E, W, b)
         if epoch % 10 == 1 and epoch > 1:
             top = np.maximum.reduceat(z, begin)
             held = watch if watch.any() else ~watch
             slope, offset, loss = _calibrate(top[held], y[held])
             if best is None or loss < best[0]:
                 best = (loss, slope, slope * float(b[1] - b[0]) + offset, E @ (W[:, 1] - W[:, 0]))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         if epoch >= SETTLE and epoch % 10 == 0:
             # of a toxic document only the passages that look like its most toxic one keep the label
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             target = y[of_doc] * (p >= 0.5 * np.maximum.reduceat(p, begin)[of_doc])
-        d1 = np.where(learn, p - target, 0.0)
-        g = np.stack([-d1, d1], axis=1)
-        gX = (g @ W.T) * scale[:, None]
-        gV = bag(word, gX[passage], len(everything))[:mine] / counts[:mine, None]
-        gE = bag(local[:inside], np.repeat(gV, counts[:mine], axis=0), len(used)) + RIDGE * E
-        speed = 0.8 * speed - RATE * gE / curve[:, None]
+        p, gE, gW, gb = bags.gradients(E, W, X, z, target)
+        speed = 0.8 * speed - RATE * gE / bags.curve[:, None]
         E = E + speed
-        W = W - RATE * (X[learn].T @ g[learn]) / n
-        b = b - np.clip(g.sum(0) / (np.where(learn, p * (1 - p), 0.0).sum() + 1.0), -0.2, 0.2) / 2
+        W = W - RATE * gW / n
+        b = b - np.clip(gb / (np.where(learn, p * (1 - p), 0.0).sum() + 1.0), -0.2, 0.2) / 2
     _, slope, bias, share = best
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = slope * PASSAGE * share
+    out[bags.used] = slope * PASSAGE * share
     return out, bias
 
 

@@ -136,6 +136,33 @@ def test_samples_hold_whole_texts_of_every_label(spark):
     assert few == labelled_sample(df.repartition(3).select("doc_id", "label"), df.select("doc_id", "text"), 400, 100_000)
 
 
+def test_gradients_equal_differences():
+    rnd, rng = random.Random(9), np.random.default_rng(9)
+    docs = [[rnd.choice(["aa", "bbb", "cccc", "ddddd", "e"]) for _ in range(rnd.randint(1, 60))] for _ in range(20)]
+    bags = toxicity.Bags(docs, np.arange(20) % 4 == 3)
+    E, W, b = rng.normal(size=(len(bags.used), toxicity.SIZE)), rng.normal(size=(toxicity.SIZE, 2)), rng.normal(size=2)
+    target = rng.integers(0, 2, len(bags.of_doc)).astype(float)
+
+    def loss(E, W, b):
+        _, z = bags.forward(E, W, b)
+        cross = np.logaddexp(0, z) - target * z
+        return cross[bags.learn].sum() + toxicity.RIDGE / 2 * (E**2).sum()
+
+    _, gE, gW, gb = bags.gradients(E, W, *bags.forward(E, W, b), target)
+    own = np.unique(bags.local[: bags.inside])  # buckets of words that are learned
+    for at in zip(rng.choice(own, 6), rng.integers(0, toxicity.SIZE, 6)):
+        step = np.zeros_like(E)
+        step[at] = 1e-5
+        assert math.isclose((loss(E + step, W, b) - loss(E - step, W, b)) / 2e-5, gE[at], rel_tol=1e-4, abs_tol=1e-6)
+    for at in ((0, 0), (1, 1), (3, 0)):
+        step = np.zeros_like(W)
+        step[at] = 1e-5
+        assert math.isclose((loss(E, W + step, b) - loss(E, W - step, b)) / 2e-5, gW[at], rel_tol=1e-4)
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-5
+        assert math.isclose((loss(E, W, b + step) - loss(E, W, b - step)) / 2e-5, gb[k], rel_tol=1e-4)
+
+
 def test_scores_equal_a_plain_sum_over_ngrams():
     rnd = np.random.default_rng(1)
     share = rnd.normal(size=toxicity.BUCKETS).astype(np.float32)
