@@ -364,7 +364,9 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go; all others stay as they are.
 
-    The benchmark's blocks filter one after the other, inside the tasks: nothing is shuffled or joined.
+    The benchmark's blocks filter one after the other, inside the tasks: nothing is shuffled or joined. Rows with null or
+    empty texts or null ids stay or go by their text alone, repeated rows each for themselves, all columns stay as they
+    are, whatever their names; an empty table or an empty benchmark takes nothing away.
     """
     ship(spark)
     schema, at = docs.schema, docs.columns.index("text")

@@ -38,6 +38,7 @@ CACHE, CACHE_NUMBERS = 300_000, 4_000_000
 VOCABULARY, UND = "piece_bpe_32k.model", "und"
 
 words_of = regex.compile(r"\p{L}+").findall
+letter_in = regex.compile(r"\p{L}").search
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
 
@@ -315,7 +316,11 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language (no letter, or no text) go; lang takes the prediction."""
+    """Pipeline stage: documents without a language (no letter, or no text) go; lang takes the prediction.
+
+    Repeated rows and rows without an id are judged each for themselves; all other columns stay as they are; an empty table
+    stays empty; when nothing is labelled lang stays as it is and only documents without a letter go.
+    """
     ship(spark)
     path = vocabulary_path(VOCABULARY)
     held = spark.sparkContext.broadcast(fit(docs, path))
@@ -324,9 +329,11 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches):
         predictor = Predictor(*held.value, path)
         for b in slices(batches):
-            found = [x for x, _ in predictor([t or "" for t in b.column(text_at).to_pylist()])]
-            langs = pa.array(found, b.schema.field(lang_at).type)
-            kept = pa.RecordBatch.from_arrays([langs if i == lang_at else b.column(i) for i in range(b.num_columns)], schema=b.schema)
-            yield kept.filter(pa.array([x != UND for x in found]))
+            texts = [t or "" for t in b.column(text_at).to_pylist()]
+            keep = pa.array([letter_in(t) is not None for t in texts])
+            if predictor.languages:
+                langs = pa.array([x for x, _ in predictor(texts)], b.schema.field(lang_at).type)
+                b = pa.RecordBatch.from_arrays([langs if i == lang_at else b.column(i) for i in range(b.num_columns)], schema=b.schema)
+            yield b.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)

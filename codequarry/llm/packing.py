@@ -233,5 +233,5 @@ def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the remaining documents, packed."""
+    """Pipeline stage: the remaining documents, packed; null, empty and repeated rows and rows without an id as in ``pack``, extra columns are not read."""
     return pack(docs)

@@ -199,6 +199,10 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced in the text, and n_chars follows the new text."""
+    """Pipeline stage: personal data is replaced in the text, and n_chars follows the new text.
+
+    Null texts stay null (with a null n_chars), empty ones empty; repeated rows and rows without an id are treated each for
+    themselves; all other columns stay as they are; an empty table stays empty.
+    """
     columns = docs.columns
     return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*columns)

@@ -111,3 +111,8 @@ def test_special_strings_count_as_the_library_counts_them():
     t = token_counts._tokenizer(path)
     texts = [f"a {s.content}b" for s in t.get_added_tokens_decoder().values()]
     assert token_counts.count_tokens(texts, path, {}) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_language_stage_without_labels(spark, folder):
+    df = spark.createDataFrame([(1, "some words", None, "s", 1, "", ""), (2, "12 34", None, "s", 1, "", "")], SCHEMA)
+    assert [(r.doc_id, r.lang) for r in langid.language_stage(spark, df, folder).collect()] == [(1, None)]
