@@ -8,7 +8,7 @@ inner brace, however long that is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import marker
@@ -53,43 +53,39 @@ PATTERNS = [
 
 
 def security_symbols(files: DataFrame) -> DataFrame:
-    """One ``symbols`` row for each hit: line = where the match begins, end_line = where it ends."""
-    c = F.col("content")
-    hits = []
-    for rule, exts, pattern in PATTERNS:
-        found = F.when(F.col("ext").isin(*exts), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        hits.append(F.transform(found, _named(rule)))
+    """One ``symbols`` row for each hit: line = where the match begins, end_line = where it ends.
+
+    A file's text is cut at its hits, and line breaks are summed over the pieces and hits before each one, so a file
+    is one row until its hits are exploded and nothing is shuffled.
+    """
     exts = sorted({e for _, x, _ in PATTERNS for e in x})
     rows = files.where(F.col("ext").isin(*exts) & F.col("content").isNotNull())
-    rows = rows.select("repo_id", F.col("path").alias("file_path"), "content", F.explode(F.flatten(F.array(*hits))).alias("h"))
-    # the place of a hit: the text before its (n + 1)-th occurrence among equal hits of the same rule
-    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    same = F.row_number().over(_window("repo_id", "file_path", "h.name", "h.hit", order="h.nth"))
-    rows = rows.withColumn("occurrence", same)
-    before = F.expr("substring_index(content, h.hit, occurrence)")
-    return rows.select(
-        "repo_id",
-        F.col("h.name").alias("name"),
-        F.lit("biomarker").alias("type"),
-        (breaks(before) + 1 + _leading("h.hit")).cast("int").alias("line"),
-        (breaks(before) + 1 + breaks(F.col("h.hit"))).cast("int").alias("end_line"),
-        "file_path",
-    )
-
-
-def _named(rule: str):
-    return lambda m, i: F.struct(F.lit(rule).alias("name"), m.alias("hit"), i.alias("nth"))
-
-
-def _leading(hit: str):
-    """Line breaks at the begin of a hit (white space that a multi-line pattern took along)."""
-    return F.length(F.regexp_extract(hit, r"^(\s*)", 1)) - F.length(F.replace(F.regexp_extract(hit, r"^(\s*)", 1), F.lit("\n"), F.lit("")))
+    found = [F.when(F.col("ext").isin(*own), _hits(rule, pattern)) for rule, own, pattern in PATTERNS]
+    rows = rows.select("repo_id", F.col("path").alias("file_path"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("h"))
+    return rows.select("repo_id", "h.name", F.lit("biomarker").alias("type"), "h.line", "h.end_line", "file_path")
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _window(*keys: str, order: str):
-    from pyspark.sql import Window
+def _hits(rule: str, pattern: str) -> Column:
+    """The hits of a pattern as structs (name, line, end_line), in order."""
+    hits, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda x, hit: F.struct(_breaks(x).alias("x"), _breaks(hit).alias("inside"), _leading(hit).alias("lead")))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<name:string,line:int,end_line:int>>").alias("out"))
 
-    return Window.partitionBy(*keys).orderBy(order)
+    def add(before: Column, pair: Column) -> Column:
+        line = before["line"] + pair["x"]
+        hit = F.struct(F.lit(rule).alias("name"), (line + pair["lead"]).alias("line"), (line + pair["inside"]).alias("end_line"))
+        return F.struct((line + pair["inside"]).alias("line"), F.concat(before["out"], F.array(hit)).alias("out"))
+
+    return F.aggregate(pairs, start, add, lambda x: x["out"])
+
+
+def _leading(hit: Column) -> Column:
+    """Line breaks at the begin of a hit (white space that a multi-line pattern took along)."""
+    return _breaks(F.regexp_extract(hit, r"^(\s*)", 1))
 
 
 def security_markers(symbols: DataFrame) -> DataFrame:
