@@ -193,15 +193,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star rounds: each is one grouping by node in which a node
     hands its neighbours to their minimum, so the depth of the forest shrinks geometrically.
     A hub is grouped by its neighbours, not collected: both rounds are a minimum per node
-    (combined before the shuffle) and a join back.
+    (combined before the shuffle) and a join back. The minima are written first, so that join has nothing above or
+    below it that needs a hub's rows together, and adaptive execution can split it.
     """
     edges = cut(edges.select("a", "b").where("a <> b").distinct(), name)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         large = cut(large, name)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m")), name)
         small = large.join(least, "b").select("a", "b", "m")
         small = small.select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         small = cut(small, name)
