@@ -26,7 +26,7 @@ from ..storage import cut, shared_dir  # noqa: F401 - the operators take them fr
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; rows alone don't bound it, as texts may be long.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
