@@ -26,6 +26,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/codequarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of intermediate tables: a writing task holds one in memory.
+ROW_GROUP = 32 << 20
+
+
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bound Arrow batches to Python workers by bytes; rows alone don't bound them, as files and texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
@@ -34,5 +38,5 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: a lost executor costs one read, not a recomputation."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
