@@ -68,7 +68,7 @@ def add_co_change_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _both_ends(e.withColumn("rel", F.lit("co-change")), nodes.where("node_type = 'file'"), "semi").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter: int = 100, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(repo_id, key, pagerank): unweighted over all edge types; ranks of a repository sum to 1.
 
     The mass of nodes without out-edges is spread evenly. Stops when the 2-norm of the change is
@@ -81,15 +81,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter:
     sizes = nodes.groupBy("repo_id").agg(F.count("*").alias("n"))
     state = nodes.select("repo_id", "key").distinct().join(sizes, "repo_id").join(degree.select("repo_id", F.col("src").alias("key"), "out"), ["repo_id", "key"], "left")
     state = cut(state.select("repo_id", "key", "n", F.col("out").isNull().alias("sink"), (1 / F.col("n")).alias("r")), "pr_state")
-    for i in range(max_iter):
+    for _ in range(max_iter):
         given = links.join(state.select("repo_id", F.col("key").alias("src"), "r"), ["repo_id", "src"])
         inflow = given.groupBy("repo_id", F.col("dst").alias("key")).agg(F.sum(F.col("r") / F.col("out")).alias("flow"))
         lost = state.groupBy("repo_id").agg(F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).alias("lost"))
         new = state.join(inflow, ["repo_id", "key"], "left").join(lost, "repo_id")
         value = (1 - d) / F.col("n") + d * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        new = new.select("repo_id", "key", "n", "sink", value.alias("r"), F.col("r").alias("old"))
-        if tolerance > 0 or i % cut_every == cut_every - 1 or i == max_iter - 1:
-            new = cut(new, "pr_state")
+        # a round reads the state three times, so each round's state is written once
+        new = cut(new.select("repo_id", "key", "n", "sink", value.alias("r"), F.col("r").alias("old")), "pr_state")
         state = new.drop("old")
         if tolerance > 0:
             worst = new.groupBy("repo_id").agg(F.sqrt(F.sum((F.col("r") - F.col("old")) ** 2)).alias("c")).agg(F.max("c")).first()[0]
