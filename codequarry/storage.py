@@ -39,4 +39,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: a lost executor costs one read, not a recomputation."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of shared storage."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote, once nothing reads it any more: iterations keep their last states only."""
+    if "_stored_at" in vars(df):
+        remove(df.sparkSession, df._stored_at)
