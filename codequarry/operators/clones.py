@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import STRUCTURAL
 from ..schemas import Params
+from ..storage import cut
 from .rules import marker
 
 
@@ -68,14 +69,27 @@ def clone_pairs(windows: DataFrame) -> DataFrame:
     return first.select("repo_id", "path", "owner", "f.*")
 
 
+def first_lines(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(repo_id, path, token, line): where the (repo_id, path, token) of ``wanted`` first stand in their files.
+
+    Tokens are gathered by file first, so a file's text is read once, however many clones point to it, and doesn't go on.
+    """
+    tokens = wanted.distinct().groupBy("repo_id", "path").agg(F.collect_list("token").alias("tokens"))
+    rows = files.select("repo_id", "path", "content").join(tokens, ["repo_id", "path"])
+    found = F.transform("tokens", lambda t: F.struct(t.alias("token"), estimate_line(F.col("content"), t).alias("line")))
+    return rows.select("repo_id", "path", F.explode(found).alias("l")).select("repo_id", "path", "l.*")
+
+
 def dry_violations(files: DataFrame, order: str = "path", p: Params = Params(), exts: list[str] | None = STRUCTURAL) -> DataFrame:
     """``markers`` of duplicated code: one for each unordered pair of files, on the later file."""
-    pairs = clone_pairs(token_windows(files, order, p, exts))
-    text = files.select("repo_id", "path", "content")
-    pairs = pairs.join(text, ["repo_id", "path"]).join(text.select("repo_id", F.col("path").alias("owner"), F.col("content").alias("owner_content")), ["repo_id", "owner"])
+    pairs = cut(clone_pairs(token_windows(files, order, p, exts)), "clones")
+    owners = pairs.select("repo_id", F.col("owner").alias("path"), "token")
+    lines = first_lines(files, pairs.select("repo_id", "path", "token").unionByName(owners))
+    pairs = pairs.join(lines, ["repo_id", "path", "token"])
+    pairs = pairs.join(lines.select("repo_id", F.col("path").alias("owner"), "token", F.col("line").alias("owner_line")), ["repo_id", "owner", "token"])
     since = F.lit(p.as_of).cast("timestamp") - F.expr(f"INTERVAL {p.active_days} DAYS")
     active = F.coalesce((F.col("last_mod") > since) & (F.col("owner_mod") > since), F.lit(False))
     deduction = F.least(F.lit(1.5), F.when(active, F.lit(p.active_factor)).otherwise(1.0))
-    say = F.format_string("Clone detected: similar code to '%s' (line ~%d)", F.col("owner"), estimate_line("owner_content", "token"))
-    m = marker("dry_violation", "medium", say, estimate_line("content", "token"), deduction, "duplication")
+    say = F.format_string("Clone detected: similar code to '%s' (line ~%d)", F.col("owner"), F.col("owner_line"))
+    m = marker("dry_violation", "medium", say, F.col("line"), deduction, "duplication")
     return pairs.select("repo_id", F.col("path").alias("file"), m.alias("m")).select("repo_id", "file", "m.*")

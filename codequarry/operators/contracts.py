@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import dirname, is_test_filename
 from ..schemas import Params
+from .history import pairs_within
 
 
 def dead_code_findings(dead_markers: DataFrame, files: DataFrame, edges: DataFrame, p: Params = Params()) -> DataFrame:
@@ -65,11 +66,16 @@ def repo_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFr
 def cross_repo_co_changes(commits: DataFrame) -> DataFrame:
     """(repo_a, repo_b, days, strength): days on which one author committed to both, over the smaller one's author days.
 
-    An author-day is first folded to its set of repositories, so pairs are made for each distinct set.
+    Author-days with the same set of repositories (by its size and two 64-bit hashes) are one, with a weight; its
+    repositories are paired block by block, so an author of many repositories fills no task.
     """
     days = commits.select("repo_id", "email", F.to_date("ts").alias("day")).distinct()
-    sets = days.groupBy("email", "day").agg(F.array_sort(F.collect_set("repo_id")).alias("r")).groupBy("r").agg(F.count("*").alias("n")).where(F.size("r") > 1)
-    pairs = sets.select("n", "r", F.explode("r").alias("repo_a")).select("n", "repo_a", F.explode("r").alias("repo_b")).where("repo_a < repo_b").groupBy("repo_a", "repo_b").agg(F.sum("n").alias("days"))
+    mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("repo_id")).alias("h1"), F.bit_xor(F.xxhash64("repo_id", F.lit(1))).alias("h2"))
+    sets = days.groupBy("email", "day").agg(mark.alias("mark")).where("mark.n > 1")
+    kinds = sets.groupBy("mark").agg(F.count("*").alias("weight"), F.min(F.struct("email", "day")).alias("first"))
+    firsts = days.join(kinds.select("first.email", "first.day"), ["email", "day"])
+    pairs = pairs_within(firsts.select("email", "day", "repo_id"), ["email", "day"], "repo_id").join(kinds.select("first.email", "first.day", "weight"), ["email", "day"])
+    pairs = pairs.groupBy(F.col("a").alias("repo_a"), F.col("b").alias("repo_b")).agg(F.sum("weight").alias("days"))
     total = days.groupBy("repo_id").agg(F.count("*").alias("t"))
     a, b = total.select(F.col("repo_id").alias("repo_a"), F.col("t").alias("ta")), total.select(F.col("repo_id").alias("repo_b"), F.col("t").alias("tb"))
     return pairs.join(a, "repo_a").join(b, "repo_b").select("repo_a", "repo_b", "days", (F.col("days") / F.least("ta", "tb")).alias("strength"))

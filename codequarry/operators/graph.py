@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import prefix
 from ..schemas import Params
-from ..storage import cut
+from ..storage import cut, forget
 from .ranks import running_totals
 from .rules import marker
 
@@ -68,28 +68,50 @@ def add_co_change_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _both_ends(e.withColumn("rel", F.lit("co-change")), nodes.where("node_type = 'file'"), "semi").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+#: Edges of one end that one task joins, about: a hub's edges are cut into parts of this many.
+HUB = 100_000
+
+
+def cut_by_degree(edges: DataFrame, end: str, other: str, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``part``, (repo_id, key, degree, parts)): a vertex cut at ``end``.
+
+    An end with more than ``hub`` edges gets several parts, dealt by the other end; ``in_parts`` copies its row to each of them.
+    """
+    sizes = edges.groupBy("repo_id", F.col(end).alias("key")).agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / hub).cast("int"))
+    hubs = sizes.where("parts > 1").select("repo_id", F.col("key").alias(end), "parts")
+    rows = edges.join(hubs, ["repo_id", end], "left")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).otherwise(0)
+    return rows.withColumn("part", part).drop("parts"), sizes
+
+
+def in_parts(rows: DataFrame, parts: str = "parts") -> DataFrame:
+    """A row for each part of its vertex."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter: int = 100, tolerance: float = 1e-6, hub: int = HUB) -> DataFrame:
     """(repo_id, key, pagerank): unweighted over all edge types; ranks of a repository sum to 1.
 
     The mass of nodes without out-edges is spread evenly. Stops when the 2-norm of the change is
     below ``tolerance`` in every repository, or after ``max_iter`` rounds (0 tolerance: exactly that many).
+    The edges of a hub lie in parts, each with a copy of its rank; what flows into a node is summed by task first.
     """
     d = p.damping
-    pairs = edges.select("repo_id", "src", "dst").distinct()
-    degree = pairs.groupBy("repo_id", "src").agg(F.count("*").alias("out"))
-    links = _dealt(cut(pairs.join(degree, ["repo_id", "src"]), "pr_links"), "repo_id", "src")
+    links, degree = cut_by_degree(edges.select("repo_id", "src", "dst").distinct(), "src", "dst", hub)
+    links = _dealt(cut(links, "pr_links"), "repo_id", "src", "part")
     sizes = nodes.groupBy("repo_id").agg(F.count("*").alias("n"))
-    state = nodes.select("repo_id", "key").distinct().join(sizes, "repo_id").join(degree.select("repo_id", F.col("src").alias("key"), "out"), ["repo_id", "key"], "left")
-    state = cut(state.select("repo_id", "key", "n", F.col("out").isNull().alias("sink"), (1 / F.col("n")).alias("r")), "pr_state")
+    state = nodes.select("repo_id", "key").distinct().join(sizes, "repo_id").join(degree.withColumnRenamed("degree", "out"), ["repo_id", "key"], "left")
+    state = cut(state.select("repo_id", "key", "n", "out", "parts", (1 / F.col("n")).alias("r")), "pr_state")
     for _ in range(max_iter):
-        given = links.join(state.select("repo_id", F.col("key").alias("src"), "r"), ["repo_id", "src"])
-        inflow = given.groupBy("repo_id", F.col("dst").alias("key")).agg(F.sum(F.col("r") / F.col("out")).alias("flow"))
-        lost = state.groupBy("repo_id").agg(F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).alias("lost"))
+        sent = in_parts(state.where("out is not null").select("repo_id", F.col("key").alias("src"), (F.col("r") / F.col("out")).alias("share"), "parts"))
+        inflow = links.join(sent, ["repo_id", "src", "part"]).groupBy("repo_id", F.col("dst").alias("key")).agg(F.sum("share").alias("flow"))
+        lost = state.groupBy("repo_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("r")).otherwise(0.0)).alias("lost"))
         new = state.join(inflow, ["repo_id", "key"], "left").join(lost, "repo_id")
         value = (1 - d) / F.col("n") + d * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("n"))
         # a round reads the state three times, so each round's state is written once
-        new = cut(new.select("repo_id", "key", "n", "sink", value.alias("r"), F.col("r").alias("old")), "pr_state")
-        state = new.drop("old")
+        new = cut(new.select("repo_id", "key", "n", "out", "parts", value.alias("r"), F.col("r").alias("old")), "pr_state")
+        before, state = state, new
+        forget(before)
         if tolerance > 0:
             worst = new.groupBy("repo_id").agg(F.sqrt(F.sum((F.col("r") - F.col("old")) ** 2)).alias("c")).agg(F.max("c")).first()[0]
             if worst is None or worst < tolerance:
@@ -101,38 +123,43 @@ def pagerank(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_iter:
 def _dealt(edges: DataFrame, *keys: str) -> DataFrame:
     """Edges that every round joins by the same keys: dealt by them once and kept (spilled to disk if need be).
 
-    What a lost executor held is read again from the written table below.
+    A hub's edges have several keys, so no partition holds them all. What a lost executor held is read again
+    from the written table below.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return edges.repartition(n, *keys).persist()
 
 
-def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_rounds: int | None = None) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_rounds: int | None = None, hub: int = HUB) -> DataFrame:
     """(repo_id, key, community_id): modularity local moving, deterministic.
 
     Every round half of the nodes (by the first digit of the MD5 of key and round) may move to the neighbouring
     community with the best gain w(i,C) - r*k_i*S_C/2m, if it beats staying by more than 1e-9;
     ties go to the smallest community. Ids are numbered from 0 within a repository. Stops when both
-    halves stay, at ``p.rounds`` rounds (each: both halves).
+    halves stay, at ``p.rounds`` rounds (each: both halves). A hub's edges lie in parts with a copy of its label, and its
+    options are dealt by their communities.
     """
     pairs = edges.select("repo_id", "src", "dst").where("src <> dst").distinct()
     both = pairs.unionByName(pairs.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    w = cut(both.groupBy("repo_id", "src", "dst").agg(F.count("*").cast("double").alias("w")), "co_links")
-    near = _dealt(w, "repo_id", "dst")
+    w = both.groupBy("repo_id", "src", "dst").agg(F.count("*").cast("double").alias("w"))
+    w, sizes = cut_by_degree(w, "dst", "src", hub)
+    w = cut(w, "co_links")
+    near = _dealt(w, "repo_id", "dst", "part")
     degree = w.groupBy("repo_id", F.col("src").alias("key")).agg(F.sum("w").alias("k"))
     total = degree.groupBy("repo_id").agg(F.sum("k").alias("m2"))
-    state = nodes.select("repo_id", "key").distinct().join(degree, ["repo_id", "key"], "left").join(total, "repo_id", "left")
-    state = cut(state.select("repo_id", "key", F.coalesce("k", F.lit(0.0)).alias("k"), F.coalesce("m2", F.lit(0.0)).alias("m2"), F.col("key").alias("c")), "co_state")
+    state = nodes.select("repo_id", "key").distinct().join(degree, ["repo_id", "key"], "left").join(total, "repo_id", "left").join(sizes.drop("degree"), ["repo_id", "key"], "left")
+    state = cut(state.select("repo_id", "key", F.coalesce("k", F.lit(0.0)).alias("k"), F.coalesce("m2", F.lit(0.0)).alias("m2"), F.coalesce("parts", F.lit(1)).alias("parts"), F.col("key").alias("c")), "co_state")
+    most = state.agg(F.max("parts")).first()[0] or 1
     still = 0
     for i in range(2 * (max_rounds or p.rounds)):
         size = state.groupBy("repo_id", "c").agg(F.sum("k").alias("s"))
         moves_now = lambda key: F.instr(F.lit("0123456789abcdef"), F.md5(F.concat(key, F.lit(f":{i // 2}"))).substr(1, 1)) % 2 == i % 2  # noqa: B023, E731
         turn = state.where(moves_now("key") & (F.col("k") > 0))
-        label = state.select("repo_id", F.col("key").alias("dst"), F.col("c").alias("to"))
-        into = near.where(moves_now("src")).join(label, ["repo_id", "dst"]).select("repo_id", F.col("src").alias("key"), "to", "w")
+        label = in_parts(state.select("repo_id", F.col("key").alias("dst"), F.col("c").alias("to"), "parts"))
+        into = near.where(moves_now("src")).join(label, ["repo_id", "dst", "part"]).select("repo_id", F.col("src").alias("key"), "to", "w")
         stay = turn.select("repo_id", "key", F.col("c").alias("to"), F.lit(0.0).alias("w"))
         options = into.unionByName(stay).groupBy("repo_id", "key", "to").agg(F.sum("w").alias("w"))
-        options = options.join(turn, ["repo_id", "key"]).join(size.withColumnRenamed("c", "to"), ["repo_id", "to"])
+        options = _with_own(options, turn.select("repo_id", "key", "k", "m2", "c", "parts"), most).join(size.withColumnRenamed("c", "to"), ["repo_id", "to"])
         others = F.col("s") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
         options = options.select("repo_id", "key", "to", "c", (F.col("w") - p.resolution * F.col("k") * others / F.col("m2")).alias("gain"))
         best = options.groupBy("repo_id", "key").agg(
@@ -140,9 +167,10 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
         )
         moves = best.where(F.col("gain") > F.col("own") + 1e-9).select("repo_id", "key", "to")
         new = state.join(moves, ["repo_id", "key"], "left")
-        new = cut(new.select("repo_id", "key", "k", "m2", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "co_state")
+        new = cut(new.select("repo_id", "key", "k", "m2", "parts", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "co_state")
+        before, state = state, new
+        forget(before)
         moved = not new.where("moved").isEmpty()
-        state = new.drop("moved")
         still = i % 2 * still + (not moved)
         if still == 2:
             break
@@ -152,6 +180,18 @@ def communities(nodes: DataFrame, edges: DataFrame, p: Params = Params(), max_ro
     return state.join(ids, ["repo_id", "c"]).select("repo_id", "key", "community_id")
 
 
+def _with_own(options: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """Options with their node's columns; where there are hubs, options are dealt by their communities too.
+
+    The hubs' names are joined first (few rows), so that options of other nodes keep one part.
+    """
+    if most == 1:
+        return options.join(own.drop("parts"), ["repo_id", "key"])
+    hubs = own.where("parts > 1").select("repo_id", "key", "parts")
+    options = options.join(hubs, ["repo_id", "key"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    return options.join(in_parts(own), ["repo_id", "key", "part"]).drop("part")
+
+
 def community_count(labels: DataFrame) -> DataFrame:
     return labels.groupBy("repo_id").agg(F.count_distinct("community_id").alias("communities"))
 

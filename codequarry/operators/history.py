@@ -63,24 +63,41 @@ def organisation_markers(files: DataFrame, p: Params = Params()) -> DataFrame:
     return fired(files.where("coalesce(is_file, true)"), "path", found)
 
 
+def pairs_within(rows: DataFrame, key: list[str], item: str, block: int = 200) -> DataFrame:
+    """(key, a, b) for any two items of a key, a < b; ``rows`` are distinct.
+
+    A key's items are dealt into blocks of about ``block``; each pair of blocks is a join key of its own, so a large
+    key's pairs are made by many tasks.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("items_")).where("items_ > 1")
+    blocks = F.ceil(F.col("items_") / block).cast("int")
+    once = rows.join(sizes, key).select(*key, item, blocks.alias("n_"), F.pmod(F.xxhash64(item), blocks).cast("int").alias("own_"))
+    each = F.explode(F.sequence(F.lit(0), F.col("n_") - 1))
+    left = once.select(*key, F.col(item).alias("a"), F.col("own_").alias("i_"), each.alias("j_"))
+    right = once.select(*key, F.col(item).alias("b"), F.col("own_").alias("j_"), each.alias("i_"))
+    return left.join(right, [*key, "i_", "j_"]).where("a < b").select(*key, "a", "b")
+
+
+def recurring(once: DataFrame, min_count: int) -> DataFrame:
+    """Of distinct (repo_id, commit_id, path) the rows whose path lies in ``min_count`` commits at least."""
+    if min_count <= 1:
+        return once
+    often = once.groupBy("repo_id", "path").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("repo_id", "path")
+    return once.join(often, ["repo_id", "path"], "left_semi")
+
+
 def co_changes(commits: DataFrame, min_count: int = 3, most_files: int | None = None, block: int = 200) -> DataFrame:
     """(repo_id, a, b, count): distinct commits that touch both files, a < b.
 
-    All commits count, unless ``most_files`` asks to leave out those that touch more files. A commit's files are
-    dealt into blocks of about ``block``; each pair of blocks is a join key of its own, so a large
-    commit's pairs are made by many tasks, and their counts are combined before the shuffle.
+    A pair can't come more often than either file, so files in fewer than ``min_count`` commits leave before
+    pairs are made: an initial commit of many files makes pairs of those only that recur. All commits count, unless ``most_files``
+    asks to leave out those that touch more files. Pairs are made block by block and their counts combined before the shuffle.
     """
     key = ["repo_id", "commit_id"]
     once = commits.select(*key, "path").distinct()
-    sizes = once.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
     if most_files is not None:
-        sizes = sizes.where(F.col("k") <= most_files)
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    once = once.join(sizes, key).select(*key, "path", blocks.alias("n"), F.pmod(F.xxhash64("path"), blocks).cast("int").alias("own"))
-    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    left = once.select(*key, F.col("path").alias("a"), F.col("own").alias("i"), each.alias("j"))
-    right = once.select(*key, F.col("path").alias("b"), F.col("own").alias("j"), each.alias("i"))
-    pairs = left.join(right, [*key, "i", "j"]).where("a < b")
+        once = once.join(once.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") <= most_files).select(*key), key, "left_semi")
+    pairs = pairs_within(recurring(once, min_count), key, "path", block)
     return pairs.groupBy("repo_id", "a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
 
 
@@ -192,14 +209,15 @@ def owners(commits: DataFrame, p: Params = Params()) -> DataFrame:
     return out.withColumn("tenure_days", F.datediff(F.lit(p.as_of).cast("timestamp"), "first_commit_at"))
 
 
-def co_authors(commits: DataFrame) -> DataFrame:
-    """(repo_id, email, other, shared, total, share): files two authors share, of the first one's files.
+def co_authors(commits: DataFrame, min_count: int = 1) -> DataFrame:
+    """(repo_id, email, other, shared, total, share): files two authors share (``min_count`` at least), of the first one's files.
 
-    Authors of one file are paired as files of one commit are: block by block, so a file that everyone touches is
-    shared out over many tasks.
+    By definition a file that everyone touches relates all its authors to each other; a larger ``min_count`` bounds
+    the pairs, as authors of fewer files leave before pairs are made. Authors of one file are paired as files of one
+    commit are: block by block, over many tasks.
     """
     stats = file_author_stats(commits)
-    pairs = co_changes(stats.select("repo_id", F.col("path").alias("commit_id"), F.col("email").alias("path")), 1)
+    pairs = co_changes(stats.select("repo_id", F.col("path").alias("commit_id"), F.col("email").alias("path")), min_count)
     shared = pairs.select("repo_id", F.col("a").alias("email"), F.col("b").alias("other"), F.col("count").alias("shared"))
     shared = shared.unionByName(shared.select("repo_id", F.col("other").alias("email"), F.col("email").alias("other"), "shared"))
     total = stats.groupBy("repo_id", "email").agg(F.count("*").alias("total"))

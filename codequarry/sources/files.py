@@ -92,21 +92,30 @@ def read_lcov(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     return parse_lcov(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("report"), F.lit(repo_id).alias("repo_id")))
 
 
+def _report() -> list[Column]:
+    """Which report an element comes from, and its place there."""
+    return [F.col("_metadata.file_path").alias("report"), F.monotonically_increasing_id().alias("element")]
+
+
+def _last() -> Column:
+    return F.struct("report", "element", "pos")
+
+
 def read_cobertura(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """Classes with a file name; the last of equal names wins; broken XML gives no rows."""
+    """Classes with a file name; of equal names the last in the report with the last name wins; broken XML gives no rows."""
     rows = spark.read.format("xml").option("rowTag", "coverage").schema(COBERTURA).load(path)
-    c = rows.select(F.posexplode(F.flatten(F.transform("packages.package", lambda p: p["classes"]["class"]))).alias("pos", "c"))
+    c = rows.select(*_report(), F.posexplode(F.flatten(F.transform("packages.package", lambda p: p["classes"]["class"]))).alias("pos", "c"))
     c = c.where("c._filename <> ''")
-    return c.groupBy(F.lit(repo_id).alias("repo_id"), F.col("c._filename").alias("key")).agg(F.max_by(F.col("c")["_line-rate"] * 100.0, "pos").alias("pct"))
+    return c.groupBy(F.lit(repo_id).alias("repo_id"), F.col("c._filename").alias("key")).agg(F.max_by(F.col("c")["_line-rate"] * 100.0, _last()).alias("pct"))
 
 
 def read_clover(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """Files directly below the project (files inside packages are not read)."""
+    """Files directly below the project (files inside packages are not read); of equal names the last in the report with the last name wins."""
     rows = spark.read.format("xml").option("rowTag", "project").schema(CLOVER).load(path)
-    f = rows.select(F.posexplode("file").alias("pos", "f")).where("f._name <> ''")
+    f = rows.select(*_report(), F.posexplode("file").alias("pos", "f")).where("f._name <> ''")
     n, hit = F.col("f.metrics._statements"), F.col("f.metrics._coveredstatements")
     pct = F.when(n > 0, hit / n * 100.0).otherwise(0.0)
-    return f.groupBy(F.lit(repo_id).alias("repo_id"), F.col("f._name").alias("key")).agg(F.max_by(pct, "pos").alias("pct"))
+    return f.groupBy(F.lit(repo_id).alias("repo_id"), F.col("f._name").alias("key")).agg(F.max_by(pct, _last()).alias("pct"))
 
 
 def load_coverage(spark: SparkSession, path: str, repo_id: str, explicit: bool = True) -> DataFrame | None:
