@@ -1,91 +1,147 @@
-"""Concurrency and security patterns as text rules over source lines.
+"""Concurrency and security patterns over source code.
 
 Each hit is one row of ``symbols`` (name = rule, type = 'biomarker') and, on request, one
-marker. The rules look at text, not at a syntax tree: comments and strings are not excluded.
-Rules that need a tree (what a function's body assigns) are approximations: they look at the body up to its first
-inner brace, however long that is.
+marker. Rules see code only: comments are blanked, and literals too unless a rule asks what an argument holds. A bracket's
+partner is known, so arguments and bodies are looked at as a whole, at their top level, however deep they nest.
+A file is the unit, as in ``function_metrics``: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.masked import Source
+from ..storage import bound_batches
 from .rules import marker
 
 _JS = (".js", ".mjs", ".cjs", ".ts", ".tsx")
 _KT, _TF, _PY, _JAVA, _GO = (".kt", ".kts"), (".tf", ".hcl"), (".py",), (".java",), (".go",)
-
-#: (rule, extensions, pattern). ``(?s)`` rules may span lines.
-PATTERNS = [
-    ("unsecured_goroutine", _GO, r"(?m)^[^/\"\n]*\bgo\s+(?:func\b|[A-Za-z_][\w.]*\s*\()"),
-    ("goroutine_outer_mutation", _GO, r"\bgo\s+func\s*\(\s*\)"),
-    ("async_race_condition", _JS, r"=>\s*\{\s*(?:[^{}]*;\s*)?[A-Za-z_$][\w$.\[\]]*\s*=[^=>]"),
-    ("read_before_await", _JS, r"\bfunction\s+\w+\s*\([^)]*\)\s*\{[^{}]*?\bvar\s+\w+[^{}]*?\bawait\b"),
-    ("unsynchronized_mutation", _JAVA, r"\bvoid\s+\w*run\w*\s*\([^)]*\)[^{;]*\{[^{}]*?(?:^|[;{\s])[A-Za-z_][\w.\[\]]*\s*[-+*/]?=[^=]"),
-    ("logical_race", _PY, r"\bawait\s+[\w.]+\("),
-    ("broken_crypto", _GO, r"\.(?:NewMD5|NewSHA1|NewDES)\s*\("),
-    ("broken_crypto", _JS, r"\.\w*createHash\w*\s*\(\s*['\"][^'\"]*(?:md5|sha1)"),
-    ("broken_crypto", _JAVA, r"\bgetInstance\s*\(\s*\"[^\"]*(?:MD5|SHA-1|DES)"),
-    ("broken_crypto", _PY, r"\.(?:md5|sha1)\s*\("),
-    ("tainted_sql", _GO, r"\.\w*(?:Query|Exec|QueryRow)\w*\s*\([^()\n]*\+"),
-    ("tainted_sql", _JS, r"\.\w*query\w*\s*\([^()\n]*\+"),
-    ("tainted_sql", _JAVA, r"\b(?:executeQuery|executeUpdate)\s*\([^()\n]*\+"),
-    ("tainted_sql", _PY, r"\.\w*execute\w*\s*\([^()\n]*[+%]"),
-    ("ssrf_blind", _GO, r"\.(?:Get|Post|Do)\s*\(\s*(?:[^(),\n]+,\s*)*[A-Za-z_]\w*\s*[,)]"),
-    ("ssrf_blind", _JS, r"(?<![\w.$])(?:fetch|axios)\s*\(\s*[A-Za-z_$][\w$]*\s*[,)]"),
-    ("ssrf_blind", _JAVA, r"\b(?:openStream|openConnection)\s*\("),
-    ("ssrf_blind", _PY, r"\.(?:get|post)\s*\(\s*[A-Za-z_]\w*\s*[,)]"),
-    ("bypassed_rbac", _GO, r"(?m)^func\s+(?:Transfer|Withdraw|Pay|Delete)\w*\s*\("),
-    ("bypassed_rbac", _JS, r"\bfunction\s+(?:transfer|withdraw|pay|delete)\w*\s*\("),
-    ("bypassed_rbac", _JAVA, r"[\w>\]]\s+(?:transfer|withdraw|pay|delete)\w*\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{"),
-    ("bypassed_rbac", _PY, r"\bdef\s+(?:transfer|withdraw|pay|delete)\w*\s*\("),
-    ("redis_unbounded_keys_scan", _GO, r"\.\w*(?i:Do|Command|Keys)\w*\s*\((?:[^()\n]*,)?\s*\"[^\"\n]*(?i:KEYS)"),
-    ("redis_empty_password_auth", _JS, r"[{,]\s*password\s*:\s*\"\""),
-    ("kotlin_broken_crypto", _KT, r"\b\w*(?:MessageDigest|Cipher|SecretKeyFactory)\w*\.getInstance\s*\(\s*\"[^\"]*(?:MD5|SHA1|DES|RC4)"),
-    ("kotlin_goroutine_shared_state", _KT, r"\b(?:GlobalScope|viewModelScope|lifecycleScope)\.\w*(?:launch|async)\w*\s*[({]"),
-    ("kotlin_tainted_sql", _KT, r"\.\w*(?:execSQL|rawQuery|query)\w*\s*\(\s*[^)\s]"),
-    ("kotlin_hardcoded_secret", _KT, r"(?i)\bva[lr]\s+\w*(?:password|secret|api_key|token|apikey)\w*\s*(?::\s*\w+\??)?\s*=\s*\""),
-    ("tf_open_ingress", _TF, r"(?s)\bingress\s*\{[^{}]*cidr_blocks\s*=\s*\[[^\]]*0\.0\.0\.0/0"),
-    ("tf_hardcoded_secret", _TF, r"(?mi)^\s*\w*(?:password|secret|token|api_key)\w*\s*=\s*\"(?!var\.)"),
-    ("tf_unencrypted_s3", _TF, r"\bresource\s+\"[^\"]*aws_s3_bucket[^\"]*\"\s+\"[^\"]*\"\s*\{"),
+_NAME = r"[A-Za-z_$][\w$]*"
+
+
+def _some_argument(pattern: str):
+    """True if the code of an argument matches."""
+    test = re.compile(pattern)
+    return lambda source, opening: any(test.search(code) for code, _, _ in source.arguments(opening))
+
+
+def _some_literal(pattern: str):
+    """True if an argument is a literal whose text matches."""
+    test = re.compile(pattern)
+    return lambda source, opening: any(code.lstrip()[:1] in ("'", '"', "`") and test.search(source.text[a:b]) for code, a, b in source.arguments(opening))
+
+
+def _statement(*patterns: str):
+    """True if the block has statements that match the patterns, in this order."""
+    tests = [re.compile(p) for p in patterns]
+
+    def test(source: Source, opening: int) -> bool:
+        rest = iter(source.statements(opening))
+        return all(any(t.match(s) for s in rest) for t in tests)
+
+    return test
+
+
+_BODY = re.compile(r"[^{};()]*\{")
+
+
+def _body(inner=None):
+    """The block behind the parameters, if it passes ``inner``."""
+
+    def test(source: Source, opening: int):
+        m = opening in source.partner and _BODY.match(source.code, source.partner[opening] + 1)
+        return m.end() - 1 if m and (inner is None or inner(source, m.end() - 1)) else False
+
+    return test
+
+
+def _attribute(name: str, inner: str):
+    """True if the block has the attribute at its top level, and the text of its list matches."""
+    head, test = re.compile(rf"\b{name}\s*=\s*\["), re.compile(inner)
+    lists = lambda source, opening: (at + m.end() - 1 for at, piece in source.top(opening) for m in head.finditer(piece))
+    return lambda source, opening: any(test.search(source.text[slice(*source.inside(x))]) for x in lists(source, opening))
+
+
+_VARIABLE = rf"^\s*{_NAME}\s*$"
+_ASSIGNED = rf"{_NAME}(?:\.{_NAME}|\[[^\]]*\])*\s*"
+
+#: (rule, extensions, where it may begin, and what the bracket that ends the pattern has to hold: None for anything).
+#: A test gives the bracket that ends the hit, if that is another one.
+RULES = [
+    ("unsecured_goroutine", _GO, r"\bgo\s+(?=func\b|[A-Za-z_(])", None),
+    ("goroutine_outer_mutation", _GO, r"\bgo\s+func\s*\(\s*\)", None),
+    ("async_race_condition", _JS, r"=>\s*\{", _statement(rf"{_ASSIGNED}=(?![=>])")),
+    ("read_before_await", _JS, rf"\bfunction\s+{_NAME}\s*\(", _body(_statement(r"var\s", r"await\b"))),
+    ("unsynchronized_mutation", _JAVA, r"(?<![\w.])(?!(?:new|return|throw|else)\b)[\w>\]]+\s+(?=\w*run)\w++\s*\(", _body(_statement(rf"{_ASSIGNED}[-+*/%&|^]?=(?!=)"))),
+    ("logical_race", _PY, r"\bawait\s+[\w.]+\(", None),
+    ("broken_crypto", _GO, r"\.(?:NewMD5|NewSHA1|NewDES)\s*\(", None),
+    ("broken_crypto", _JS, r"\.(?=\w*createHash)\w++\s*\(", _some_literal("md5|sha1")),
+    ("broken_crypto", _JAVA, r"\bgetInstance\s*\(", _some_literal("MD5|SHA-1|DES")),
+    ("broken_crypto", _PY, r"\.(?:md5|sha1)\s*\(", None),
+    ("tainted_sql", _GO, r"\.(?=\w*(?:Query|Exec))\w++\s*\(", _some_argument(r"\+")),
+    ("tainted_sql", _JS, r"\.(?=\w*query)\w++\s*\(", _some_argument(r"\+")),
+    ("tainted_sql", _JAVA, r"\b(?:executeQuery|executeUpdate)\s*\(", _some_argument(r"\+")),
+    ("tainted_sql", _PY, r"\.(?=\w*execute)\w++\s*\(", _some_argument(r"[\w\"')\]]\s*[-+*/%@&|^]")),
+    ("ssrf_blind", _GO, r"\.(?:Get|Post|Do)\s*\(", _some_argument(_VARIABLE)),
+    ("ssrf_blind", _JS, r"(?<![\w.$])(?:fetch|axios)\s*\(", _some_argument(_VARIABLE)),
+    ("ssrf_blind", _JAVA, r"\b(?:openStream|openConnection)\s*\(", None),
+    ("ssrf_blind", _PY, r"\.(?:get|post)\s*\(", _some_argument(_VARIABLE)),
+    ("bypassed_rbac", _GO, r"(?m)^func\s+(?:Transfer|Withdraw|Pay|Delete)\w*\s*\(", None),
+    ("bypassed_rbac", _JS, r"\bfunction\s+(?:transfer|withdraw|pay|delete)\w*\s*\(", None),
+    ("bypassed_rbac", _JAVA, r"(?<![\w.])(?!(?:new|return|throw|else)\b)[\w>\]]+\s+(?:transfer|withdraw|pay|delete)\w*\s*\(", _body()),
+    ("bypassed_rbac", _PY, r"\bdef\s+(?:transfer|withdraw|pay|delete)\w*\s*\(", None),
+    ("redis_unbounded_keys_scan", _GO, r"\.(?=\w*(?i:Do|Command|Keys))\w++\s*\(", _some_literal('(?i)^\\s*".*KEYS')),
+    ("redis_empty_password_auth", _JS, r'[{,]\s*password\s*:\s*""', None),
+    ("kotlin_broken_crypto", _KT, r"\b(?=\w*(?:MessageDigest|Cipher|SecretKeyFactory))\w++\.getInstance\s*\(", _some_literal("MD5|SHA1|DES|RC4")),
+    ("kotlin_goroutine_shared_state", _KT, r"\b(?:GlobalScope|viewModelScope|lifecycleScope)\.(?=\w*(?:launch|async))\w++\s*[({]", None),
+    ("kotlin_tainted_sql", _KT, r"\.(?=\w*(?:execSQL|rawQuery|query))\w++\s*\(", _some_argument(r"\S")),
+    ("kotlin_hardcoded_secret", _KT, r"(?i)\bva[lr]\s+(?=\w*(?:password|secret|api_key|token|apikey))\w++\s*(?::\s*\w+\??)?\s*=\s*\"", None),
+    ("tf_open_ingress", _TF, r"\bingress\s*\{", _attribute("cidr_blocks", r"0\.0\.0\.0/0")),
+    ("tf_hardcoded_secret", _TF, r"(?mi)^[^\S\n]*+(?=\w*(?:password|secret|token|api_key))\w++\s*=\s*\"", None),
+    ("tf_unencrypted_s3", _TF, r'\bresource\s+"[^"]*"\s+"[^"]*"\s*\{', None),
 ]
+#: What the text of a hit must have beside its code: literals that stand in the pattern itself.
+TEXTS = {"redis_empty_password_auth": r'""$', "tf_hardcoded_secret": r'"$', "tf_unencrypted_s3": r'^resource\s+"[^"]*aws_s3_bucket'}
+_COMPILED = [(rule, own, re.compile(pattern), test, re.compile(TEXTS.get(rule, ""))) for rule, own, pattern, test in RULES]
+
+
+def hits(content: str, ext: str) -> list[tuple[str, int, int]]:
+    """(rule, line, end_line) of all hits; a hit ends where the bracket that ends its pattern is closed."""
+    source, out = Source(content, ext), []
+    for rule, own, pattern, test, text in _COMPILED:
+        if ext not in own:
+            continue
+        for m in pattern.finditer(source.code):
+            opening = m.end() - 1
+            if not text.search(source.text[m.start() : m.end()]) or rule == "tf_hardcoded_secret" and source.text.startswith("var.", m.end()):
+                continue
+            found = test is None or test(source, opening)
+            if found:
+                opening = opening if found is True else found
+                end = source.partner.get(opening, opening)
+                out.append((rule, source.line(m.start() + len(m[0]) - len(m[0].lstrip())), source.line(end)))
+    return out
 
 
 def security_symbols(files: DataFrame) -> DataFrame:
-    """One ``symbols`` row for each hit: line = where the match begins, end_line = where it ends.
-
-    A file's text is cut at its hits, and line breaks are summed over the pieces and hits before each one, so a file
-    is one row until its hits are exploded and nothing is shuffled.
-    """
-    exts = sorted({e for _, x, _ in PATTERNS for e in x})
-    rows = files.where(F.col("ext").isin(*exts) & F.col("content").isNotNull())
-    found = [F.when(F.col("ext").isin(*own), _hits(rule, pattern)) for rule, own, pattern in PATTERNS]
-    rows = rows.select("repo_id", F.col("path").alias("file_path"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("h"))
-    return rows.select("repo_id", "h.name", F.lit("biomarker").alias("type"), "h.line", "h.end_line", "file_path")
-
-
-def _breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def _hits(rule: str, pattern: str) -> Column:
-    """The hits of a pattern as structs (name, line, end_line), in order."""
-    hits, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda x, hit: F.struct(_breaks(x).alias("x"), _breaks(hit).alias("inside"), _leading(hit).alias("lead")))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<name:string,line:int,end_line:int>>").alias("out"))
-
-    def add(before: Column, pair: Column) -> Column:
-        line = before["line"] + pair["x"]
-        hit = F.struct(F.lit(rule).alias("name"), (line + pair["lead"]).alias("line"), (line + pair["inside"]).alias("end_line"))
-        return F.struct((line + pair["inside"]).alias("line"), F.concat(before["out"], F.array(hit)).alias("out"))
-
-    return F.aggregate(pairs, start, add, lambda x: x["out"])
+    """One ``symbols`` row for each hit: line = where it begins, end_line = where it ends."""
+    bound_batches(files.sparkSession)
+    exts = sorted({e for _, own, *_ in RULES for e in own})
+    rows = files.where(F.col("ext").isin(*exts) & F.col("content").isNotNull()).select("repo_id", "path", "ext", "content")
 
+    def run(batches):
+        for b in batches:
+            repos, paths, kinds, texts = (c.to_pylist() for c in b.columns)
+            found = [(r, name, "biomarker", line, end, p) for r, p, e, t in zip(repos, paths, kinds, texts) for name, line, end in hits(t, e)]
+            if found:
+                types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["repo_id", "name", "type", "line", "end_line", "file_path"])
 
-def _leading(hit: Column) -> Column:
-    """Line breaks at the begin of a hit (white space that a multi-line pattern took along)."""
-    return _breaks(F.regexp_extract(hit, r"^(\s*)", 1))
+    return rows.mapInArrow(run, "repo_id string, name string, type string, line int, end_line int, file_path string")
 
 
 def security_markers(symbols: DataFrame) -> DataFrame:
@@ -96,7 +152,7 @@ def security_markers(symbols: DataFrame) -> DataFrame:
 
 
 #: The rules that a security report shows.
-SECURITY_TYPES = sorted({r for r, _, _ in PATTERNS if r not in ("unsecured_goroutine", "goroutine_outer_mutation", "async_race_condition", "read_before_await", "unsynchronized_mutation", "logical_race")} | {"sql_injection_risk", "sql_select_star", "sql_hardcoded_credential"})
+SECURITY_TYPES = sorted({r for r, *_ in RULES if r not in ("unsecured_goroutine", "goroutine_outer_mutation", "async_race_condition", "read_before_await", "unsynchronized_mutation", "logical_race")} | {"sql_injection_risk", "sql_select_star", "sql_hardcoded_credential"})
 
 
 def security_findings(markers: DataFrame) -> DataFrame:

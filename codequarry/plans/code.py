@@ -167,6 +167,44 @@ def security_symbols(spark, d):
     return security.security_symbols(snippet_files(spark, d)).select("repo_id", "file_path", "name", "type", "line", "end_line")
 
 
+#: (extension, code on several lines, its hits as rule, first and last line); near misses stand in comments, literals and inner blocks.
+BLOCKS = [
+    (".go", ["go func() {", "\tif a {", "\t\tb = 1", "\t}", "}()", "// go work()", 's := "go func() {"'], [("unsecured_goroutine", 1, 1), ("goroutine_outer_mutation", 1, 1)]),
+    (".go", ["/* crypto.NewMD5(x)", "h.NewMD5(x) */", "h.NewSHA1(", "\tdata,", ")", "t := `x.NewDES(y)`"], [("broken_crypto", 3, 5)]),
+    (".go", ["db.Query(", '\tjoin(a + b), "x + y",', ")", 'db.Exec("a " +', "\tb)"], [("tainted_sql", 4, 5)]),
+    (".go", ["http.Get(f(address))", 'http.Get("u")', "http.Do(a, b.c)", "http.Post(x.y, kind)"], [("ssrf_blind", 3, 3), ("ssrf_blind", 4, 4)]),
+    (".go", ['c.Do("GET", "a")', "// c.Do(\"KEYS\")", 'c.Do(x, "keys *")', "log(\"c.Do(\\\"KEYS\\\")\")"], [("ssrf_blind", 3, 3), ("redis_unbounded_keys_scan", 3, 3)]),
+    (".ts", ["a.map(x => {", "\tif (x) {", "\t\ty = 1;", "\t}", "\tconst z = 2;", "})", "a.map(x => {", "\tif (x) { f() }", "\tb.c[0] = x;", "})"], [("async_race_condition", 7, 10)]),
+    (".ts", ["function f(a) {", "\tvar b = { c: 1 };", "\tif (a) {", "\t\tg();", "\t}", "\tawait h(b);", "}", "function g(a) {", "\tawait h(a);", "\tvar c = 1;", "}"], [("read_before_await", 1, 7)]),
+    (".ts", ['const a = { b: 1, password: "" };', "// { password: \"\" }", 'const c = { password: "x" };', "c.createHash('sha256')", 'c.createHash("sha1")'], [("redis_empty_password_auth", 1, 1), ("broken_crypto", 5, 5)]),
+    (".java", ["void run(int a) {", "\tif (a == 1) {", "\t\tb = 2;", "\t}", "}", "int rerun() throws E {", "\tint a = 1;", "\tthis.b += a;", "}", "new Trunk(a) { }"], [("unsynchronized_mutation", 6, 9)]),
+    (".java", ['getInstance("SHA-256")', 'getInstance(name, "DES")', "s.executeQuery(f(a + b))", "s.executeUpdate(a + b)"], [("broken_crypto", 2, 2), ("tainted_sql", 4, 4)]),
+    (".py", ['"""', "await f(x)", "hashlib.md5(x)", '"""', "# await f(x)", "await f(", "    g(x),", ")"], [("logical_race", 6, 8)]),
+    (".py", ['c.execute("a", -1)', 'c.execute("a" % b)', "requests.get(f(a), timeout=1)", "requests.post(a, b)"], [("tainted_sql", 2, 2), ("ssrf_blind", 4, 4)]),
+    (".kt", ["// GlobalScope.launch { }", "GlobalScope.launch {", "\trun {", "\t}", "}", "db.query()", 'val token: String? = "a"'], [("kotlin_goroutine_shared_state", 2, 5), ("kotlin_hardcoded_secret", 7, 7)]),
+    (".tf", ['resource "aws_s3_bucket" "a" {', '  password = "var.x"', "  tags = {", '    token = "b"', "  }", "}", '# resource "aws_s3_bucket" "c" {'], [("tf_unencrypted_s3", 1, 6), ("tf_hardcoded_secret", 4, 4)]),
+    (".tf", ["ingress {", "  tags = {", '    a = "b"', "  }", '  cidr_blocks = ["10.0.0.0/8",', '    "0.0.0.0/0"]', "}", "ingress {", '  note = "0.0.0.0/0"', '  cidr_blocks = ["10.0.0.0/8"]', "}"], [("tf_open_ingress", 1, 7)]),
+]
+
+
+def block_files(spark, d: str) -> DataFrame:
+    """Parts as files: empty lines as many as the size modulo 7, then the part's code one to three times."""
+    p = P.table(spark, d, "part")
+    of = lambda values: F.array(*map(F.lit, values))[F.pmod("p_partkey", F.lit(len(BLOCKS))).cast("int")]
+    text = F.concat(F.repeat(F.lit("\n"), F.pmod("p_size", F.lit(7))), F.repeat(of(["\n".join(x) + "\n" for _, x, _ in BLOCKS]), 1 + F.pmod("p_size", F.lit(3))))
+    ext = of([e for e, *_ in BLOCKS])
+    return p.select(F.lit("blocks").alias("repo_id"), F.concat(F.lit("b/part_"), F.col("p_partkey").cast("string"), ext).alias("path"), ext.alias("ext"), text.alias("content"))
+
+
+_BLOCKS_SQL = f"""hit AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{e}', {len(x)}, '{r}', {a}, {b})" for i, (e, x, h) in enumerate(BLOCKS) for r, a, b in h)}) AS t(i, ext, lines, rule, a, b))"""
+
+
+@query("", f"WITH {_BLOCKS_SQL}\nSELECT 'b/part_' || p_partkey || ext AS file_path, rule AS name, (p_size % 7 + n * lines + a)::INT AS line, (p_size % 7 + n * lines + b)::INT AS end_line FROM part JOIN hit ON i = p_partkey % {len(BLOCKS)}, range(3) AS r(n) WHERE n <= p_size % 3")
+def security_blocks(spark, d):
+    """Rules on code of several lines: nested bodies, arguments over lines, several hits, near misses."""
+    return security.security_symbols(block_files(spark, d)).select("file_path", "name", "line", "end_line")
+
+
 _REPORTED = ", ".join(f"'{x}'" for x in security.SECURITY_TYPES)
 
 

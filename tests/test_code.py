@@ -1,8 +1,13 @@
 """Function extraction and metrics on literal sources."""
 
+import time
+
 import pytest
 
 from codequarry.functions import code
+from codequarry.functions.masked import Source
+from codequarry.operators import security
+from codequarry.plans.code import BLOCKS
 
 
 def names(src, ext):
@@ -75,3 +80,57 @@ def test_structural_markers(spark):
     assert got == {"brain_method", "nested_complexity", "bumpy_road", "complex_method", "large_method", "primitive_obsession"}
     cold = spark.createDataFrame([("r", 0.95)], "repo_id string, value double")
     assert "brain_method" not in {r.type for r in code.structural_markers(code.function_metrics(files), nodes, cold).collect()}
+
+
+@pytest.mark.parametrize(
+    ("src", "ext", "masked"),
+    [
+        ('a = "b\\"c" // d', ".go", 'a = "    "     '),
+        ("x := `a\n{`\ny", ".go", "x := ` \n `\ny"),
+        ("/* {\n} */ f() # g", ".tf", "    \n     f()    "),
+        ('"""a\n{"""\nb # c', ".py", '"   \n   "\nb    '),
+        ("'a' + \"it's\"", ".js", "' ' + \"    \""),
+        ("'open\nnext", ".java", "'    \nnext"),
+        ("", ".go", ""),
+    ],
+)
+def test_comments_and_literals_are_blanked(src, ext, masked):
+    s = Source(src, ext)
+    assert s.code == masked and len(s.text) == len(src)
+
+
+def test_brackets_and_what_they_hold():
+    s = Source('f(a, g(b, c), "x, y", {d: [1, 2]}) }', ".js")
+    assert [x.strip() for x, _, _ in s.arguments(1)] == ["a", "g()", '"    "', "{}"]
+    assert [s.text[a:b].strip() for _, a, b in s.arguments(1)][1:3] == ["g(b, c)", '"x, y"']
+    assert s.code[s.partner[1]] == ")" and s.line(3) == 1
+    assert Source("f((a", ".js").partner == {} and Source("(a]b)", ".js").partner == {0: 4}
+    assert Source("{ a; if (b) { c; } d\n e }", ".js").statements(0) == ["a", "if () {", "d", "e"]
+
+
+def test_functions_of_harder_shapes():
+    """Comments, literals and inner functions; headers over lines; groups of parameters."""
+    src = "// func X() {\nfunc A(a, b int, c []string) (x int) {\n\t/* } */ s := \"}\" // }\n\tgo func() {\n\t}()\n}\n\nfunc (t *T) B() {\n\tc := '{'\n}\n"
+    assert [(f[0], f[1], f[2], f[7]) for f in code.functions_of(src, ".go")] == [("A", 2, 6, ["int", "int", "string"]), ("B", 8, 10, [])]
+    src = "# def x():\nclass S:\n    @p\n    def a(\n        self, f=lambda x: x(x),\n        g={'a': 1}): \n        '''def y():'''\n        return 1\n    def b(self) -> int:\n        return 2\n"
+    assert [(f[0], f[1]) for f in code.functions_of(src, ".py")] == [("a", 4), ("b", 9)]
+    src = "const parse = (\n  raw,\n  f(value)\n) => {\n  return 1;\n};\nconst h = async function run(\n  a, m(fn => fn(a))\n) {\n};\n// function no() {}\nlet x = (a)\n  + 1;\n"
+    assert [(f[0], f[1], f[2]) for f in code.functions_of(src, ".js")][0][0] == "parse" and names(src, ".js")[-1] == "run" and "x" not in names(src, ".js")
+    src = 'class R {\n    @T(readOnly = true)\n    public Map<String, List<Item>> find(\n        String t,\n        P<String> m(tag)\n    ) throws D {\n        return r.f("{");\n    }\n}\n'
+    assert names(src, ".java")[0] == "find"
+    assert names("class U {\n    @J\n    fun load(\n        id: String,\n    ): User {\n        return r\n    }\n}\n", ".kt") == ["load"]
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, '"' * 200_001, "{" * 100_000, "(" * 50_000 + ")" * 50_000, "public " * 40_000, "func f() {\n}\n" * 20_000, "/*" * 100_000, "a => {" * 20_000, "a => {" * 20_000 + "}" * 20_000, "x.query(" * 20_000 + ")" * 20_000, "x pay(" * 20_000, "x pay() " * 20_000, "." + "query" * 40_000, "function f()" * 20_000])
+@pytest.mark.parametrize("ext", [".java", ".js"])
+def test_hostile_files_take_linear_time(text, ext):
+    began = time.time()
+    code.functions_of(text, ext)
+    security.hits(text, ext)
+    assert time.time() - began < 8
+
+
+def test_blocks_hit_where_they_should():
+    for ext, lines, expected in BLOCKS:
+        assert sorted(security.hits("\n".join(lines), ext)) == sorted(expected)
+    assert security.hits("go func(a int) {}(1)", ".go") == [("unsecured_goroutine", 1, 1)]
