@@ -12,10 +12,11 @@ proportion to its size:
 2. in each band bucket every class is compared with the bucket's hub: the class that shares the most
    bucket places with others, which in a group of edited copies is the one nearest to all;
 3. the confirmed links give components. In a bucket that still holds several of them, classes
-   are compared across components, but only where a link is possible at all: two classes share
-   at most as many shingles as the poorer one has common ones, plus the rare ones (held by at most
-   ``RARE`` documents) that they share. Independently edited copies, which fill such buckets,
-   share none, and what a rare shingle joins is bounded by its few documents.
+   are compared across components, but only where a link is possible at all. Classes that share rare shingles (held by at
+   most ``RARE`` documents) meet through these. Others share common shingles only: inside a hub at most as many as
+   either shares with the hub, outside it at most as many common ones as either has there, which for independently edited
+   copies of the hub is none. So a bucket's components are compared one after the other, each through its hub, in rows in
+   proportion to the bucket.
 
 Classes are joined by id as one row each, with their buckets in an array that is exploded afterwards.
 
@@ -42,6 +43,8 @@ HASHES, ROWS = 160, 5
 BANDS = 2 * HASHES // ROWS
 #: A shingle that at most this many documents of the mixed buckets hold is rare.
 RARE = 32
+#: Components of a bucket that are compared with the others one after the other, each through its hub.
+PEELS = 6
 #: About so many documents are compared with one copy of their hub's text.
 CHUNK = 64
 #: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
@@ -172,19 +175,17 @@ def _explode(batches):
 
 
 def _against(batches):
-    """The pairs (hub, other) that are similar enough, from rows (hub, chunk, member, other, text) by hub and chunk, the hub's own row first."""
+    """(hub, other, shared, linked) from rows (hub, chunk, member, other, text) by hub and chunk, the hub's own row first."""
     hub = None
     for b in slices(batches):
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column(4).to_pylist()])
-        keep = []
-        for member, own in zip(b.column(2).to_pylist(), sets):
-            if member:
-                shared = len(np.intersect1d(hub, own, assume_unique=True))
-                keep.append(shared * 100 >= (len(hub) + len(own) - shared) * SIMILAR)
-            else:
-                hub = own
-                keep.append(False)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["hub", "other"]).filter(pa.array(keep, pa.bool_()))
+        member, shared, linked = b.column(2).to_pylist(), [], []
+        for is_member, own in zip(member, sets):
+            hub = hub if is_member else own
+            n = len(np.intersect1d(hub, own, assume_unique=True)) if is_member else 0
+            shared.append(n)
+            linked.append(n * 100 >= (len(hub) + len(own) - n) * SIMILAR)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["hub", "other", "shared", "linked"]).filter(pa.array(member, pa.bool_()))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -220,19 +221,27 @@ def _alike(n_a: str, n_b: str):
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILAR
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) among the pairs (hub, other) whose full sets are similar enough.
+def _measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, other, shared, linked) of the pairs (hub, other): how many shingles their full sets share, and if that makes a link.
 
     A hub's text travels once for about ``CHUNK`` of its partners, and a task holds one hub's set and one slice
     of partners at a time, however many there are. Texts travel, as they are smaller than the sets.
     """
-    pairs = pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
     spread = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("spread"))
     dealt = cut(pairs.join(spread, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.col("spread")).cast("int").alias("chunk")), "dealt")
     hubs = dealt.select("hub", "chunk").distinct().join(texts, F.col("hub") == F.col("doc_id")).select("hub", "chunk", F.lit(False).alias("member"), F.col("hub").alias("other"), "text")
     members = dealt.join(texts, F.col("other") == F.col("doc_id")).select("hub", "chunk", F.lit(True).alias("member"), "other", "text")
     rows = hubs.unionByName(members).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
-    return rows.mapInArrow(_against, "hub long, other long").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
+    return rows.mapInArrow(_against, "hub long, other long, shared long, linked boolean")
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where("linked").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) among the pairs (a, b, hub) whose full sets are similar enough."""
+    return _links(_measure(pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")), texts))
 
 
 def _company(classes: DataFrame) -> DataFrame:
@@ -250,8 +259,52 @@ def _stars(company: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"), F.col("hub.doc_id").alias("hub")).distinct()
 
 
-def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame | None:
-    """(a, b, hub), a < b: the untried pairs of classes that share a bucket, not a component, and could be linked."""
+def _possible(shared, n_a, n_b):
+    """Sets of these sizes that share at most so many shingles can be linked: i >= s * (na + nb - i)."""
+    return shared * (100 + SIMILAR) >= (n_a + n_b) * SIMILAR
+
+
+def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, links, rest): one component of every bucket is compared with the others in it, and leaves.
+
+    ``rest`` has a row (h, id, n, c, m, score) for each bucket of a class: its size, component and common shingles. All are
+    measured against the bucket's hub H. Two classes without a shared rare shingle share inside H at most what either shares with H,
+    and outside H at most the common shingles that either has there. Where that can't make a link there is no pair. Sides
+    are thinned by the best that the other side of their bucket could give before they are joined.
+    """
+    hubs = rest.groupBy("h").agg(F.max_by(F.struct("id", "n", "c"), F.struct("score", -F.col("id"))).alias("hub"))
+    rows = rest.join(hubs, "h").select("h", "id", "n", "c", "m", "score", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
+    rows = cut(rows, "peel")
+    pairs = cut(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), "peel_pairs")
+    measured = cut(_measure(pairs, near), "peel_measured")
+    both = pairs.join(rare.select(F.col("doc_id").alias("other"), "shingle"), "other").join(rare.select(F.col("doc_id").alias("hub"), "shingle"), ["hub", "shingle"])
+    both = both.groupBy("hub", "other").agg(F.count("*").alias("r"))
+    known = measured.join(both, ["hub", "other"], "left").select("hub", F.col("other").alias("id"), "shared", F.coalesce("r", F.lit(0)).alias("r"))
+    rows = rows.join(known, ["hub", "id"], "left")
+    own = F.col("id") == F.col("hub")
+    inside = F.when(own, F.col("n")).otherwise(F.col("shared"))
+    outside = F.when(own, F.lit(0)).otherwise(F.col("m") - F.col("shared") + F.col("r"))
+    rows = cut(rows.select("h", "id", "n", "c", "m", "score", "hub", (F.col("c") == F.col("hub_c")).alias("first"), inside.alias("i"), outside.alias("k")), "peel_rows")
+    sides = rows
+    for _ in range(2):
+        best = lambda f, c, first: f(F.when(F.col("first") == first, F.col(c)))
+        other = lambda c: F.when(F.col("first"), F.col(f"{c}_else")).otherwise(F.col(f"{c}_first"))
+        best_of = sides.groupBy("h").agg(*[best(f, c, first).alias(f"{c}_{name}") for f, c in ((F.max, "i"), (F.max, "k"), (F.min, "n")) for first, name in ((True, "first"), (False, "else"))])
+        least = F.greatest(other("n"), F.ceil(F.col("n") * SIMILAR / 100))
+        sides = cut(sides.join(best_of, "h").where(_possible(F.least("i", other("i")) + F.least("k", other("k")), F.col("n"), least)).select(*rows.columns), "peel_sides")
+    x, y = (sides.where(F.col("first") == first).select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "i", "k", "score")]) for first, s in ((True, "x"), (False, "y")))
+    found = x.join(y, "h").where(_possible(F.least("i_x", "i_y") + F.least("k_x", "k_y"), F.col("n_x"), F.col("n_y")))
+    return found.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy")), _links(measured), rows.where("not first").select(*rest.columns)
+
+
+def _several(rest: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    mixed = rest.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    return cut(rest.join(mixed.select("h"), "h", "left_semi"), "peel_rest")
+
+
+def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """((a, b, hub), a < b: the untried pairs of classes that share a bucket, not a component, and could be linked; links found on the way)."""
     named = company.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     slots = named.select(F.explode("hs").alias("h"), "doc_id", "n", "c", "score")
     mixed = slots.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
@@ -259,33 +312,40 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     facts = slots.join(mixed, "h").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("score").alias("score"), F.collect_list("h").alias("hs"), F.max(F.col("c") != F.col("c0")).alias("outside"))
     facts = cut(facts, "mixed")
     if facts.isEmpty():
-        return None
+        return None, []
     grams = cut(texts.join(facts.select("doc_id"), "doc_id", "left_semi").mapInArrow(_explode, "doc_id long, shingle long"), "grams")
     rare = grams.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     rare = cut(grams.join(rare, "shingle"), "rare")
     scarce = rare.groupBy("doc_id").agg(F.count("*").alias("r"))
-    facts = facts.join(scarce, "doc_id", "left").withColumn("common", F.col("n") - F.coalesce("r", F.lit(0)))
+    facts = facts.join(scarce, "doc_id", "left").withColumn("m", F.col("n") - F.coalesce("r", F.lit(0)))
     facts = cut(facts.drop("r"), "facts")
-    # J = i / (nx + ny - i) >= s  <=>  i * (100 + s) >= s * (nx + ny), and i <= common shingles of either + shared rare ones
-    need = (F.col("nx") + F.col("ny")) * SIMILAR
-    side = lambda d, x: d.select("h", F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x), F.col("score").alias("s" + x), F.col("hs").alias("h" + x))
-    # common shingles alone could do: only documents that are rich in them, bucket by bucket
-    rich = facts.where(F.col("common") * 100 >= F.col("n") * SIMILAR)
-    left = side(rich.where("outside").select("*", F.explode("hs").alias("h")), "x")
-    right = side(rich.select("*", F.explode("hs").alias("h")), "y")
-    # a pair that shares several buckets is made in the first of them (a document is in BANDS buckets at most)
-    once = F.col("h") == F.array_min(F.array_intersect("hx", "hy"))
-    usual = F.least("mx", "my") * (100 + SIMILAR) >= need
-    by_bucket = left.join(right, "h").where(F.col("cx") != F.col("cy")).where(usual).where(once).select("x", "sx", "y", "sy")
+    # common shingles alone could do: only classes that are rich in them, bucket by bucket, one component after the other
+    rest = facts.where(F.col("m") * 100 >= F.col("n") * SIMILAR).select(F.explode("hs").alias("h"), F.col("doc_id").alias("id"), "n", "c", "m", "score")
+    pairs, links = [], []
+    for _ in range(PEELS):
+        rest = _several(rest)
+        if rest.isEmpty():
+            break
+        some, more, rest = _peeled(rest, rare, texts)
+        pairs.append(cut(some.distinct(), "peel_found"))
+        links.append(more)
+    else:
+        rest = _several(rest)
+        x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "m", "score")]) for s in ("x", "y"))
+        left = x.join(y, "h").where("id_x < id_y and c_x <> c_y").where(_possible(F.least("m_x", "m_y"), F.col("n_x"), F.col("n_y")))
+        pairs.append(left.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy")))
     # else they have to share rare shingles, each of which few documents hold
     shared = rare.where("df > 1").select("shingle", "doc_id")
     met = shared.join(facts.where("outside").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "x").join(shared.withColumnRenamed("doc_id", "y"), "shingle").where("x <> y")
-    of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("common").alias("m" + x), F.col("score").alias("s" + x))
+    of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("m").alias("m" + x), F.col("score").alias("s" + x))
     met = met.groupBy("x", "y").agg(F.count("*").alias("r")).join(of("x"), "x").join(of("y"), "y")
-    by_rare = met.where("cx <> cy").where((F.least("mx", "my") + F.col("r")) * (100 + SIMILAR) >= need).select("x", "sx", "y", "sy")
+    pairs.append(met.where("cx <> cy").where(_possible(F.least("mx", "my") + F.col("r"), F.col("nx"), F.col("ny"))).select("x", "sx", "y", "sy"))
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.unionByName(p)
     hub = F.when(F.struct("sx", -F.col("x")) > F.struct("sy", -F.col("y")), F.col("x")).otherwise(F.col("y"))
-    pairs = by_bucket.unionByName(by_rare).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hub.alias("hub"))
-    return cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    every = every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hub.alias("hub"))
+    return cut(every.distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), links
 
 
 def _repeated(rows: DataFrame) -> DataFrame | None:
@@ -327,11 +387,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = cut(_stars(company), "pairs")
     links = cut(_confirm(tried, near), "links")
     found = components(links)
-    across = _across(company, found, near, tried)
-    if across is not None and not across.isEmpty():
-        more = cut(_confirm(across, near), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    across, more = _across(company, found, near, tried)
+    if across is not None:
+        for df in (_confirm(across, near), *more):
+            links = links.unionByName(df)
+        found = components(links)
 
     of_class = classes.select(F.col("doc_id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     placed = members.join(of_class, "class_id").select("doc_id", "component")

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import numpy as np
@@ -46,20 +47,22 @@ def test_links_that_no_star_confirms(spark, near_copies, monkeypatch):
         return out.limit(0) if len(calls) == 1 else out
 
     monkeypatch.setattr(minhash, "_confirm", confirm)
-    stars = []
+    stars, peeled = [], []
     cut = minhash.cut
 
     def kept(df, name):
         out = cut(df, name)
         if name == "pairs":
             stars.append(out)
+        if name == "peel_measured":
+            peeled.append(out)
         return out
 
     monkeypatch.setattr(minhash, "cut", kept)
     df = spark.createDataFrame(near_copies, "doc_id long, text string")
     minhash.near_duplicates(df).collect()
     tried = {(r.a, r.b) for r in stars[0].collect()}
-    across = {(r.a, r.b) for r in stars[1].collect()}
+    across = {(r.a, r.b) for r in stars[1].collect()} | {tuple(sorted((r.hub, r.other))) for df in peeled for r in df.collect()}
     sets = dict(zip([i for i, _ in near_copies], minhash.shingle_sets([t.encode() for _, t in near_copies])))
     seen = {}
     for i, s in sets.items():
@@ -98,3 +101,44 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201)]
     got = {r.id: r.component for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[100 + i] for i in range(30)} == {100} and got[201] == 200
+
+
+def groups(size, bases=2, cross=0, words=300, similar=0.7):
+    """``size`` edited copies of each of several texts that are ``similar`` to each other, and ``cross`` texts between two of them."""
+    rnd = random.Random(size)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    first = [word() for _ in range(words)]
+    share = int(words * 2 * similar / (1 + similar))
+    texts = [first] + [first[:share] + [word() for _ in range(words - share)] for _ in range(bases - 1)]
+    docs = []
+    for t in texts:
+        for _ in range(size):
+            own = list(t)
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(words)] = word()
+            docs.append(own)
+    for _ in range(cross):
+        docs.append(first[:share] + texts[1][share : share + (words - share) // 2] + first[share + (words - share) // 2 :])
+        docs[-1][rnd.randrange(words)] = word()
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_pairs_grow_with_the_groups(spark, monkeypatch):
+    """Groups whose bases are close, but not linked: what is measured follows the number of documents, not its square."""
+    real, counts = minhash._measure, []
+
+    def measure(pairs, texts):
+        counts.append(pairs.count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(minhash, "_measure", measure)
+    for docs in (groups(50), groups(50, cross=2), groups(35, bases=3)):
+        counts.clear()
+        assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+        assert sum(counts) < 12 * len(docs), counts
+
+
+def test_after_the_last_peel_pairs_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PEELS", 1)
+    docs = groups(34, bases=3)
+    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
