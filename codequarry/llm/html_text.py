@@ -1,19 +1,22 @@
 """Main text of web pages by composite text density.
 
 The page is read into a tree of elements in one pass (raw-text elements, implied end
-tags and unclosed elements much as browsers treat them). Elements that are boilerplate by their
-meaning (navigation, footers, asides, forms, scripts, adverts) are cut first. A class or id that names
-boilerplate cuts an element only as a whole token and unless the element holds most of the page's
-text outside links (then it stays, if no article lies beside it); a word of a longer name ("has-sidebar") only
-lowers the score in the choice of the article. Headings are never cut by name. For every other element
+tags and unclosed elements much as browsers treat them); character references are decoded in each text by itself. Elements that
+are boilerplate by their meaning (navigation, footers, asides, scripts, adverts) are cut first. Forms, labels, dialogs and elements
+whose class or id is a boilerplate name go unless they hold most of the page's text outside links (then they stay, if no article
+lies beside them; a form also has to hold a paragraph, heading or section). A boilerplate word in a longer class ("cookie-banner")
+cuts a container that doesn't hold the densest subtree; one in a longer id, or behind "has", "no" or "with", or of
+several meanings, lowers the score only and cuts a container outside the article. Headings are never cut by name. For every other element
 
     density = C / T * ln(C * T / (LC * LT)) / ln(1 + ln(C * LC / NC + C * LB / CB + e))
 
 is the link-adjusted number of characters per tag, with C characters, T tags, LC link
 characters, NC characters outside links and LT link tags of its subtree (each at least 1),
-and LB / CB the share of link characters in the whole body. The element with the largest sum of its children's densities
-holds the article; the least density on the path from it to the body is the threshold
-that parts with several short links have to reach to stay.
+and LB / CB the share of link characters in the whole body. The element with the largest sum of its children's densities (of
+equal ones the first in page order) holds the article; it grows to the article or main element around it, if there is one. The least
+density on the path to the body is the threshold: menus (blocks of mostly short links; within the densest subtree of ``MENU``
+links at least) that don't reach it go, and so do blocks of which links are a part: outside the densest subtree a quarter, inside it
+a third of a container.
 
 Defined cases: null, empty or text-free html gives ''; nothing is capped; a page without
 markup is its own text; repeated rows give repeated results.
@@ -49,13 +52,18 @@ GROUP = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "td", "th
 _WALLS = frozenset("article section div td table body html".split())
 WALLS = {"p": _WALLS, "li": _WALLS | {"ul", "ol", "menu"}, "d": _WALLS | {"dl"}, "tr": {"table", "body", "html"}, "td": {"table", "tr", "body", "html"}, "option": _WALLS | {"select"}}
 _NEAR = frozenset(GROUP) | frozenset().union(*WALLS.values())
-DROP = frozenset("head nav footer aside form button select input label dialog menu annotation annotation-xml".split()) | RAW
+DROP = frozenset("head nav footer aside button select input menu annotation annotation-xml".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+PROSE = HEADINGS | {"p", "article", "main", "section"}
+FORMS = frozenset("form label dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments disqus respond replies discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social pagination pager widget login search".split())
 #: Adverts never hold the article.
 ADS = frozenset("ad ads adv advert adverts advertisement advertising".split())
-NAMED, SHORT_LINK = 0.25, 25  # the weight of elements with a boilerplate name; characters of a link that can be one of a menu
+#: Words of longer names that have other meanings too, or are said not to hold.
+UNSURE, NEGATED = frozenset("discussion search notice login share widget social".split()), frozenset("has no with without".split())
+CONTAINERS = frozenset("div section aside ul ol dl table header figure center details".split())
+NAMED, SHORT_LINK, MENU = 0.25, 25, 5  # the weight of elements with a boilerplate name; characters of a link that can be one of a menu; links of a menu in the text
 UNNAMED = HEADINGS | {"body", "html", "article", "main"}
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -92,15 +100,21 @@ def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
 
 
 def _named(tag: str, rest: str) -> int:
-    """2 if a class or id is a boilerplate name, 1 if a word of one is, else 0."""
-    found = 0
+    """4 for a form or the like, 3 if a class or id is a boilerplate name, 2 if a word of a class of a container is one, 1 for other words, else 0."""
+    found = 4 if tag in FORMS else 0
     if "=" in rest and tag not in UNNAMED:
         for k, v in _ATTR.findall(rest):
-            if k.lower() in ("class", "id"):
-                v = v.strip("\"'")
-                if not NAMES.isdisjoint(v.lower().split()):
-                    return 2
-                found = found or int(not NAMES.isdisjoint(x.lower() for x in _PARTS.split(v)))
+            k, v = k.lower(), v.strip("\"'")
+            if k == "role" and v.lower() in FORMS:
+                found = 4
+            if k in ("class", "id"):
+                for name in v.split():
+                    if name.lower() in NAMES:
+                        return max(found, 3)
+                    words = [x.lower() for x in _PARTS.split(name)]
+                    if not NAMES.isdisjoint(words):
+                        sure = k == "class" and tag in CONTAINERS and words[0] not in NEGATED and not (NAMES - UNSURE).isdisjoint(words)
+                        found = max(found, 2 if sure else 1)
     return found
 
 
@@ -184,7 +198,7 @@ def parse(page: str) -> Node:
             break
         move = None
         if begin > at and not open_.drop:
-            open_.items.append(page[at:begin])
+            open_.items.append(entities.unescape(page[at:begin]))
         at = end
         if not tag:
             if rest and not open_.drop:
@@ -233,17 +247,17 @@ def parse(page: str) -> Node:
             scopes[-1][tag] += 1
         open_ = node
     if at < size and not open_.drop:
-        open_.items.append(page[at:])
+        open_.items.append(entities.unescape(page[at:]))
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Counts of every kept node (children before parents); returns the nodes, parents first."""
+    """Counts of every kept node (children before parents); returns the nodes in page order, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [x for x in node.items if isinstance(x, Node) and not x.drop]
+        stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.drop]
     for node in reversed(order):
         chars = tags = link_chars = link_tags = 0
         for x in node.items:
@@ -275,17 +289,20 @@ def _judge(order: list[Node]) -> bool:
     named = [n for n in order if n.named]
     if not named:
         return False
-    root, inside = order[0], {id(n): 0 for n in order}
-    for node in reversed(order):  # articles inside each element, itself included
-        inside[id(node)] += node.tag in ("article", "main") and node.chars > 0
+    root, inside = order[0], {id(n): [0, 0] for n in order}
+    for node in reversed(order):  # articles, and paragraphs and the like, inside each element, itself included
+        own = inside[id(node)]
+        own[0] += node.tag in ("article", "main") and node.chars > 0
+        own[1] += (node.tag in PROSE) and node.chars > 0
         if node.parent is not None:
-            inside[id(node.parent)] += inside[id(node)]
+            up = inside[id(node.parent)]
+            up[0], up[1] = up[0] + own[0], up[1] + own[1]
     for node in order:  # and around it
         node.marks = (node.parent.marks if node.parent is not None else 0) + (node.tag in ("article", "main") and node.chars > 0)
     for node in named:
         most = 2 * (node.chars - node.link_chars) > root.chars - root.link_chars
-        beside = inside[id(root)] > inside[id(node)] + node.marks  # an article that lies neither in it nor around it
-        if node.named == 2 and (beside or not most):
+        beside = inside[id(root)][0] > inside[id(node)][0] + node.marks  # an article that lies neither in it nor around it
+        if node.named >= 3 and (beside or not most or node.named == 4 and not inside[id(node)][1]):
             node.drop = True
         elif not most:
             node.weight = NAMED
@@ -294,19 +311,43 @@ def _judge(order: list[Node]) -> bool:
     return True
 
 
-def _blocks(node: Node, threshold: float) -> list[str]:
-    """The text blocks of a subtree in page order. Menus (blocks of several short links) below the threshold go."""
+def _strip(order: list[Node], best: Node, top: Node) -> bool:
+    """Drop containers with a boilerplate word in their names where they don't hold ``best``: of the class anywhere, else outside the article."""
+    article = top if top.tag in ("article", "main") else best
+    holds, within, found = {id(n) for n in _upwards(best)}, set(), False
+    for node in order:
+        if node is article or node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        inside = id(node) in within
+        if node.named and id(node) not in holds and node.tag in CONTAINERS and (node.named == 2 or node.named == 1 and not inside):
+            node.drop = found = True
+    return found
+
+
+def _thin(x: Node, threshold: float, in_best: bool) -> bool:
+    """A block whose density doesn't reach the threshold because of its links."""
+    if x.tag in HEADINGS or x.density >= threshold or not x.link_tags:
+        return False
+    menu = x.link_tags > 1 and x.link_chars < SHORT_LINK * x.link_tags and x.link_chars * 2 > x.chars
+    if in_best:
+        return x.tag in CONTAINERS and (menu and x.link_tags >= MENU or x.tag not in ("ul", "ol", "dl", "table") and x.link_chars < x.chars <= 3 * x.link_chars)
+    return menu or x.link_chars * 4 >= x.chars
+
+
+def _blocks(node: Node, best: Node, threshold: float) -> list[str]:
+    """The text blocks of a subtree in page order, without the thin ones."""
     out, line = [], []
+    holds = {id(n) for n in _upwards(best)}
 
     def flush():
-        text = _WHITE.sub(" ", entities.unescape("".join(line))).strip()
+        text = _WHITE.sub(" ", "".join(line)).strip()
         if text:
             out.append(text)
         line.clear()
 
-    stack = [(node, iter(node.items))]
+    stack = [(node, iter(node.items), node is best)]
     while stack:
-        own, items = stack[-1]
+        own, items, in_best = stack[-1]
         for x in items:
             if isinstance(x, str):
                 line.append(x)
@@ -317,11 +358,10 @@ def _blocks(node: Node, threshold: float) -> list[str]:
                 line.append(" ")
             else:
                 if x.tag in BLOCK:
-                    menu = x.link_tags > 1 and x.tag not in HEADINGS and x.link_chars < SHORT_LINK * x.link_tags
-                    if menu and x.density < threshold and x.link_chars * 2 > x.chars:
-                        continue
                     flush()
-                stack.append((x, iter(x.items)))
+                    if id(x) not in holds and _thin(x, threshold, in_best):
+                        continue
+                stack.append((x, iter(x.items), in_best or x is best))
                 break
         else:
             if own.tag in BLOCK:
@@ -337,32 +377,40 @@ def _upwards(node: Node):
         node = node.parent
 
 
-def main_text(page: str) -> str:
-    """The article of a page: blocks joined by an empty line."""
-    root = parse(page)
-    order = _measure(root)
-    if _judge(order):
-        order = _measure(root)
-    if not root.chars:
-        return ""
-    best = max(order, key=lambda n: n.total)
+def _chosen(order: list[Node]) -> tuple[Node, Node]:
+    """(the densest subtree, the element around it that holds the article)."""
+    best = max(order, key=lambda n: n.total)  # of equal sums the first in page order
     if best.total <= 0:
-        best = root
-    top = best
+        best = order[0]
     marked = next((n for n in _upwards(best) if n.tag in ("article", "main")), None)
     if marked is not None:
-        top = marked
+        return best, marked
+    top = best
     # without such a mark: climb while the parent adds more text than links and is not much thinner
-    while marked is None and top.parent is not None and top.tag != "body":
+    while top.parent is not None and top.tag != "body":
         up = top.parent
         if up.link_chars - top.link_chars > (up.chars - top.chars) / 2 or up.density < best.density / 4:
             break
         top = up
-    threshold, node = top.density, top
-    while node is not None:
-        threshold = min(threshold, node.density) if node.chars else threshold
-        node = node.parent
-    return "\n\n".join(_blocks(top, threshold))
+    return best, top
+
+
+def main_text(page: str) -> str:
+    """The article of a page: blocks joined by an empty line."""
+    root = parse(page)
+    order = _measure(root)
+    if _judge(order):
+        order = _measure(root)
+    if not root.chars:
+        return ""
+    best, top = _chosen(order)
+    if any(n.named for n in order) and _strip(order, best, top):
+        order = _measure(root)
+        if not root.chars:
+            return ""
+        best, top = _chosen(order)
+    threshold = min(n.density for n in _upwards(top) if n.chars or n is top)
+    return "\n\n".join(_blocks(top, best, threshold))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -142,3 +142,93 @@ def test_hostile_pages_take_linear_time(piece):
         begin = time.time()
         html_text.main_text(before + piece * (500_000 // len(piece)) + after)
         assert time.time() - begin < 5
+
+
+BODY = "".join(f"<p>{LONG * 2}</p>" for _ in range(3))
+FULL = "\n\n".join([(LONG * 2).strip()] * 3)
+REFERENCES = "<ul><li><a href=/a>Smith 2019</a></li><li><a href=/b>Jones 2020</a></li><li><a href=/c>Lee 2021</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id=aspnetForm><input type=hidden><div>{BODY}</div><label>Search</label><button>x</button></form></body>", FULL),
+        (f"<body><form><label>Name</label><p>{LONG}</p></form><article>{BODY}</article></body>", FULL),
+        (f"<body><form><label>Name {LONG * 9}</label><input></form><p>a</p></body>", "a"),
+        (f"<article>{BODY}{REFERENCES}</article>", f"{FULL}\n\nSmith 2019\n\nJones 2020\n\nLee 2021"),
+        (f"<body><div>{BODY}{REFERENCES}</div></body>", f"{FULL}\n\nSmith 2019\n\nJones 2020\n\nLee 2021"),
+        (f"<body><div class=cookie-banner>We use cookies. {LONG}</div><div>{BODY}</div></body>", FULL),
+        (f"<body><div>{BODY}</div><div class=site-footer><p>Copyright 2024. {LONG}</p></div></body>", FULL),
+        (f"<body><div id=main-menu><p>Home and News and Sport</p></div><div>{BODY}</div></body>", FULL),
+        (f"<article>{BODY}<ol class=comment-list><li><p>{LONG}</p></li><li><p>nice</p></li></ol></article>", FULL),
+        (f"<main>{BODY}<div class=related-posts><p>{LONG}</p></div></main>", FULL),
+        (f"<article>{BODY}<div class=newsletter-signup><p>Sign up now, {LONG}</p></div></article>", FULL),
+        (f"<article>{BODY}<div><p>Buy our thing <a href=/x>here and now</a></p></div></article>", FULL),
+        (f"<main><div>{BODY}</div><div><a href=/x>Try our app</a> today</div></main>", FULL),
+        (f"<article>{BODY}<p>So <span class=search-hit>it</span> <a href=/x>goes</a></p></article>", f"{FULL}\n\nSo it goes"),
+        (f"<article><div class='has-sidebar no-menu'>{BODY}</div></article>", FULL),
+        ("<p>&amp<i>lt;</i> &l<i>t;</i> &lt;p&gt;</p>", "&lt; &lt; <p>"),
+    ],
+)
+def test_what_belongs_to_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_equal_sums_choose_the_first_in_page_order():
+    part = f"<div>{BODY}</div>"
+    nav = "".join(f"<p><a href=/{i}>{LONG}</a></p>" for i in range(8))
+    root = html_text.parse(f"<body><section>{part}</section><div>{nav}</div><section>{part}</section></body>")
+    order = html_text._measure(root)
+    best, _ = html_text._chosen(order)
+    sums = [n.total for n in order]
+    assert order.index(best) == sums.index(max(sums)) and sums.count(max(sums)) > 1
+
+
+def test_choice_and_threshold_by_their_definitions():
+    """On random trees: the subtree is the first of the largest sums, and a block goes exactly if its density and links say so."""
+    rnd = random.Random(9)
+
+    def grow(depth):
+        kids = []
+        for _ in range(rnd.randint(1, 4)):
+            if depth > 3 or rnd.random() < 0.35:
+                kids.append("<p>" + "word " * rnd.randint(1, 40) + (f"<a href=x>{'link ' * rnd.randint(1, 6)}</a>" if rnd.random() < 0.4 else "") + "</p>")
+            else:
+                tag = rnd.choice(["div", "section", "ul"])
+                kids.append(f"<{tag}>{grow(depth + 1)}</{tag}>")
+        return "".join(kids)
+
+    for _ in range(60):
+        root = html_text.parse(f"<body>{grow(0)}</body>")
+        order = html_text._measure(root)
+        best, top = html_text._chosen(order)
+        top_sum = max(n.total for n in order)
+        assert best.total == top_sum and not any(n.total == top_sum for n in order[: order.index(best)])
+        path, node = [], top
+        while node is not None:
+            path.append(node)
+            node = node.parent
+        threshold = min(n.density for n in path)
+        gone, left = set(), []
+
+        def walk(node, in_best):
+            for x in node.items:
+                if isinstance(x, html_text.Node):
+                    holds, y = False, best
+                    while y is not None:
+                        holds |= y is x
+                        y = y.parent
+                    links, rest = x.link_chars, x.chars - x.link_chars
+                    if not holds and x.tag in html_text.BLOCK and x.link_tags and x.density < threshold:
+                        menu = x.link_tags > 1 and links < 25 * x.link_tags and links > rest
+                        inner = x.tag in ("div", "section", "ul") and (menu and x.link_tags >= 5 or x.tag != "ul" and rest > 0 and rest <= 2 * links)
+                        if inner if in_best else menu or 3 * links >= rest:
+                            gone.add(id(x))
+                            continue
+                    walk(x, in_best or x is best)
+                elif x.strip():
+                    left.append(x)
+
+        walk(top, top is best)
+        text = "\n\n".join(html_text._blocks(top, best, threshold))
+        assert "".join(text.split()) == "".join("".join(left).split())
