@@ -18,24 +18,28 @@ A long text is searched in overlapping windows of ``WINDOW`` characters, each of
 it whole; windows of one text with equal characters (repeated lines) are searched once. Looked-up q-grams are
 dealt with in groups of windows, about ``ENTRIES`` at a time, so memory is bounded on hostile texts too.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK`` characters, one job a block, so what is
-broadcast is bounded however large the benchmark is; the documents are never shuffled.
+The benchmark goes to the tasks in blocks of at most ``BLOCK`` characters, one job a block, and each block's findings are
+stored before the next one is sent, so what is broadcast and what the driver holds is bounded however large the benchmark is; the
+documents are never shuffled. A worker builds a block's index once.
 
-Defined cases: null or empty texts match nothing; items with fewer than q characters after
-normalisation match nothing, and equal items are each reported; repeated rows are each reported;
+Items with fewer than q characters after normalisation are found as they are, without edits, between word edges (in scripts without
+spaces anywhere), at their first place.
+
+Defined cases: null or empty texts and items without letters or digits match nothing, and equal items are each reported; repeated rows are each reported;
 a null item text is empty; empty tables give empty results. Positions are those of the normalised text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, slices, text_of
+from .common import cut, id_and_text, ship, slices, text_of
 
 Q, EDITS = 8, 12  # one edit for every EDITS characters
 WHOLE, PASSAGE, STEP = 160, 128, 64
@@ -96,47 +100,98 @@ def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
+#: Scripts that write words without spaces between them: first and last code points.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _unspaced(code: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(code), dtype=bool)
+    for a, b in UNSPACED:
+        out |= (code >= a) & (code <= b)
+    return out
+
+
+class Short:
+    """Items of fewer than Q characters: they are found as they are, between word edges."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.by_size: dict[int, dict[bytes, list[int]]] = {}
+        for item, code in items:
+            self.by_size.setdefault(len(code), {}).setdefault(code.tobytes(), []).append(item)
+        self.hashes = {n: np.unique(grams(np.frombuffer(b"".join(own), dtype=np.uint32), n)[::n]) for n, own in self.by_size.items()}
+
+    def matches(self, code: np.ndarray, begins: np.ndarray):
+        """(text, item, begin, end, 0) of the first place of each item in each text; in scripts without spaces every place is an edge."""
+        if not self.by_size or not len(code):
+            return
+        free, gap = _unspaced(code), (code == 32) | (code == 0)
+        edge = np.ones(len(code) + 1, dtype=bool)  # whether a word may begin or end before each place
+        edge[1:-1] = gap[1:] | gap[:-1] | free[1:] | free[:-1]
+        first: dict[tuple[int, int], int] = {}
+        for n, own in self.by_size.items():
+            h = grams(code, n)
+            begin = np.flatnonzero(edge[: len(h)] & edge[n : n + len(h)] & np.isin(h, self.hashes[n]))
+            text = np.searchsorted(begins, begin, side="right") - 1
+            for at, t in zip(begin.tolist(), text.tolist()):
+                for item in own.get(code[at : at + n].tobytes(), ()):
+                    first.setdefault((t, item), at)
+        sizes = {item: n for n, own in self.by_size.items() for ids in own.values() for item in ids}
+        for (t, item), at in first.items():
+            yield t, item, at - int(begins[t]), at - int(begins[t]) + sizes[item], 0
+
+
+def _steps(sizes: np.ndarray, of: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item, begin) of the passages of ``size`` characters of the items ``of``: every ``step`` characters and the last."""
+    last = sizes[of] - size
+    n = -(-last // step) + 1
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(of, n), np.minimum(place * step, np.repeat(last, n))
+
+
 class Passages:
     """The passages of a block of items and the index of the items' q-grams.
 
     Passages come by level, longest first: whole items and passages of ``PASSAGE``, then those of ``LEAK``.
-    A passage is a place in its item, so q-grams are indexed once an item, however dense the passages are.
+    A passage is a place in its item, so q-grams are indexed once an item, however dense the passages are. All is
+    held in arrays.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], short: bool = True):
         codes, begins = normalise([t for _, t in items])
-        self.ids, self.codes = [], []
-        for (item, _), a, b in zip(items, begins[:-1], begins[1:]):
-            if b - 1 - a >= Q:
-                self.ids.append(item)
-                self.codes.append(codes[a : b - 1])
-        rows: list[tuple[int, int, int, int]] = []  # level, number of the item, begin, size
-        for k, own in enumerate(self.codes):
-            n = len(own)
-            if n <= WHOLE:
-                rows.append((0, k, 0, n))
-            else:
-                rows += [(0, k, i, PASSAGE) for i in (*range(0, n - PASSAGE, STEP), n - PASSAGE)]
-            if n > LEAK:
-                rows += [(1, k, i, LEAK) for i in (*range(0, n - LEAK, LEAK_STEP), n - LEAK)]
-        level, self.of, self.begin, m = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4).T
+        sizes = np.diff(begins) - 1
+        long_ = np.flatnonzero(sizes >= Q)
+        few = np.flatnonzero((sizes > 0) & (sizes < Q)) if short else ()
+        self.short = Short([(items[k][0], codes[begins[k] : begins[k + 1] - 1]) for k in few])
+        self.ids = [items[k][0] for k in long_]
+        self.codes = [codes[begins[k] : begins[k + 1] - 1] for k in long_]
+        sizes = sizes[long_].astype(np.int32)
+        every = np.arange(len(sizes), dtype=np.int32)
+        brief, wide, leaky = every[sizes <= WHOLE], every[sizes > WHOLE], every[sizes > LEAK]
+        parts = [(brief, np.zeros(len(brief), np.int32), sizes[brief]), (*_steps(sizes, wide, PASSAGE, STEP), PASSAGE), (*_steps(sizes, leaky, LEAK, LEAK_STEP), LEAK)]
+        of, begin = (np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (0, 1))
+        m = np.concatenate([np.broadcast_to(p[2], len(p[0])) for p in parts]).astype(np.int32)
+        level = np.repeat([0, 0, 1], [len(p[0]) for p in parts])
+        order = np.lexsort((begin, of, level))
+        self.of, self.begin, m = of[order], begin[order], m[order]
         self.level = np.searchsorted(level, [0, 1, 2])
         self.budget = np.minimum(m // EDITS, (m - Q) // Q)
         self.bound = m - Q + 1 - self.budget * Q
         self.size = m
-        if rows:
-            hashes = [grams(c) for c in self.codes]
-            h = np.concatenate(hashes)
-            owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-            at = np.concatenate([np.arange(len(x)) for x in hashes])
-            order = np.argsort(h, kind="stable")
-            self.h, self.owner, self.at = h[order], owner[order], at[order]
+        if len(m):
+            n = sizes - (Q - 1)
+            starts = np.cumsum(n) - n
+            place_in = np.arange(n.sum(), dtype=np.int32) - np.repeat(starts.astype(np.int32), n)
+            h = grams(codes)[np.repeat(begins[long_].astype(np.int64), n) + place_in]
+            # hashes with their places in one number each, so that sorting moves both
+            both = np.sort(h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64))
+            self.h, order = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+            self.owner, self.at = np.repeat(every, n)[order], place_in[order]
             self.bits = np.zeros(1 << _BITS, dtype=bool)
             self.bits[self.h >> np.uint32(32 - _BITS)] = True
             self.longest = max(map(len, self.codes))
             self.width = int(self.budget.max()) + 1
-            self.least = np.full(len(self.codes), self.longest)
-            np.minimum.at(self.least, self.of, self.bound)
+            bound = self.bound[np.argsort(self.of, kind="stable")]
+            self.least = np.minimum.reduceat(bound, np.searchsorted(np.sort(self.of), every))
             # (fewest hits, within how many characters) by edit budget
             same = [self.budget == k for k in np.unique(self.budget)]
             self.dense = [(int(self.bound[x].min()), int((m + self.budget)[x].max())) for x in same]
@@ -169,9 +224,10 @@ class Passages:
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits): the best place of each item in each text, by the longest level that has one."""
-        if not len(self.size):
-            return []
         whole, begins = normalise(texts)
+        exact = list(self.short.matches(whole, begins))
+        if not len(self.size):
+            return sorted(exact, key=lambda f: f[0])
         spans = self.windows(whole, begins)
         code = np.concatenate([np.append(whole[a:b], np.uint32(0)) for _, a, b in spans]) if spans else whole
         edges = np.concatenate([[0], np.cumsum([b - a + 1 for _, a, b in spans])])
@@ -182,7 +238,8 @@ class Passages:
             key = (t, item)
             if key not in best or row[:2] < best[key][:2]:
                 best[key] = row
-        return [(t, item, begin, end, edits) for (t, item), (_, edits, begin, end) in sorted(best.items(), key=lambda f: f[0][0])]
+        found = [(t, item, begin, end, edits) for (t, item), (_, edits, begin, end) in best.items()]
+        return sorted(found + exact, key=lambda f: f[0])
 
     def _search(self, code: np.ndarray, begins: np.ndarray):
         """(window, item, begin, end, edits, level) of the best place of each item in each window, in order of the windows."""
@@ -218,7 +275,7 @@ class Passages:
     def _verify(self, code: np.ndarray, begins: np.ndarray, hit: np.ndarray, lo: np.ndarray, n: np.ndarray):
         """Bands, counts and alignment of the hits (places in ``code``), whose q-grams are the entries from ``lo`` on."""
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, of, at = np.repeat(hit, n), self.owner[entry], self.at[entry]
+        place, of, at = np.repeat(hit, n), self.owner[entry].astype(np.int64), self.at[entry].astype(np.int64)
         # texts lie so far apart here that no band covers diagonals of two of them
         apart = 2 * self.width + self.longest
         text = np.repeat(np.searchsorted(begins, hit, side="right") - 1, n)
@@ -247,7 +304,7 @@ class Passages:
         for level, (a, b) in enumerate(zip(self.level[:-1], self.level[1:])):
             if a == b:
                 continue
-            line = self.of[a:b] * wide + self.begin[a:b]
+            line = self.of[a:b].astype(np.int64) * wide + self.begin[a:b]
             start = a + np.searchsorted(line, own * wide + np.maximum(left - int(self.size[a:b].max()) + Q, 0))
             n = a + np.searchsorted(line, own * wide + right, side="right") - start
             g = np.repeat(np.arange(len(bands)), n)
@@ -330,24 +387,50 @@ def blocks(benchmark: DataFrame, most: int = BLOCK, id_col: str = "item_id", tex
 
 
 RESULT = "doc_id long, item_id long, begin long, end long, edits long"
+_index: tuple = (None, None)
+
+
+def _passages(held, key: str, short: bool = True) -> Passages:
+    """The index of a block: built once a worker, which keeps the last one."""
+    global _index
+    if _index[0] != (key, short):
+        _index = ((key, short), Passages(held.value, short))
+    return _index[1]
+
+
+def _each_block(spark, benchmark: DataFrame, most: int):
+    """(items, whether it is the only block) one after the other; the driver holds two blocks at most."""
+    every = blocks(benchmark, most)
+    own, n = next(every, None), 0
+    while own is not None:
+        following = next(every, None)
+        yield own, n == 0 and following is None
+        own, n = following, n + 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, begin, end, edits: the best place of each item in each document that holds (a passage of) it."""
+    """doc_id, item_id, begin, end, edits: the best place of each item in each document that holds (a passage of) it.
+
+    With several blocks each one's findings are stored before the next one is sent, and its broadcast ends.
+    """
     spark = docs.sparkSession
     ship(spark)
-    texts = id_and_text(docs, id_col, text_col)
-    out = None
-    for items in blocks(benchmark, most):
+    texts, found = id_and_text(docs, id_col, text_col), []
+    for items, only in _each_block(spark, benchmark, most):
         held = spark.sparkContext.broadcast(items)
-        found = texts.mapInArrow(_search(held), RESULT)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+        rows = texts.mapInArrow(_search(held, uuid.uuid4().hex), RESULT)
+        found.append(rows if only else cut(rows, "leaks"))
+        if not only:
+            held.destroy()
+    out = spark.createDataFrame([], RESULT) if not found else found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
-def _search(held):
+def _search(held, key: str):
     def run(batches):
-        index = Passages(held.value)
+        index = _passages(held, key)
         for b in slices(batches):
             rows = index.matches(b.column(1).to_pylist())
             if rows:
@@ -364,20 +447,24 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go; all others stay as they are.
 
-    The benchmark's blocks filter one after the other, inside the tasks: nothing is shuffled or joined. Rows with null or
-    empty texts or null ids stay or go by their text alone, repeated rows each for themselves, all columns stay as they
-    are, whatever their names; an empty table or an empty benchmark takes nothing away.
+    The benchmark's blocks filter one after the other, inside the tasks: nothing is shuffled or joined; between two blocks the
+    documents left are stored. Items of fewer than Q characters (a word or two) are no passage: they take nothing away here,
+    ``contaminated`` reports them. Rows with null or empty texts or null ids stay or go by their text alone, repeated rows
+    each for themselves, all columns stay as they are, whatever their names; an empty table or an empty benchmark takes nothing away.
     """
     ship(spark)
     schema, at = docs.schema, docs.columns.index("text")
-    for items in blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        held = spark.sparkContext.broadcast(items)
+    for items, only in _each_block(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), BLOCK):
+        held, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches, held=held):
-            index = Passages(held.value)
+        def run(batches, held=held, key=key):
+            index = _passages(held, key, short=False)
             for b in slices(batches):
                 bad = {t for t, *_ in index.matches([x or "" for x in b.column(at).to_pylist()])}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
 
         docs = docs.mapInArrow(run, schema)
+        if not only:
+            docs = cut(docs, "clean")
+            held.destroy()
     return docs

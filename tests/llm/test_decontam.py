@@ -140,3 +140,49 @@ def test_windows_find_what_the_whole_text_holds(monkeypatch):
     monkeypatch.setattr(decontam, "WINDOW", 700)
     monkeypatch.setattr(decontam, "ENTRIES", 50)
     assert {(t, i, e) for t, i, _, _, e in index.matches(texts)} == {(t, i, e) for t, i, _, _, e in whole}
+
+
+def test_short_items_are_found_between_word_edges(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4)))
+    items = [(i, t) for i, t in enumerate(["a", "AB", "a b", "abba", "b.a", "aabb", "ab ab a", "人工", "工", "", None, "..", "ab"])]
+    docs = [(i, rnd.choice(["", "  ", "."]).join([" ".join(word() for _ in range(rnd.randint(0, 12)))] * 2)) for i in range(150)] + [(150, "关于人工智能"), (151, "a工b"), (152, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            own, whole = plain(item or ""), plain(text or "")
+            places = [k for k in range(len(whole)) if own and whole.startswith(own, k)]
+            free = lambda c: c in "人工智能关于"
+            for k in places:
+                before, after = whole[k - 1 : k], whole[k + len(own) : k + len(own) + 1]
+                if (before.strip() == "" or free(before) or free(own[0])) and (after.strip() == "" or free(after) or free(own[-1])):
+                    want.add((d, i, k, k + len(own), 0))
+                    break
+    assert {tuple(r) for r in decontam.contaminated(df, bench).collect()} == want
+    assert {tuple(r) for r in decontam.contaminated(df, bench, most=3).collect()} == want  # many blocks, each stored
+
+
+def test_stage_with_several_blocks(spark, tmp_path, monkeypatch):
+    items = [(i, f"the benchmark item number {i} asks a question about {i * 7} things in a row") for i in range(6)] + [(9, "ab")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(decontam, "BLOCK", 100)
+    docs = [(i, f"before {items[i][1].upper()} after" if i < 6 else f"clean text ab {i}") for i in range(12)]
+    out = decontam.decontamination_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [6, 7, 8, 9, 10, 11]
+
+
+def test_passages_by_their_definition():
+    rnd = random.Random(5)
+    for _ in range(20):
+        items = [(i, "x" * rnd.choice([8, 71, 72, 73, 160, 161, 300, 512, 513])) for i in range(rnd.randint(1, 5))]
+        p = decontam.Passages(items)
+        want = []
+        for k, (_, t) in enumerate(items):
+            n = len(t)
+            want += [(0, k, 0, n)] if n <= 160 else [(0, k, i, 128) for i in (*range(0, n - 128, 64), n - 128)]
+            want += [(1, k, i, 72) for i in (*range(0, n - 72, 4), n - 72)] if n > 72 else []
+        level = [0 if i < p.level[1] else 1 for i in range(len(p.of))]
+        assert list(zip(level, p.of.tolist(), p.begin.tolist(), p.size.tolist())) == sorted(want)
+        assert p.least.tolist() == [min(int(b) for b, o in zip(p.bound, p.of) if o == k) for k in range(len(items))]
