@@ -102,6 +102,18 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return folder, cut(id_and_text(docs, id_col, text_col).mapInArrow(_write(folder), "archive string, bytes long, members long"), "media_manifest")
 
 
+class Ahead:
+    """Bytes of a file from requests in rising order: ``BATCH`` at a time, up to ``end``, or as many as one request takes."""
+
+    def __init__(self, file, end: int):
+        self.file, self.end, self.at, self.held = file, end, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        if at < self.at or at + n > self.at + len(self.held):
+            self.at, self.held = at, self.file.read_at(max(n, min(BATCH, self.end - at)), at)
+        return self.held[at - self.at : at - self.at + n]
+
+
 class ByteRanges(InputPartition):
     """Byte ranges (archive, begin, end) that one task reads."""
 
@@ -140,23 +152,29 @@ class MediaArchiveReader(DataSourceReader):
                     own, held = [], 0
         return [*out, ByteRanges(own)] if own or not out else out
 
-    def _member(self, fs, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        problem = None
-        for attempt in range(self.retries + 1):
+    @staticmethod
+    def _payload(get, info: zipfile.ZipInfo) -> bytes:
+        """The member's bytes through ``get`` (offset, size), verified."""
+        head = get(info.header_offset, 30)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError("no member at this offset")
+        name, extra = struct.unpack("<HH", head[26:30])
+        begin = 30 + name + extra
+        raw = get(info.header_offset, begin + info.compress_size)[begin:]
+        data = zlib.decompress(raw, -15) if info.compress_type == zipfile.ZIP_DEFLATED else raw
+        if zlib.crc32(data) != info.CRC or len(data) != info.file_size:
+            raise ValueError("checksum differs")
+        return data
+
+    def _member(self, fs, path: str, info: zipfile.ZipInfo, problem: str = "not read") -> tuple[bytes | None, str | None]:
+        """A member that couldn't be taken from its range, by its offset, through handles of its own."""
+        for attempt in range(self.retries):
             try:
-                with fs.open_input_file(path) as f:  # a handle of its own, so that a broken one isn't used again
-                    head = f.read_at(30, info.header_offset)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member at this offset")
-                    name, extra = struct.unpack("<HH", head[26:30])
-                    raw = f.read_at(info.compress_size, info.header_offset + 30 + name + extra)
-                data = zlib.decompress(raw, -15) if info.compress_type == zipfile.ZIP_DEFLATED else raw
-                if zlib.crc32(data) != info.CRC or len(data) != info.file_size:
-                    raise ValueError("checksum differs")
-                return data, None
+                time.sleep(0.05 * 2**attempt)
+                with fs.open_input_file(path) as f:
+                    return self._payload(lambda at, n: f.read_at(n, at), info), None
             except Exception as e:  # noqa: BLE001 - any failure of one member is told in its row
                 problem = f"{type(e).__name__}: {e}"
-                time.sleep(0.05 * 2**attempt if attempt < self.retries else 0)
         return None, problem
 
     def read(self, partition: ByteRanges):
@@ -165,10 +183,7 @@ class MediaArchiveReader(DataSourceReader):
         rows, size = [], 0
         for archive, begin, end in partition.ranges:
             fs, path = open_fs(archive)
-            with fs.open_input_file(path) as f:
-                members = [i for i in zipfile.ZipFile(f).infolist() if begin <= i.header_offset < end]
-            for info in members:
-                media, error = self._member(fs, path, info)
+            for info, media, error in self._members(fs, path, begin, end):
                 doc, _, n = info.comment.decode().partition(",")
                 rows.append((archive, info.header_offset, int(doc) if doc else None, int(n), media, error))
                 size += len(media or b"")
@@ -179,6 +194,18 @@ class MediaArchiveReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+    def _members(self, fs, path: str, begin: int, end: int):
+        """(entry, bytes, error) of the members that begin in a range, which is read once, in order."""
+        with fs.open_input_file(path) as f:
+            members = sorted((i for i in zipfile.ZipFile(f).infolist() if begin <= i.header_offset < end), key=lambda i: i.header_offset)
+            ahead = Ahead(f, end)
+            for info in members:
+                try:
+                    yield info, self._payload(ahead.get, info), None
+                except Exception as e:  # noqa: BLE001 - this member is tried by itself
+                    yield info, *self._member(fs, path, info, f"{type(e).__name__}: {e}")
+
+
 class MediaArchive(DataSource):
     @classmethod
     def name(cls):

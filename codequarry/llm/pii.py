@@ -162,18 +162,18 @@ def redact(text: str) -> str:
     return "".join([*parts, text[at:]])
 
 
-_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``."""
+    """doc_id, base_sha256, spans and how many spans of each kind (n_email, n_ip, n_card, n_phone, n_address, n_account) for each row of ``docs``."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):
             ids, texts = b.column(0), b.column(1).to_pylist()
             found = [find_spans(t) for t in texts]
-            cols = [[len(x[k]) for x in found] for k in BASE]
+            cols = [[len(x[k]) for x in found] for k in KINDS]
             sha = [hashlib.sha256(_joined(x, BASE).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols), pa.array(sha, pa.string()), pa.array([_joined(x, KINDS) for x in found], pa.string())], names=_SCHEMA.names)
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from .common import fold, id_and_text, labelled_sample, ship, slices
 
 SAMPLE, CHARS = 3_000, 12_000_000
 BUCKETS, SIZE, PASSAGE, LEAST = 1 << 17, 4, 24, 8
-EPOCHS, SETTLE, RATE, RIDGE, PRIOR, COMMON, SEED = 91, 30, 0.3, 0.1, 10.0, 3, 7
+EPOCHS, SETTLE, RATE, RIDGE, PRIOR, SEED = 91, 30, 0.3, 0.1, 10.0, 7
 CACHE = 400_000
 
 words_of = re.compile(r"[^\W_]+").findall
@@ -86,13 +85,11 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 class Bags:
     """The passages of documents as bags of words, and words as bags of subword buckets; sums and gradients over them.
 
-    Documents of ``watch`` only choose and calibrate the model, so their words need not be common; of the others
-    only words that at least ``COMMON`` of them hold count.
+    Documents of ``watch`` only choose and calibrate the model; the others' words are the vocabulary.
     """
 
     def __init__(self, docs: list[list[str]], watch: np.ndarray):
-        df = Counter(w for d, v in zip(docs, watch) if not v for w in set(d))
-        vocabulary = {w: i for i, w in enumerate(w for w, n in df.items() if n >= COMMON)}
+        vocabulary = dict.fromkeys(w for d, v in zip(docs, watch) if not v for w in d)
         everything = list({**vocabulary, **dict.fromkeys(w for d, v in zip(docs, watch) if v for w in d)})
         number = {w: i for i, w in enumerate(everything)}  # the vocabulary's words come first
         self.mine, self.words = len(vocabulary), len(everything)

@@ -143,3 +143,18 @@ def test_warc_odd_tables(spark):
     rows = [(1, "u", "x", ""), (1, "u", "x", ""), (None, "u", "x", ""), (None, None, "only", "")]
     got = warc.archive(spark.createDataFrame(rows, PAGES)).collect()
     assert len(got) == 4
+
+
+def test_a_range_is_read_once_in_order(spark, monkeypatch):
+    """One handle and few large reads, whatever the number of members; a long member takes one read of its own."""
+    reads = []
+    data = bytes(range(256)) * 400
+    file = type("File", (), {"read_at": lambda self, n, at: reads.append((at, n)) or data[at : at + n]})()
+    monkeypatch.setattr(media, "BATCH", 10_000)
+    ahead = media.Ahead(file, 60_000)
+    at = 0
+    while at < 60_000:
+        n = 30_000 if at == 20_000 else 500
+        assert ahead.get(at, 30) == data[at : at + 30] and ahead.get(at, n) == data[at : at + n]
+        at += n
+    assert len(reads) <= 8 and [a for a, _ in reads] == sorted(a for a, _ in reads)
