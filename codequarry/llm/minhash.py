@@ -43,8 +43,9 @@ HASHES, ROWS = 160, 5
 BANDS = 2 * HASHES // ROWS
 #: A shingle that at most this many documents of the mixed buckets hold is rare.
 RARE = 32
-#: Components of a bucket that are compared with the others one after the other, each through its hub.
-PEELS = 6
+#: Components of a bucket that are compared with the others one after the other, each through its hub, and rows of a bucket
+#: (a few pairs for each of them) whose pairs are made at once.
+PEELS, SMALL = 6, 16
 #: About so many documents are compared with one copy of their hub's text.
 CHUNK = 64
 #: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
@@ -275,10 +276,10 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     hubs = rest.groupBy("h").agg(F.max_by(F.struct("id", "n", "c"), F.struct("score", -F.col("id"))).alias("hub"))
     rows = rest.join(hubs, "h").select("h", "id", "n", "c", "m", "score", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
     rows = cut(rows, "peel")
-    pairs = cut(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), "peel_pairs")
-    measured = cut(_measure(pairs, near), "peel_measured")
-    both = pairs.join(rare.select(F.col("doc_id").alias("other"), "shingle"), "other").join(rare.select(F.col("doc_id").alias("hub"), "shingle"), ["hub", "shingle"])
-    both = both.groupBy("hub", "other").agg(F.count("*").alias("r"))
+    measured = cut(_measure(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), near), "peel_measured")
+    # from the hubs' side: each of their rare shingles is held by ``RARE`` documents at most
+    of_hubs = rare.select(F.col("doc_id").alias("hub"), "shingle").join(measured.select("hub").distinct(), "hub", "left_semi")
+    both = of_hubs.join(rare.select(F.col("doc_id").alias("other"), "shingle"), "shingle").groupBy("hub", "other").agg(F.count("*").alias("r"))
     known = measured.join(both, ["hub", "other"], "left").select("hub", F.col("other").alias("id"), "shared", F.coalesce("r", F.lit(0)).alias("r"))
     rows = rows.join(known, ["hub", "id"], "left")
     own = F.col("id") == F.col("hub")
@@ -286,7 +287,7 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     outside = F.when(own, F.lit(0)).otherwise(F.col("m") - F.col("shared") + F.col("r"))
     rows = cut(rows.select("h", "id", "n", "c", "m", "score", "hub", (F.col("c") == F.col("hub_c")).alias("first"), inside.alias("i"), outside.alias("k")), "peel_rows")
     sides = rows
-    for _ in range(2):
+    for _ in range(2):  # the second time without those that only outliers of the other side kept
         best = lambda f, c, first: f(F.when(F.col("first") == first, F.col(c)))
         other = lambda c: F.when(F.col("first"), F.col(f"{c}_else")).otherwise(F.col(f"{c}_first"))
         best_of = sides.groupBy("h").agg(*[best(f, c, first).alias(f"{c}_{name}") for f, c in ((F.max, "i"), (F.max, "k"), (F.min, "n")) for first, name in ((True, "first"), (False, "else"))])
@@ -297,10 +298,18 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     return found.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy")), _links(measured), rows.where("not first").select(*rest.columns)
 
 
-def _several(rest: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    mixed = rest.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    return cut(rest.join(mixed.select("h"), "h", "left_semi"), "peel_rest")
+def _split(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(small, large): the rows of buckets that hold several components, ``SMALL`` rows at most or more."""
+    mixed = rest.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1")
+    rows = cut(rest.join(mixed.select("h", "k"), "h"), "peel_rest")
+    return rows.where(F.col("k") <= SMALL).drop("k"), rows.where(F.col("k") > SMALL).drop("k")
+
+
+def _joined(rest: DataFrame) -> DataFrame:
+    """(x, sx, y, sy): the pairs of classes of one bucket, but not one component, whose common shingles could make a link."""
+    x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "m", "score")]) for s in ("x", "y"))
+    left = x.join(y, "h").where("id_x < id_y and c_x <> c_y").where(_possible(F.least("m_x", "m_y"), F.col("n_x"), F.col("n_y")))
+    return left.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy"))
 
 
 def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
@@ -323,17 +332,15 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     rest = facts.where(F.col("m") * 100 >= F.col("n") * SIMILAR).select(F.explode("hs").alias("h"), F.col("doc_id").alias("id"), "n", "c", "m", "score")
     pairs, links = [], []
     for _ in range(PEELS):
-        rest = _several(rest)
+        small, rest = _split(rest)
+        pairs.append(_joined(small))
         if rest.isEmpty():
             break
         some, more, rest = _peeled(rest, rare, texts)
-        pairs.append(cut(some.distinct(), "peel_found"))
+        pairs.append(some)
         links.append(more)
     else:
-        rest = _several(rest)
-        x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "m", "score")]) for s in ("x", "y"))
-        left = x.join(y, "h").where("id_x < id_y and c_x <> c_y").where(_possible(F.least("m_x", "m_y"), F.col("n_x"), F.col("n_y")))
-        pairs.append(left.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy")))
+        pairs.append(_joined(rest))
     # else they have to share rare shingles, each of which few documents hold
     shared = rare.where("df > 1").select("shingle", "doc_id")
     met = shared.join(facts.where("outside").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "x").join(shared.withColumnRenamed("doc_id", "y"), "shingle").where("x <> y")
