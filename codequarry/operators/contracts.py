@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import dirname, is_test_filename
 from ..schemas import Params
 from .history import pairs_within
+from .ranks import top_by
 
 
 def dead_code_findings(dead_markers: DataFrame, files: DataFrame, edges: DataFrame, p: Params = Params()) -> DataFrame:
@@ -49,12 +50,18 @@ def search_pages(pages: DataFrame, query: str, limit: int = 20, width: int = 160
     return best.join(pages, "page_id").select("page_id", "score", F.substr("content", at, F.lit(width)).alias("snippet"))
 
 
-def knowledge_map(ownership: DataFrame, ranks: DataFrame, documented: DataFrame, top: int = 10) -> DataFrame:
-    """(kind, subject, value): top owners by files, silos by share, and undocumented files by PageRank."""
-    owners = ownership.groupBy("owner").agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "owner").limit(top).select(F.lit("owner").alias("kind"), F.col("owner").alias("subject"), "value")
-    silos = ownership.where("is_silo").orderBy(F.desc("share"), "key").limit(top).select(F.lit("silo").alias("kind"), F.col("key").alias("subject"), F.col("share").alias("value"))
-    targets = ranks.join(documented.select("repo_id", "path"), ["repo_id", "path"], "left_anti").orderBy(F.desc("pagerank"), "path").limit(top).select(F.lit("target").alias("kind"), F.col("path").alias("subject"), F.col("pagerank").alias("value"))
-    return owners.unionByName(silos).unionByName(targets)
+def knowledge_map(ownership: DataFrame, ranks: DataFrame, documented: DataFrame, top: int = 10, by_repository: bool = False) -> DataFrame:
+    """(kind, subject, value): top owners by files, silos by share, and undocumented files by PageRank; of each repository, with its repo_id, if asked."""
+    own = ["repo_id"] if by_repository else []
+
+    def part(rows: DataFrame, kind: str, subject: str, value: str) -> DataFrame:
+        rows = rows.select(*own, F.lit(kind).alias("kind"), F.col(subject).alias("subject"), F.col(value).cast("double").alias("value"))
+        order = [F.desc("value"), "subject"]
+        return top_by(rows, order, top) if by_repository else rows.orderBy(*order).limit(top)
+
+    owners = ownership.groupBy(*own, "owner").agg(F.count("*").alias("files"))
+    targets = ranks.join(documented.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    return part(owners, "owner", "owner", "files").unionByName(part(ownership.where("is_silo"), "silo", "key", "share")).unionByName(part(targets, "target", "path", "pagerank"))
 
 
 def repo_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

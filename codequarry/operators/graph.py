@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import prefix
 from ..schemas import Params
 from ..storage import cut, forget
-from .ranks import running_totals
+from .ranks import running_totals, top_by
 from .rules import marker
 
 
@@ -368,11 +368,12 @@ def module_edges(edges: DataFrame, module_of: DataFrame) -> DataFrame:
 
 
 def module_dependency_matrix(links: DataFrame, modules: DataFrame, top: int = 15) -> DataFrame:
-    """Edge counts between the top connected modules by mean PageRank, one column a target."""
+    """Edge counts between the top connected modules by mean PageRank (of all repositories, as each is a column), one column a target."""
     ends = links.select("repo_id", F.explode(F.array("source", "target")).alias("module")).distinct()
     best = modules.join(ends, ["repo_id", "module"], "left_semi").orderBy(F.desc("avg_pagerank"), "module").limit(top).select("repo_id", "module")
     rows = links.join(F.broadcast(best.withColumnRenamed("module", "source")), ["repo_id", "source"], "left_semi").join(F.broadcast(best.withColumnRenamed("module", "target")), ["repo_id", "target"], "left_semi")
-    return rows.groupBy("repo_id", "source").pivot("target").sum("edge_count")
+    names = sorted({r.module for r in best.collect()})  # at most ``top``
+    return rows.groupBy("repo_id", "source").pivot("target", names).sum("edge_count") if names else rows.select("repo_id", "source").distinct()
 
 
 def module_dep_count(links: DataFrame) -> DataFrame:
@@ -388,9 +389,9 @@ def module_community(modules: DataFrame, tops: DataFrame, palette: int = 24) ->
 
 
 def centrality_leaderboard(metrics: DataFrame, metric: str = "pagerank", limit: int = 10) -> DataFrame:
-    """The top nodes by pagerank, betweenness or degree (in + out)."""
+    """Each repository's top nodes by pagerank, betweenness or degree (in + out)."""
     value = F.col("in_degree") + F.col("out_degree") if metric == "degree" else F.col(metric)
-    return metrics.select("repo_id", "key", value.alias("value")).orderBy(F.desc("value"), "key").limit(limit)
+    return top_by(metrics.select("repo_id", "key", value.alias("value")), [F.desc("value"), "key"], limit)
 
 
 def directory_descendants(files: DataFrame) -> DataFrame:
@@ -423,13 +424,26 @@ def docs_index(pages: DataFrame) -> DataFrame:
     return usable.groupBy("repo_id", "target_path").agg(F.max_by("page_id", F.struct(F.col("page_type") == "module_page", "seq")).alias("page_id"))
 
 
-def node_search(nodes: DataFrame, q: str, limit: int = 20) -> DataFrame:
-    """Exact, prefix, contained, then by edit distance; an empty query gives the top by PageRank."""
+def node_search(nodes: DataFrame, q: str, limit: int = 20, slips: int = 3) -> DataFrame:
+    """Each repository's best matches: exact, prefix, contained, then mistyped, each by edit distance; an empty query gives the top by PageRank.
+
+    Mistyped: a part of the key between slashes, dots and colons lies within one edit in ``slips`` characters of the query. Two
+    strings within k edits share all but 2k of their pairs of neighbouring letters, so only parts that share enough
+    of them are compared letter by letter.
+    """
     if not q:
-        return nodes.orderBy(F.desc("pagerank"), "key").limit(limit)
-    k = F.lower("key")
-    rank = F.when(k == q.lower(), 0).when(k.startswith(q.lower()), 1).otherwise(2)
-    return nodes.where(k.contains(q.lower())).orderBy(rank, F.levenshtein(k, F.lit(q.lower())), "key").limit(limit)
+        return top_by(nodes, [F.desc("pagerank"), "key"], limit)
+    q, k = q.lower(), F.lower("key")
+    edits = len(q) // slips
+    pairs = F.array(*[F.lit(p) for p in sorted({q[i : i + 2] for i in range(len(q) - 1)})]) if len(q) > 1 else F.array().cast("array<string>")
+    least = len({q[i : i + 2] for i in range(len(q) - 1)}) - 2 * edits
+    own = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(2)))
+    near = lambda x: (F.abs(F.length(x) - len(q)) <= edits) & (F.size(F.array_intersect(own(x), pairs)) >= least)
+    distance = F.array_min(F.transform(F.filter(F.split(k, "[/.:]"), near), lambda x: F.levenshtein(x, F.lit(q))))
+    rows = nodes.withColumn("slips_", F.when(~k.contains(q), F.coalesce(distance, F.lit(1 << 30))))
+    rank = F.when(k == q, 0).when(k.startswith(q), 1).when(k.contains(q), 2).otherwise(3)
+    rows = rows.where(k.contains(q) | (F.col("slips_") <= edits))
+    return top_by(rows, [rank, F.coalesce("slips_", F.levenshtein(k, F.lit(q))), "key"], limit).drop("slips_")
 
 
 def hide_tests(nodes: DataFrame) -> DataFrame:
@@ -465,17 +479,25 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(degrees(edges), ["repo_id", "key"], "left").fillna({"in_degree": 0, "out_degree": 0})
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = 16) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = 16, error: float | None = None, doubt: float = 0.1) -> DataFrame:
     """Betweenness over directed shortest paths of any length; exact with ``sources=None``.
 
-    Else an estimate from ``sources`` sampled source nodes of all repositories (the smallest hashes of their keys), scaled by
-    a repository's nodes over its sampled ones. Breadth-first counts of shortest paths forwards until nothing new is
+    Else an estimate from source nodes drawn in each repository (the smallest hashes of repository and key), scaled by the
+    repository's nodes over its sources; a repository with fewer nodes is exact. With ``error`` each repository of n nodes gets
+    ln(2n / doubt) / (2 error^2) sources: by Hoeffding's bound no node is off by more than error * n * (n - 2), but with
+    probability ``doubt``. Breadth-first counts of shortest paths forwards until nothing new is
     reached, then dependencies backwards, all sources at once.
     """
     e = edges.select("repo_id", "src", "dst").distinct()
     roots = all_ = nodes.select("repo_id", "key").distinct()
-    if sources is not None:
-        roots = cut(roots.orderBy(F.xxhash64("key"), "key").limit(sources), "bc_roots")
+    if error is not None or sources is not None:
+        n = all_.groupBy("repo_id").agg(F.count("*").alias("n"))
+        wanted = F.ceil(F.log(2 * F.col("n") / doubt) / (2 * error**2)) if error is not None else F.lit(sources)
+        # hashes are uniform, so a cut by them leaves few more rows than wanted before the exact rank
+        drawn = all_.join(n.withColumn("wanted", wanted), "repo_id").withColumn("order", F.pmod(F.xxhash64("repo_id", "key"), F.lit(1 << 40)))
+        drawn = drawn.where((F.col("wanted") * 3 + 50 >= F.col("n")) | (F.col("order") / float(1 << 40) * F.col("n") <= 2 * F.col("wanted") + 50))
+        place = F.row_number().over(Window.partitionBy("repo_id").orderBy("order", "key"))
+        roots = cut(drawn.withColumn("place", place).where(F.col("place") <= F.col("wanted")).select("repo_id", "key"), "bc_roots")
     seen = cut(roots.select("repo_id", F.col("key").alias("s"), "key", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bc")
     front, depth = seen, 0
     for d in count(1):

@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 
+def top_by(rows: DataFrame, order: list, n: int, *by: str) -> DataFrame:
+    """The first ``n`` rows of each group (0: all), by repository where no other is named.
+
+    A limit on row numbers is kept to n rows a task before the shuffle, so a large repository is no large task.
+    """
+    if not n:
+        return rows
+    ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*(by or ("repo_id",))).orderBy(*order)))
+    return ranked.where(F.col("rank_") <= n).drop("rank_")
+
+
 def running_totals(rows: DataFrame, group: str, value: str, weight: str) -> DataFrame:
     """``rows`` (distinct by group and value) with ``below``: the weight of the group's smaller values; and ``total``."""
     spread = rows.repartitionByRange(group, value).withColumn("part", F.spark_partition_id())

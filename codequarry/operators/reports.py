@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import confidence_tier, prefix, risk_band, round_half_up
+from .ranks import top_by
 
 
 def hotspot_filters(rows: DataFrame, search: str = "", preset: str = "all", sort: str = "trend") -> DataFrame:
@@ -52,12 +53,12 @@ def attention_items(stale: DataFrame, ungoverned: DataFrame, silos: DataFrame, d
 
 
 def hotspot_risk(rows: DataFrame, top: int = 30) -> DataFrame:
-    """round(100 * (0.4 churn + 0.35 bus factor + 0.25 trend)) with its band; the top files."""
+    """round(100 * (0.4 churn + 0.35 bus factor + 0.25 trend)) with its band; the top files of each repository."""
     bus = F.when(F.col("bus_factor") <= 1, 1.0).when(F.col("bus_factor") == 2, 0.5).otherwise(0.0)
     trend = F.least(F.lit(1.0), F.coalesce("temporal_hotspot_score", F.lit(0.0)) / 10)
     risk = round_half_up(100 * (0.4 * F.col("churn_percentile") / 100 + 0.35 * bus + 0.25 * trend)).cast("int")
     out = rows.select("repo_id", "path", risk.alias("risk")).withColumn("band", risk_band("risk"))
-    return out.orderBy(F.desc("risk"), "path").limit(top)
+    return top_by(out, [F.desc("risk"), "path"], top)
 
 
 def churn_histogram(rows: DataFrame) -> DataFrame:
@@ -68,10 +69,10 @@ def churn_histogram(rows: DataFrame) -> DataFrame:
 
 
 def trend(rows: DataFrame, top: int = 8) -> DataFrame:
-    """heating (30 days * 3 / 90 days >= 1.25), cooling (<= 0.75) or steady; the top by percentile."""
+    """heating (30 days * 3 / 90 days >= 1.25), cooling (<= 0.75) or steady; the top of each repository by percentile."""
     r = F.try_divide(F.col("commit_count_30d") * 3, F.col("commit_count_90d"))
     kind = F.when(r >= 1.25, "heating").when(r <= 0.75, "cooling").otherwise("steady")
-    return rows.select("repo_id", "path", "churn_percentile", kind.alias("trend")).orderBy(F.desc("churn_percentile"), "path").limit(top)
+    return top_by(rows.select("repo_id", "path", "churn_percentile", kind.alias("trend")), [F.desc("churn_percentile"), "path"], top)
 
 
 def bus_factor_distribution(rows: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def bus_factor_distribution(rows: DataFrame) -> DataFrame:
 
 
 def bus_factor_risks(rows: DataFrame, top: int = 10) -> DataFrame:
-    return rows.where("bus_factor <= 1").orderBy(F.desc("commit_count_90d"), "path").limit(top)
+    return top_by(rows.where("bus_factor <= 1"), [F.desc("commit_count_90d"), "path"], top)
 
 
 def churn_x_bus_danger(rows: DataFrame, top: int = 5) -> DataFrame:
@@ -88,7 +89,7 @@ def churn_x_bus_danger(rows: DataFrame, top: int = 5) -> DataFrame:
     x = F.when(F.col("churn_percentile") <= 1, F.col("churn_percentile") * 100).otherwise(F.col("churn_percentile"))
     y = (8 - F.greatest(F.lit(1), F.least(F.lit(8), F.col("bus_factor")))) / 7 * 100
     out = rows.select("repo_id", "path", x.alias("x"), y.alias("y")).where("x >= 50 and y >= 50")
-    return out.orderBy(F.desc(F.col("x") + F.col("y")), "path").limit(top)
+    return top_by(out, [F.desc(F.col("x") + F.col("y")), "path"], top)
 
 
 def commit_category_totals(rows: DataFrame) -> DataFrame:
@@ -101,13 +102,14 @@ def commit_category_totals(rows: DataFrame) -> DataFrame:
 def dead_code_by_owner(findings: DataFrame, safe_only: bool = False, top: int = 8) -> DataFrame:
     rows = findings.where("safe_to_delete") if safe_only else findings
     owner = F.coalesce(F.nullif(F.trim("owner"), F.lit("")), F.lit("Unowned"))
-    return rows.groupBy(owner.alias("owner")).agg(F.sum("lines").alias("lines"), F.count("*").alias("findings")).orderBy(F.desc("lines"), "owner").limit(top)
+    per = rows.groupBy("repo_id", owner.alias("owner")).agg(F.sum("lines").alias("lines"), F.count("*").alias("findings"))
+    return top_by(per, [F.desc("lines"), "owner"], top)
 
 
 def dead_code_by_file(findings: DataFrame, top: int = 5) -> DataFrame:
-    """Per file: lines, findings, its largest finding; the top files."""
+    """Per file: lines, findings, its largest finding; the top files of each repository."""
     out = findings.groupBy("repo_id", "file").agg(F.sum("lines").alias("lines"), F.count("*").alias("findings"), F.max_by("name", F.struct("lines", "name")).alias("largest"))
-    return out.orderBy(F.desc("lines"), "file").limit(top)
+    return top_by(out, [F.desc("lines"), "file"], top)
 
 
 def dead_code_matrix(findings: DataFrame) -> DataFrame:
@@ -116,12 +118,14 @@ def dead_code_matrix(findings: DataFrame) -> DataFrame:
     return findings.select(confidence_tier("confidence").alias("tier"), kinds.alias("kind")).groupBy("tier").pivot("kind").count().fillna(0)
 
 
-def findings_by_directory(markers: DataFrame, depth: int = 2, top: int = 16) -> DataFrame:
-    s = F.lower("severity")
-    out = markers.groupBy(prefix("file", depth).alias("directory")).agg(
+def findings_by_directory(markers: DataFrame, depth: int = 2, top: int = 16, by_repository: bool = False) -> DataFrame:
+    """The directories with the most findings: of all rows together, or of each repository."""
+    s, own = F.lower("severity"), ["repo_id"] if by_repository else []
+    out = markers.groupBy(*own, prefix("file", depth).alias("directory")).agg(
         F.count_if(s.isin("high", "critical")).alias("high"), F.count_if(s == "medium").alias("medium"), F.count_if(s == "low").alias("low"), F.count("*").alias("total")
     )
-    return out.orderBy(F.desc("total"), "directory").limit(top)
+    order = [F.desc("total"), "directory"]
+    return top_by(out, order, top) if by_repository else out.orderBy(*order).limit(top)
 
 
 def findings_by_type(markers: DataFrame) -> DataFrame:

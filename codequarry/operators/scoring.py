@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import round_half_up
 from ..schemas import CATEGORY_CAPS
+from .ranks import top_by
 
 
 def cap_of(category: Column) -> Column:
@@ -73,14 +74,13 @@ def marker_summary(markers: DataFrame) -> DataFrame:
 
 
 def top_files(markers: DataFrame, n: int = 20) -> DataFrame:
-    """Files by total deduction, then number of findings; 0 gives all."""
+    """Each repository's files by total deduction, then number of findings; 0 gives all."""
     out = markers.groupBy("repo_id", "file").agg(F.count("*").alias("findings"), F.sum("deduction").alias("deduction"))
-    out = out.orderBy(F.desc("deduction"), F.desc("findings"), "file")
-    return out.limit(n) if n else out
+    return top_by(out, [F.desc("deduction"), F.desc("findings"), "file"], n)
 
 
 def worst_files(scores: DataFrame, n: int = 6) -> DataFrame:
-    return scores.orderBy("final", "file").limit(n)
+    return top_by(scores, ["final", "file"], n)
 
 
 def composite_health(facts: DataFrame) -> DataFrame:

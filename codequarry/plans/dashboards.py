@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from .queries import _hot, _metric_files, query, rounded
 KINDS = ["unreachable_file", "unused_symbol", "unused_import"]
 
 
-def dead_rows(spark, d: str) -> DataFrame:
+def dead_rows(spark, d: str, repo: Column | None = None) -> DataFrame:
     """Order lines as dead-code findings: file = part, lines = quantity, owner = supplier's nation, confidence = discount."""
     li = P.table(spark, d, "lineitem")
     s = P.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
@@ -25,7 +23,7 @@ def dead_rows(spark, d: str) -> DataFrame:
     owner = F.when(F.col("s_nationkey") < 3, F.lit("  ")).otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
     confidence = F.col("l_discount") * 10
     return rows.select(
-        F.lit("shop").alias("repo_id"), P.part_path("l_partkey").alias("file"), F.array(*map(F.lit, KINDS))[F.pmod("l_linenumber", F.lit(3))].alias("kind"), F.concat_ws("_", F.lit("sym"), "l_orderkey", "l_linenumber").alias("name"),
+        (F.lit("shop") if repo is None else repo).alias("repo_id"), P.part_path("l_partkey").alias("file"), F.array(*map(F.lit, KINDS))[F.pmod("l_linenumber", F.lit(3))].alias("kind"), F.concat_ws("_", F.lit("sym"), "l_orderkey", "l_linenumber").alias("name"),
         F.col("l_quantity").cast("bigint").alias("lines"), confidence.alias("confidence"), (confidence >= 0.8).alias("safe_to_delete"), owner.alias("owner"),
     )
 
@@ -37,7 +35,7 @@ DEAD_SQL = f"""dead AS (
 
 @query("", f"WITH {DEAD_SQL}\nSELECT owner, sum(lines)::BIGINT AS lines, count(*) AS findings FROM dead GROUP BY ALL ORDER BY lines DESC, owner LIMIT 8")
 def dead_code_by_owner(spark, d):
-    return reports.dead_code_by_owner(dead_rows(spark, d))
+    return reports.dead_code_by_owner(dead_rows(spark, d)).drop("repo_id")
 
 
 @query("", f"WITH {DEAD_SQL}\nSELECT repo_id, file, sum(lines)::BIGINT AS lines, count(*) AS findings, arg_max(name, (lines, name)) AS largest FROM dead GROUP BY ALL ORDER BY lines DESC, file LIMIT 5")
@@ -45,6 +43,26 @@ def dead_code_by_file(spark, d):
     return reports.dead_code_by_file(dead_rows(spark, d))
 
 
+_REPOS_SQL = DEAD_SQL.replace("'shop' AS repo_id", "'r' || (l_suppkey % 7) AS repo_id")
+
+
+@query(
+    "",
+    f"""WITH {_REPOS_SQL}, o AS (SELECT repo_id, owner AS name, sum(lines)::BIGINT AS value FROM dead GROUP BY ALL), f AS (SELECT repo_id, file AS name, sum(lines)::BIGINT AS value FROM dead GROUP BY ALL),
+d AS (SELECT repo_id, regexp_extract(file, '^([^/]*)', 1) AS name, count(*) AS value FROM dead GROUP BY ALL), t AS (SELECT repo_id, file AS name, count(*) AS value FROM dead GROUP BY ALL),
+every AS (SELECT 'owner' AS kind, 8 AS most, * FROM o UNION ALL SELECT 'file', 5, * FROM f UNION ALL SELECT 'directory', 3, * FROM d UNION ALL SELECT 'findings', 4, * FROM t)
+SELECT kind, repo_id, name, value FROM every QUALIFY row_number() OVER (PARTITION BY kind, repo_id ORDER BY value DESC, name) <= most""",
+)
+def repository_leaders(spark, d):
+    """The top owners, files and directories of seven repositories at once."""
+    rows = dead_rows(spark, d, F.concat(F.lit("r"), F.pmod("l_suppkey", F.lit(7)).cast("string")))
+    marks = rows.select("repo_id", "file", F.lit("low").alias("severity"), F.lit(1.0).alias("deduction"))
+    take = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), "repo_id", F.col(name).alias("name"), F.col(value).cast("bigint").alias("value"))
+    out = take(reports.dead_code_by_owner(rows), "owner", "owner", "lines").unionByName(take(reports.dead_code_by_file(rows), "file", "file", "lines"))
+    out = out.unionByName(take(reports.findings_by_directory(marks, 1, 3, by_repository=True), "directory", "directory", "total"))
+    return out.unionByName(take(scoring.top_files(marks, 4), "findings", "file", "deduction"))
+
+
 @query("", f"WITH {DEAD_SQL}\nSELECT CASE WHEN confidence < 0.5 THEN 'low' WHEN confidence < 0.8 THEN 'medium' ELSE 'high' END AS tier, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + " FROM dead GROUP BY ALL")
 def dead_code_matrix(spark, d):
     return reports.dead_code_matrix(dead_rows(spark, d))

@@ -146,6 +146,16 @@ def node_search(spark, d):
     return graph.node_search(P.part_files(spark, d).withColumnRenamed("path", "key"), "PART_1").select("key")
 
 
+@query(
+    "parts",
+    """SELECT * FROM (WITH t AS (SELECT path, list_min(list_transform(regexp_split_to_array(lower(path), '[/.:]'), lambda x: levenshtein(x, 'prat_12'))) AS n FROM parts)
+SELECT path AS key FROM t WHERE n <= 2 ORDER BY n, path LIMIT 20)""",
+)
+def node_search_mistyped(spark, d):
+    """Two letters in the wrong order."""
+    return graph.node_search(P.part_files(spark, d).withColumnRenamed("path", "key"), "prat_12").select("key")
+
+
 @query("parts", "SELECT path FROM parts WHERE size // 100 IN (3, 7, 9) AND NOT contains(content, 'ring')")
 def community_visibility(spark, d):
     """Shown communities without test files; parts named for a ring are tests."""

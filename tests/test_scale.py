@@ -152,3 +152,63 @@ def test_several_reports_of_one_repository(spark, tmp_path):
     (tmp_path / "clo" / "2.xml").write_text(clover.format(row.format("a.go", 4)))
     got = {r.key: r.pct for r in src.read_clover(spark, str(tmp_path / "clo"), "r").collect()}
     assert got == {"x.go": 10.0, "y.go": 10.0, "a.go": 40.0}
+
+
+def plain_betweenness(keys, edges):
+    """Brandes over every source of one graph."""
+    out, score = {k: [] for k in keys}, dict.fromkeys(keys, 0.0)
+    for a, b in sorted(set(edges)):
+        out[a].append(b)
+    for s in keys:
+        order, sigma, depth, parents = [], Counter({s: 1}), {s: 0}, {k: [] for k in keys}
+        queue = [s]
+        for v in queue:
+            order.append(v)
+            for w in out[v]:
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    queue.append(w)
+                if depth[w] == depth[v] + 1:
+                    sigma[w] += sigma[v]
+                    parents[w].append(v)
+        dep = Counter()
+        for w in reversed(order):
+            for v in parents[w]:
+                dep[v] += sigma[v] / sigma[w] * (1 + dep[w])
+            if w != s:
+                score[w] += dep[w]
+    return score
+
+
+def test_sampled_betweenness_keeps_its_bound(spark):
+    """200 random repositories at once: exact, as many sources a repository, and within the stated error."""
+    rnd, rows, want, sizes = random.Random(7), [], {}, {}
+    for r in range(200):
+        n = rnd.randint(2, 24)
+        pairs = [(str(rnd.randrange(n)), str(rnd.randrange(n))) for _ in range(2 * n)]
+        rows += [(f"r{r}", a, b, "x") for a, b in pairs]
+        want |= {(f"r{r}", k): v for k, v in plain_betweenness([str(i) for i in range(n)], pairs).items()}
+        sizes[f"r{r}"] = n
+    nodes, edges = spark.createDataFrame(list(want), "repo_id string, key string").cache(), spark.createDataFrame(rows, E).cache()
+    exact = {(r.repo_id, r.key): r.betweenness for r in graph.betweenness(nodes, edges, None).collect()}
+    assert exact.keys() == want.keys() and all(abs(exact[k] - v) < 1e-6 for k, v in want.items())
+    near = {(r.repo_id, r.key): r.betweenness for r in graph.betweenness(nodes, edges, error=0.45, doubt=0.1).collect()}
+    off = {r for (r, k), v in near.items() if abs(v - want[r, k]) > 0.45 * sizes[r] * max(sizes[r] - 2, 0) + 1e-9}
+    assert near != exact and len(off) <= 20
+
+
+def test_every_repository_gets_its_sources(spark):
+    """One path a-b-c-d in each repository: four sources are all of them."""
+    edges = spark.createDataFrame([(f"r{i}", a, b, "x") for i in range(4) for a, b in ("ab", "bc", "cd")], E)
+    nodes = spark.createDataFrame([(f"r{i}", k) for i in range(4) for k in "abcd"], "repo_id string, key string")
+    got = {(r.repo_id, r.key): r.betweenness for r in graph.betweenness(nodes, edges, 4).collect()}
+    assert got == {(f"r{i}", k): v for i in range(4) for k, v in zip("abcd", (0, 2, 2, 0))}
+
+
+def test_mistyped_search_of_each_repository(spark):
+    rows = [(r, k, 0.1) for r in ("r", "s") for k in ("m1/part_12.go", "m1/part_123.go", "x/other.go", "part_12", "m/prat_12", "m/q.go:art_12")]
+    nodes = spark.createDataFrame(rows, "repo_id string, key string, pagerank double")
+    got = [r.key for r in graph.node_search(nodes, "prat_12").where("repo_id = 'r'").collect()]
+    assert sorted(got) == ["m/prat_12", "m/q.go:art_12", "m1/part_12.go", "part_12"]
+    assert graph.node_search(nodes, "prat_12", limit=1).count() == 2 and graph.node_search(nodes, "z").count() == 0
+    assert graph.node_search(nodes, "").count() == 12
