@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import col
 from ..operators.rules import SUGGESTIONS
 from ..schemas import MARKERS
+from ..storage import cut
 
 
 def write_markers(markers: DataFrame, path: str, repositories: DataFrame | None = None) -> None:
@@ -21,10 +24,48 @@ def write_markers(markers: DataFrame, path: str, repositories: DataFrame | None
     markers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
 
 
+#: The column of findings that are appended file by file: when they were.
+LOG = "version bigint"
+
+
+def _log_mark(spark: SparkSession, path: str):
+    """(file system, name) of the sign that a table holds appended versions."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def append_markers(markers: DataFrame, files: DataFrame, path: str) -> None:
+    """Append new versions of the findings of ``files`` (repo_id, file); what is written follows the batch, not the table.
+
+    Each file also gets an empty row, which stands for "no findings any more". A batch that runs again writes a later
+    version with the same findings.
+    """
+    rows = markers.unionByName(files.select("repo_id", "file").distinct(), allowMissingColumns=True)
+    spark = markers.sparkSession
+    rows.withColumn("version", F.lit(time.time_ns())).write.mode("append").partitionBy("repo_id").parquet(path)
+    fs, name = _log_mark(spark, path)
+    fs.mkdirs(name)
+
+
+def compact_markers(spark: SparkSession, path: str) -> None:
+    """Replace all versions by the last ones."""
+    rows = spark.read.schema(f"{MARKERS}, {LOG}").parquet(path)
+    write_markers(cut(load_markers(spark, path), "markers"), path, rows.select("repo_id"))
+    fs, name = _log_mark(spark, path)
+    fs.delete(name, True)
+
+
 def load_markers(spark: SparkSession, path: str) -> DataFrame:
-    """All findings; blank advice is filled in."""
+    """All findings, of files with several versions the last ones; blank advice is filled in."""
     pairs = [F.lit(x) for kv in SUGGESTIONS.items() for x in kv]
-    rows = spark.read.schema(MARKERS).parquet(path).where("type is not null")
+    rows = spark.read.schema(f"{MARKERS}, {LOG}").parquet(path)
+    fs, name = _log_mark(spark, path)
+    if fs.exists(name):
+        last = rows.groupBy("repo_id", "file").agg(F.max("version").alias("last"))
+        r, x = rows.alias("r"), last.alias("x")
+        same = (F.col("r.repo_id") == F.col("x.repo_id")) & F.col("r.file").eqNullSafe(F.col("x.file"))
+        rows = r.join(x, same).where(F.col("r.version").eqNullSafe(F.col("last"))).select("r.*")
+    rows = rows.drop("version").where("type is not null")
     return rows.withColumn("suggestion", F.coalesce(F.nullif("suggestion", F.lit("")), F.create_map(*pairs)[F.col("type")], F.lit("")))
 
 

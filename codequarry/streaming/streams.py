@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.increments import latest
 from ..operators.rules import attach_suggestion, content_markers
-from ..sources.sinks import load_markers, write_markers
+from ..sources.sinks import append_markers
 from ..storage import cut
 
 
@@ -27,28 +26,18 @@ def stream_author_sessions(commits: DataFrame, gap: str = "2 hours", watermark:
 
 
 def stream_markers(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Findings of new file versions replace those of the same files, batch by batch; all other findings stay.
+    """Findings of new file versions take the place of those of the same files; all other findings stay.
 
-    Of a file's versions in one batch the last one counts (by last_mod). A batch that runs again gives the same table.
+    Of a file's versions in one batch the last one counts (by last_mod). A batch is appended as versions of its files, which
+    ``load_markers`` resolves and ``compact_markers`` folds together, so what a batch writes follows its own size. A batch that runs
+    again gives the same table.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def append(batch: DataFrame, _: int) -> None:
         batch = cut(latest(batch, ["repo_id", "path"], "last_mod"), "stream_files")
-        found = attach_suggestion(content_markers(batch))
-        repositories = batch.select("repo_id").distinct()
-        try:
-            stored = load_markers(spark, path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            files = batch.select("repo_id", F.col("path").alias("file"))
-            other = stored.join(repositories, "repo_id", "left_semi").join(files, ["repo_id", "file"], "left_anti")
-            found = cut(found.unionByName(other), "stream_markers")  # before the partitions it reads are overwritten
-        write_markers(found, path, repositories)
-
-    return files.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        append_markers(attach_suggestion(content_markers(batch)), batch.select("repo_id", F.col("path").alias("file")), path)
+
+    return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -1,5 +1,6 @@
 """Plans that have to hold when one key is hot: rows made by joins, parts of hubs, pairs, texts read."""
 
+import datetime
 import random
 from collections import Counter
 from itertools import combinations
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from codequarry.operators import clones, contracts, coverage, graph, history
 from codequarry.schemas import Params
 from codequarry.sources import files as src
+from codequarry.sources import sinks
+from codequarry.streaming import streams
 
 E = "repo_id string, src string, dst string, rel string"
 
@@ -212,3 +215,31 @@ def test_mistyped_search_of_each_repository(spark):
     assert sorted(got) == ["m/prat_12", "m/q.go:art_12", "m1/part_12.go", "part_12"]
     assert graph.node_search(nodes, "prat_12", limit=1).count() == 2 and graph.node_search(nodes, "z").count() == 0
     assert graph.node_search(nodes, "").count() == 12
+
+
+def test_stream_batches_write_what_they_hold(spark, tmp_path):
+    """A second batch of one file appends that file's rows only; loaded and compacted tables are equal."""
+    schema = "repo_id string, path string, is_file boolean, ext string, content string, last_mod timestamp"
+    row = lambda p, text, day: ("r", p, True, ".txt", text, datetime.datetime(2024, 1, day))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def push(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.stream_markers(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "state")).awaitTermination()
+
+    load = lambda: sorted((r.file, r.type) for r in sinks.load_markers(spark, out).collect())
+    mail = "write to jo@corp.io now"
+    push([row(f"f{i}", mail, 1) for i in range(30)])
+    before, stored = load(), spark.read.parquet(out).count()
+    assert {f for f, _ in before} == {f"f{i}" for i in range(30)}
+    push([row("f3", "clean", 2)])
+    assert spark.read.parquet(out).count() == stored + 1  # only "no findings any more"
+    after = load()
+    assert after == [x for x in before if x[0] != "f3"]
+    push([row("f3", mail, 3), row("g", mail, 3)])
+    assert {f for f, _ in load()} == {f"f{i}" for i in range(30)} | {"g"}
+    want = load()
+    sinks.compact_markers(spark, out)
+    assert load() == want and spark.read.parquet(out).where("type is not null").count() == len(want)
+    push([row("f5", "clean", 4)])
+    assert load() == [x for x in want if x[0] != "f5"]
