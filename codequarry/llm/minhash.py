@@ -44,8 +44,8 @@ BANDS = 2 * HASHES // ROWS
 #: A shingle that at most this many documents of the mixed buckets hold is rare.
 RARE = 32
 #: Components of a bucket that are compared with the others one after the other, each through its hub, and rows of a bucket
-#: (a few pairs for each of them) whose pairs are made at once.
-PEELS, SMALL = 6, 16
+#: (half as many pairs for each of them) whose pairs are made at once.
+PEELS, SMALL = 4, 64
 #: About so many documents are compared with one copy of their hub's text.
 CHUNK = 64
 #: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
@@ -286,13 +286,11 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     inside = F.when(own, F.col("n")).otherwise(F.col("shared"))
     outside = F.when(own, F.lit(0)).otherwise(F.col("m") - F.col("shared") + F.col("r"))
     rows = cut(rows.select("h", "id", "n", "c", "m", "score", "hub", (F.col("c") == F.col("hub_c")).alias("first"), inside.alias("i"), outside.alias("k")), "peel_rows")
-    sides = rows
-    for _ in range(2):  # the second time without those that only outliers of the other side kept
-        best = lambda f, c, first: f(F.when(F.col("first") == first, F.col(c)))
-        other = lambda c: F.when(F.col("first"), F.col(f"{c}_else")).otherwise(F.col(f"{c}_first"))
-        best_of = sides.groupBy("h").agg(*[best(f, c, first).alias(f"{c}_{name}") for f, c in ((F.max, "i"), (F.max, "k"), (F.min, "n")) for first, name in ((True, "first"), (False, "else"))])
-        least = F.greatest(other("n"), F.ceil(F.col("n") * SIMILAR / 100))
-        sides = cut(sides.join(best_of, "h").where(_possible(F.least("i", other("i")) + F.least("k", other("k")), F.col("n"), least)).select(*rows.columns), "peel_sides")
+    best = lambda f, c, first: f(F.when(F.col("first") == first, F.col(c)))
+    other = lambda c: F.when(F.col("first"), F.col(f"{c}_else")).otherwise(F.col(f"{c}_first"))
+    best_of = rows.groupBy("h").agg(*[best(f, c, first).alias(f"{c}_{name}") for f, c in ((F.max, "i"), (F.max, "k"), (F.min, "n")) for first, name in ((True, "first"), (False, "else"))])
+    least = F.greatest(other("n"), F.ceil(F.col("n") * SIMILAR / 100))
+    sides = rows.join(best_of, "h").where(_possible(F.least("i", other("i")) + F.least("k", other("k")), F.col("n"), least)).select(*rows.columns)
     x, y = (sides.where(F.col("first") == first).select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "i", "k", "score")]) for first, s in ((True, "x"), (False, "y")))
     found = x.join(y, "h").where(_possible(F.least("i_x", "i_y") + F.least("k_x", "k_y"), F.col("n_x"), F.col("n_y")))
     return found.select(F.col("id_x").alias("x"), F.col("score_x").alias("sx"), F.col("id_y").alias("y"), F.col("score_y").alias("sy")), _links(measured), rows.where("not first").select(*rest.columns)
@@ -330,13 +328,15 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     facts = cut(facts.drop("r"), "facts")
     # common shingles alone could do: only classes that are rich in them, bucket by bucket, one component after the other
     rest = facts.where(F.col("m") * 100 >= F.col("n") * SIMILAR).select(F.explode("hs").alias("h"), F.col("doc_id").alias("id"), "n", "c", "m", "score")
-    pairs, links = [], []
+    pairs, links, own = [], [], None
     for _ in range(PEELS):
         small, rest = _split(rest)
         pairs.append(_joined(small))
         if rest.isEmpty():
             break
-        some, more, rest = _peeled(rest, rare, texts)
+        if own is None:  # what is left of the rare shingles in large buckets
+            own = cut(rare.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "peel_rare")
+        some, more, rest = _peeled(rest, own, texts)
         pairs.append(some)
         links.append(more)
     else:

@@ -132,6 +132,7 @@ def test_pairs_grow_with_the_groups(spark, monkeypatch):
         return real(pairs, texts)
 
     monkeypatch.setattr(minhash, "_measure", measure)
+    monkeypatch.setattr(minhash, "SMALL", 16)
     for docs in (groups(50), groups(50, cross=2), groups(35, bases=3)):
         counts.clear()
         assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
@@ -140,5 +141,6 @@ def test_pairs_grow_with_the_groups(spark, monkeypatch):
 
 def test_after_the_last_peel_pairs_are_joined(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PEELS", 1)
+    monkeypatch.setattr(minhash, "SMALL", 16)
     docs = groups(34, bases=3)
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
