@@ -137,7 +137,9 @@ def generation_plan(counts: DataFrame, heuristics: DataFrame, tiers: Mapping[str
     """(repo_id, page_type, tier, model, pages, est_cost); types without pages are left out."""
     model = F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv])[F.col("tier")]
     rows = counts.where("pages > 0").withColumn("tier", tier_of(F.col("page_type"))).withColumn("model", model)
-    rows = rows.join(heuristics, ["repo_id", "page_type"]).join(F.broadcast(priced.withColumnsRenamed({"input": "pin", "output": "pout"})), "model", "left").fillna({"pin": 0.0, "pout": 0.0})
+    # one price for each of the tiers' models, so what is broadcast is bounded by the parameter
+    own = priced.where(F.col("model").isin(*sorted(set(tiers.values())))).groupBy("model").agg(F.max("input").alias("pin"), F.max("output").alias("pout"))
+    rows = rows.join(heuristics, ["repo_id", "page_type"]).join(F.broadcast(own), "model", "left").fillna({"pin": 0.0, "pout": 0.0})
     cost = F.col("input") * F.col("pages") * F.col("pin") / 1_000_000 + F.col("output") * F.col("pages") * F.col("pout") / 1_000_000
     return rows.select("repo_id", "page_type", "tier", "model", "pages", cost.alias("est_cost"))
 
