@@ -74,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         step = max(1, int(n * most / size)) if size > most else n
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

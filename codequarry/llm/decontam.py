@@ -44,7 +44,7 @@ from .common import cut, id_and_text, ship, slices, text_of
 Q, EDITS = 8, 12  # one edit for every EDITS characters
 WHOLE, PASSAGE, STEP = 160, 128, 64
 LEAK, LEAK_STEP = 72, 4
-BLOCK = 4_000_000
+BLOCK, LARGE = 4_000_000, 500_000
 WINDOW, ENTRIES = 4_096, 1_000_000
 _BITS = 22
 _B = np.uint32(0x9E3779B1)
@@ -391,8 +391,10 @@ _index: tuple = (None, None)
 
 
 def _passages(held, key: str, short: bool = True) -> Passages:
-    """The index of a block: built once a worker, which keeps the last one."""
+    """The index of a block. A large one is built once a worker, which keeps the last one; a small one goes with its task."""
     global _index
+    if sum(len(t) for _, t in held.value) < LARGE:
+        return Passages(held.value, short)
     if _index[0] != (key, short):
         _index = ((key, short), Passages(held.value, short))
     return _index[1]
