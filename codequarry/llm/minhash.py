@@ -50,6 +50,8 @@ PEELS, SMALL = 4, 64
 CHUNK = 64
 #: Up to this many candidate ids (8 bytes each) go to the tasks by broadcast; more are joined by a shuffle.
 FEW = 1_000_000
+#: Small intermediate tables (links, places in buckets) are read in parts of about so many rows, some 10 MB at most.
+PART = 200_000
 
 _U = np.uint64
 _PERM = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
@@ -189,25 +191,32 @@ def _against(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["hub", "other", "shared", "linked"]).filter(pa.array(member, pa.bool_()))
 
 
+def _gathered(stored: DataFrame, weight: int = 1) -> DataFrame:
+    """A stored table in as few partitions as its rows need: a table of up to ``PART`` rows is grouped and joined
+    without a shuffle, and a larger one as it is scanned."""
+    return stored.coalesce(max(1, -(-stored.count() * weight // PART)))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(a, b) links, a < b  ->  (id, component): the smallest id that each linked id reaches.
+    """(a, b) stored links  ->  (id, component): the smallest id that each linked id reaches.
 
     Alternates large-star and small-star rounds: each is one grouping by node in which a node
     hands its neighbours to their minimum, so the depth of the forest shrinks geometrically.
     A hub is grouped by its neighbours, not collected: both rounds are a minimum per node
     (combined before the shuffle) and a join back. The minima are written first, so that join has nothing above or
-    below it that needs a hub's rows together, and adaptive execution can split it.
+    below it that needs a hub's rows together, and adaptive execution can split it. Few links (``PART``) need no shuffles.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct(), name)
+    keep = lambda df, name: _gathered(cut(df, name))
+    edges = keep(_gathered(edges).select("a", "b").where("a <> b").distinct(), name)
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        large = cut(large, name)
-        least = cut(large.groupBy("b").agg(F.min("a").alias("m")), name)
+        large = keep(large, name)
+        least = keep(large.groupBy("b").agg(F.min("a").alias("m")), name)
         small = large.join(least, "b").select("a", "b", "m")
         small = small.select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        small = cut(small, name)
+        small = keep(small, name)
         # done when every node has one parent and no parent is a child
         parents = small.groupBy("b").agg(F.count("*").alias("n"))
         open_ = parents.where("n > 1").limit(1).count() or small.select(F.col("a").alias("b")).join(parents, "b", "left_semi").limit(1).count()
@@ -275,7 +284,7 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     """
     hubs = rest.groupBy("h").agg(F.max_by(F.struct("id", "n", "c"), F.struct("score", -F.col("id"))).alias("hub"))
     rows = rest.join(hubs, "h").select("h", "id", "n", "c", "m", "score", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
-    rows = cut(rows, "peel")
+    rows = _gathered(cut(rows, "peel"))
     measured = cut(_measure(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), near), "peel_measured")
     # from the hubs' side: each of their rare shingles is held by ``RARE`` documents at most
     of_hubs = rare.select(F.col("doc_id").alias("hub"), "shingle").join(measured.select("hub").distinct(), "hub", "left_semi")
@@ -286,6 +295,7 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     inside = F.when(own, F.col("n")).otherwise(F.col("shared"))
     outside = F.when(own, F.lit(0)).otherwise(F.col("m") - F.col("shared") + F.col("r"))
     rows = cut(rows.select("h", "id", "n", "c", "m", "score", "hub", (F.col("c") == F.col("hub_c")).alias("first"), inside.alias("i"), outside.alias("k")), "peel_rows")
+    rows = _gathered(rows)
     best = lambda f, c, first: f(F.when(F.col("first") == first, F.col(c)))
     other = lambda c: F.when(F.col("first"), F.col(f"{c}_else")).otherwise(F.col(f"{c}_first"))
     best_of = rows.groupBy("h").agg(*[best(f, c, first).alias(f"{c}_{name}") for f, c in ((F.max, "i"), (F.max, "k"), (F.min, "n")) for first, name in ((True, "first"), (False, "else"))])
@@ -299,7 +309,7 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
 def _split(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(small, large): the rows of buckets that hold several components, ``SMALL`` rows at most or more."""
     mixed = rest.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1")
-    rows = cut(rest.join(mixed.select("h", "k"), "h"), "peel_rest")
+    rows = _gathered(cut(rest.join(mixed.select("h", "k"), "h"), "peel_rest"))
     return rows.where(F.col("k") <= SMALL).drop("k"), rows.where(F.col("k") > SMALL).drop("k")
 
 
@@ -325,7 +335,7 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     rare = cut(grams.join(rare, "shingle"), "rare")
     scarce = rare.groupBy("doc_id").agg(F.count("*").alias("r"))
     facts = facts.join(scarce, "doc_id", "left").withColumn("m", F.col("n") - F.coalesce("r", F.lit(0)))
-    facts = cut(facts.drop("r"), "facts")
+    facts = _gathered(cut(facts.drop("r"), "facts"), BANDS)
     # common shingles alone could do: only classes that are rich in them, bucket by bucket, one component after the other
     rest = facts.where(F.col("m") * 100 >= F.col("n") * SIMILAR).select(F.explode("hs").alias("h"), F.col("doc_id").alias("id"), "n", "c", "m", "score")
     pairs, links, own = [], [], None
@@ -355,6 +365,11 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     return cut(every.distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), links
 
 
+def _rooted(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of the id in ``column`` as ``root``: itself, where nothing is linked to it."""
+    return rows.join(found.select(F.col("id").alias(column), F.col("component").alias("root")), column, "left").withColumn("root", F.coalesce("root", column))
+
+
 def _repeated(rows: DataFrame) -> DataFrame | None:
     """The ids that several rows share, or None."""
     found = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
@@ -395,12 +410,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_confirm(tried, near), "links")
     found = components(links)
     across, more = _across(company, found, near, tried)
+    of_class = _rooted(classes.select(F.col("doc_id").alias("class_id")), "class_id", found).withColumnRenamed("root", "component")
     if across is not None:
-        for df in (_confirm(across, near), *more):
+        links = _confirm(across, near)
+        for df in more:
             links = links.unionByName(df)
-        found = components(links)
-
-    of_class = classes.select(F.col("doc_id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        # components are the nodes of what links them
+        links = _rooted(_rooted(cut(links, "links"), "a", found).withColumnRenamed("root", "x"), "b", found)
+        joined = components(cut(links.select(F.col("x").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "links"))
+        of_class = _rooted(of_class, "component", joined).select("class_id", F.col("root").alias("component"))
     placed = members.join(of_class, "class_id").select("doc_id", "component")
     known = signed.where("doc_id is not null").select("doc_id", "n_shingles")
     out = known.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
