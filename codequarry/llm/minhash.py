@@ -285,7 +285,7 @@ def _peeled(rest: DataFrame, rare: DataFrame, near: DataFrame) -> tuple[DataFram
     hubs = rest.groupBy("h").agg(F.max_by(F.struct("id", "n", "c"), F.struct("score", -F.col("id"))).alias("hub"))
     rows = rest.join(hubs, "h").select("h", "id", "n", "c", "m", "score", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
     rows = _gathered(cut(rows, "peel"))
-    measured = cut(_measure(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), near), "peel_measured")
+    measured = _gathered(cut(_measure(rows.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("other")).distinct(), near), "peel_measured"))
     # from the hubs' side: each of their rare shingles is held by ``RARE`` documents at most
     of_hubs = rare.select(F.col("doc_id").alias("hub"), "shingle").join(measured.select("hub").distinct(), "hub", "left_semi")
     both = of_hubs.join(rare.select(F.col("doc_id").alias("other"), "shingle"), "shingle").groupBy("hub", "other").agg(F.count("*").alias("r"))
@@ -345,7 +345,7 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
         if rest.isEmpty():
             break
         if own is None:  # what is left of the rare shingles in large buckets
-            own = cut(rare.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "peel_rare")
+            own = _gathered(cut(rare.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "peel_rare"))
         some, more, rest = _peeled(rest, own, texts)
         pairs.append(some)
         links.append(more)
@@ -356,7 +356,9 @@ def _across(company: DataFrame, found: DataFrame, texts: DataFrame, tried: DataF
     met = shared.join(facts.where("outside").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "x").join(shared.withColumnRenamed("doc_id", "y"), "shingle").where("x <> y")
     of = lambda x: facts.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), F.col("m").alias("m" + x), F.col("score").alias("s" + x))
     met = met.groupBy("x", "y").agg(F.count("*").alias("r")).join(of("x"), "x").join(of("y"), "y")
-    pairs.append(met.where("cx <> cy").where(_possible(F.least("mx", "my") + F.col("r"), F.col("nx"), F.col("ny"))).select("x", "sx", "y", "sy"))
+    met = met.where("cx <> cy").where(_possible(F.least("mx", "my") + F.col("r"), F.col("nx"), F.col("ny"))).select("x", "sx", "y", "sy")
+    # stored on its own: together with the buckets' pairs it is one plan of thousands of tasks, whose metrics the driver holds
+    pairs.append(_gathered(cut(met, "met")))
     every = pairs[0]
     for p in pairs[1:]:
         every = every.unionByName(p)

@@ -144,3 +144,18 @@ def test_after_the_last_peel_pairs_are_joined(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 16)
     docs = groups(34, bases=3)
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_small_tables_of_a_peel_need_no_shuffle(spark, monkeypatch):
+    """A peel of few rows is one task a query, and links by rare shingles are no part of its plan: the driver holds little for each."""
+    real, plans = minhash.cut, {}
+
+    def cut(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "cut", cut)
+    monkeypatch.setattr(minhash, "SMALL", 16)
+    docs = groups(34, bases=3)
+    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    assert set(plans["peel_rows"]) == {0} and "met" in plans
