@@ -2,10 +2,10 @@
 
 A text is cut at its spaces into chunks, each with the space before it; where spaces are
 single and touch no other white space these are unions of whole pre-tokens. Tier one is a
-broadcast table of frequent chunks and their token counts (at most ``FREQUENT`` entries, taken
-from at most ``SAMPLE`` documents; it only saves time, its content never changes a count).
+broadcast table of frequent chunks and their token counts: those that make up at least one in ``FREQUENT`` of all
+chunks of all texts (so there are at most ``FREQUENT``; the table only saves time, its content never changes a count).
 Tier two is a cache in each worker that is filled by encoding misses and that starts anew
-at ``CACHE`` entries; keys have at most ``KEY`` characters, longer chunks are encoded whenever they come. Nothing is shuffled.
+at ``CACHE`` entries; keys have at most ``KEY`` characters, longer chunks are encoded whenever they come. Only the chunks' counts are shuffled, combined in the tasks before.
 
 Counts equal the library's: texts with other spacing, or with a special token's string
 (which the library recognises before it splits), go to the library as they are.
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, forget
 from .common import id_and_text, ship, slices
 
 LIMIT = 1024
-FREQUENT, SAMPLE, CACHE, KEY = 32_768, 400, 400_000, 64
+FREQUENT, CACHE, KEY = 32_768, 400_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -111,15 +112,31 @@ def count_tokens(texts: list[str], path: str, frequent: dict[str, int]) -> list[
     return out
 
 
+def _chunk_counts(batches):
+    """(chunk, n) of rows (doc_id, text): how often chunks of at most ``KEY`` characters occur, in parts of about ``CACHE`` different ones."""
+    own: Counter = Counter()
+
+    def part():
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["chunk", "n"])
+
+    for b in slices(batches):
+        for t in b.column(1).to_pylist():
+            own.update([c for c in chunks(t) if 0 < len(c) <= KEY])
+        if len(own) >= CACHE:
+            yield part()
+            own.clear()
+    yield part()
+
+
 def frequent_table(docs: DataFrame, path: str) -> dict[str, int]:
-    """Chunks that occur more than once in a bounded sample, with their token counts."""
-    texts = [r.text or "" for r in docs.select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE).collect()]
-    counts = Counter()
-    for t in texts:
-        if t and not _UNEVEN.search(t):
-            counts.update(chunks(t)[:-1])
+    """Chunks that are at least one in ``FREQUENT`` of those of all rows (doc_id, text) and occur more than once, with their token counts."""
+    counts = docs.mapInArrow(_chunk_counts, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "chunk_counts")
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    common = counts.where((F.col("n") > 1) & (F.col("n") * FREQUENT >= every)).select("chunk").collect()
+    forget(counts)
     own: dict[str, int] = {}
-    return {w: chunk_length(path, w, own) for w, n in counts.most_common(FREQUENT) if n > 1}
+    return {r.chunk: chunk_length(path, r.chunk, own) for r in common}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

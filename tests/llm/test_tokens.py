@@ -26,6 +26,22 @@ def test_cache_restarts(monkeypatch):
     assert token_counts.count_tokens(["a b c d e f g"], path, {}) == token_counts.count_tokens(["a b c d e f g"], path, {"a": 1})
 
 
+def test_frequent_chunks_of_all_documents(spark, monkeypatch):
+    """A chunk is frequent by all rows and whole texts, wherever it comes; the table has a bounded size."""
+    path = token_counts.vocabulary_path(token_counts.VOCABULARY)
+    t = token_counts._tokenizer(path)
+    texts = ["the cat sat"] * 450 + ["a zebra ran to a zebra"] * 30 + ["b" * 25_000 + " tail" * 9, "the once", "", None, "c" * 70 + " " + "c" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    df = token_counts.id_and_text(df)
+    want = Counter(c for x in texts if x for c in token_counts.chunks(x) if len(c) <= token_counts.KEY)
+    got = token_counts.frequent_table(df, path)
+    assert got == {c: len(t.encode(c, add_special_tokens=False).ids) for c, n in want.items() if n > 1}
+    assert {" zebra", " tail"} <= set(got) and " once" not in got
+    monkeypatch.setattr(token_counts, "FREQUENT", 4)
+    every = sum(want.values())
+    assert set(token_counts.frequent_table(df, path)) == {c for c, n in want.items() if n * 4 >= every} == {"the", " cat", " sat"}
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = token_counts.token_counts(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {0}
