@@ -16,18 +16,20 @@ from .queries import query
 EXTS = [".go", ".py", ".ts", ".java"]
 
 
-def _each(last: Column, line) -> Column:
-    """The lines for 1..last, joined; none for 0."""
-    return F.when(last > 0, F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(last, F.lit(1).cast("bigint"))), line), "")).otherwise(F.lit(""))
+def _one_of(texts, which: Column) -> Column:
+    """The text of a number from 0; a literal array, so no text is put together line by line in a row."""
+    return F.array(*map(F.lit, texts))[which.cast("int")]
 
 
-def _tabs(n) -> Column:
-    return F.repeat(F.lit("\t"), n.cast("int") if isinstance(n, Column) else F.lit(n))
+def _each(last: int, line) -> str:
+    """The lines for 1..last, joined."""
+    return "".join(map(line, range(1, last + 1)))
 
 
 def code_files(spark, d: str) -> DataFrame:
     """Orders as files with one function each: k nested branches, m branches in a row, n statements, p parameters."""
-    o = P.table(spark, d, "orders")
+    # a row becomes a text of about a kilobyte that Python reads: rows are dealt before, as a small table is few splits of a file
+    o = P.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     key = F.col("o_orderkey")
     path = F.concat(F.lit("src"), F.pmod(F.col("o_custkey"), F.lit(20)).cast("string"), F.lit("/f"), key.cast("string"), F.array(*map(F.lit, EXTS))[F.pmod(key, F.lit(4)).cast("int")])
     rows = o.select(
@@ -37,16 +39,15 @@ def code_files(spark, d: str) -> DataFrame:
     k, m, n, p, name = (F.col(c) for c in ("k", "m", "n", "p", "name"))
 
     def body(indent: int, opening: tuple[str, str], closing: bool) -> Column:
-        test = lambda i: F.concat(F.lit(opening[0]), i.cast("string"), F.lit(opening[1]))
-        nested = F.concat(_each(k, lambda i: F.concat(_tabs(i + (indent - 1)), test(i))), _tabs(k + indent), F.lit("x = 1\n"))
-        flat = lambda i: F.concat(_tabs(indent), test(i), _tabs(indent + 1), F.lit("y = 1\n"))
-        end = "\t" * indent + "}\n"
-        parts = [nested, _each(m, flat)]
-        if closing:
-            parts = [nested, _each(k, lambda i: F.concat(_tabs(k - i + indent), F.lit("}\n"))), _each(m, lambda i: F.concat(flat(i), F.lit(end)))]
-        return F.concat(*parts, F.repeat(F.lit("\t" * indent + "z = z + 1\n"), n.cast("int")), F.lit("\t" * indent + "return z\n"))
-
-    typed = F.rtrim(F.rtrim(_each(p, lambda i: F.concat(F.lit("a"), i.cast("string"), F.lit(" int, ")))), F.lit(","))
+        tabs = "\t" * indent
+        test = lambda i: f"{opening[0]}{i}{opening[1]}"
+        end = f"{tabs}}}\n" if closing else ""
+        ends = lambda k: _each(k, lambda i: "\t" * (k - i + indent) + "}\n") if closing else ""
+        nested = [_each(x, lambda i: "\t" * (i + indent - 1) + test(i)) + "\t" * (x + indent) + "x = 1\n" + ends(x) for x in range(15)]
+        flat = [_each(x, lambda i: f"{tabs}{test(i)}{tabs}\ty = 1\n{end}") for x in range(5)]
+        return F.concat(_one_of(nested, k), _one_of(flat, m), F.repeat(F.lit(f"{tabs}z = z + 1\n"), n.cast("int")), F.lit(f"{tabs}return z\n"))
+
+    typed = _one_of([", ".join(f"a{i} int" for i in range(1, x + 1)) for x in range(9)], p)
     text = (
         F.when(F.col("ext") == ".go", F.concat(F.lit("package p\n\nfunc "), name, F.lit("("), typed, F.lit(") int {\n"), body(1, ("if a > ", " {\n"), True), F.lit("}\n")))
         .when(F.col("ext") == ".py", F.concat(F.lit("def "), name, F.lit("(a, b):\n"), body(1, ("if a > ", ":\n"), False)))

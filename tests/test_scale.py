@@ -243,3 +243,25 @@ def test_stream_batches_write_what_they_hold(spark, tmp_path):
     assert load() == want and spark.read.parquet(out).where("type is not null").count() == len(want)
     push([row("f5", "clean", 4)])
     assert load() == [x for x in want if x[0] != "f5"]
+
+
+def test_small_tables_of_code_are_dealt_over_all_tasks(spark):
+    """A split of a file with few rows is a task's work of a thousand times its bytes."""
+    from codequarry.plans.code import code_files
+
+    d = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{d}/orders.parquet").rdd.getNumPartitions() == 1
+    held = [r["count"] for r in code_files(spark, d).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 4 and min(held) > sum(held) / 8
+
+
+def test_one_partner_is_found_without_matching_all():
+    from codequarry.functions.masked import NEAR, Source
+
+    rnd = random.Random(6)
+    for n in [20] * 300 + [3 * NEAR] * 10:
+        s = Source("".join(rnd.choice("()[]{} x") for _ in range(n)), ".js")
+        near = {i: s.closing(i) for i, c in enumerate(s.code[:40]) if c in "([{"}
+        assert near == {i: Source(s.code, ".js").partner.get(i) for i in near}
+    s = Source("f(a, [b]) {" + "(" * 100_000, ".js")
+    assert s.closing(1) == 8 and "_partner" not in vars(s)
