@@ -28,6 +28,28 @@ def test_findings_of_a_repository_can_vanish(spark, tmp_path):
     assert stored(spark, path) == {("2", "b", "y"), ("3", "c", "x")}
 
 
+def test_a_run_writes_as_many_files_as_it_has_tasks(spark, tmp_path):
+    path = tmp_path / "m of all"
+    many = spark.range(0, 300, numPartitions=3).selectExpr("cast(id as string) repo_id", "'a' file", "'x' type", "'low' severity", "'' message", "1 line", "0.1D deduction", "'' category", "'' suggestion")
+    sinks.write_markers(many, str(path))
+    assert len(list(path.rglob("*.parquet"))) == 3
+    sinks.write_markers(many.where("repo_id = '7'").withColumn("file", F.lit("b")), str(path), spark.createDataFrame([("8",)], "repo_id string"))
+    want = {(str(i), "b" if i == 7 else "a", "x") for i in range(300) if i != 8}
+    assert stored(spark, str(path)) == want
+    before = set(path.rglob("*.parquet"))
+    sinks.compact_markers(spark, str(path))
+    assert stored(spark, str(path)) == want and not before & set(path.rglob("*.parquet"))
+
+
+def test_a_run_also_replaces_versions_of_files(spark, tmp_path):
+    path = str(tmp_path / "m")
+    sinks.append_markers(findings(spark, ("r", "a", "x"), ("r", "b", "x"), ("s", "c", "x")), findings(spark, ("r", "a", ""), ("r", "b", ""), ("s", "c", "")), path)
+    sinks.write_markers(findings(spark, ("r", "b", "y"), ("r", "d", "y")), path)
+    assert stored(spark, path) == {("r", "b", "y"), ("r", "d", "y"), ("s", "c", "x")}
+    sinks.append_markers(findings(spark, ("r", "b", "z")), findings(spark, ("r", "b", ""), ("s", "c", "")), path)
+    assert stored(spark, path) == {("r", "b", "z"), ("r", "d", "y")}
+
+
 def test_a_second_batch_keeps_other_files(spark, tmp_path):
     kind = "repo_id string, path string, is_file boolean, ext string, content string, last_mod timestamp"
     bad, good = "id 123456789012 here", "nothing here"
