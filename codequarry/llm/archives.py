@@ -9,12 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyarrow import fs as pafs
-
-
-def open_fs(uri: str):
-    """The file system and the path in it of a URI (local, HDFS, S3 and whatever else Arrow opens)."""
-    return pafs.FileSystem.from_uri(uri)
+from ..storage import open_fs
 
 
 def task_file(folder: str, suffix: str) -> str:

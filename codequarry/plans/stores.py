@@ -9,7 +9,7 @@ from ..functions.paths import dirname
 from ..operators import clones, coverage, graph, history, increments, planning, reports, rules
 from ..sources import files as src
 from ..sources import sinks
-from ..storage import cut, shared_dir
+from ..storage import cut, many_files, shared_dir
 from . import projections as P
 from .code import KINDS
 from .queries import CLONES_SQL, _content, _metric_files, _symbol_graph, query, rounded
@@ -22,7 +22,7 @@ def read_repo_files(spark, d):
     """Suppliers as a tree of files; an ignore pattern leaves out some folders."""
     root = shared_dir(spark, "tree")
     s = P.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("value"))
-    s.write.partitionBy("nation", "supplier").text(root)
+    sinks.write_folders(s, root, "nation", "supplier")
     ignored = spark.createDataFrame([(r"(^|/)_SUCCESS$|\.crc$",), (r"nation=1\d/",)], "pattern string")
     f = src.read_repo_files(spark, root, "r", ignored)
     return f.select("repo_id", dirname("path").alias("path"), "ext", "content", "size")
@@ -178,7 +178,7 @@ def export_pages(spark, d):
     path = shared_dir(spark, "export")
     s = P.table(spark, d, "supplier").select(F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("type"), F.concat(F.lit("#"), "s_name").alias("subject"), F.col("s_name").alias("content"))
     told = sinks.export_pages(s, path)
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    held = many_files(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path))
     held = held.groupBy(F.regexp_extract("path", "page_type=([^/]*)", 1).alias("type")).agg(F.sum("length").alias("bytes"))
     return told.join(held, "type")
 

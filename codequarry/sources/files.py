@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import col, ext_of
+from ..storage import many_files
 
 COBERTURA = (
     "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, `_line-rate`: double>>>>>>"
@@ -15,7 +16,7 @@ CLOVER = "file array<struct<_name: string, metrics: struct<_coveredstatements: i
 
 def read_repo_files(spark: SparkSession, root: str, repo_id: str | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """All files below ``root`` with content (UTF-8), size and time; ignored paths are dropped before content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = many_files(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     base = root.split("://", 1)[-1].rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     rows = raw.select(repository_id(F.lit(root) if repo_id is None else F.lit(repo_id), repo_id is None).alias("repo_id"), path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("last_mod"))

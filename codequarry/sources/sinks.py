@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Iterable
+from itertools import groupby
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import col
 from ..operators.rules import SUGGESTIONS
 from ..schemas import MARKERS
-from ..storage import remove
+from ..storage import open_fs, remove
 
 
 #: The columns of stored findings besides their own: when they were written, and the same if all of their repository was.
@@ -120,10 +125,53 @@ def safe_name(subject: str | Column) -> Column:
 def export_pages(pages: DataFrame, path: str) -> DataFrame:
     """Write each page's content below ``path/page_type=…/subject=…``; returns the counts by type."""
     rows = pages.select(F.col("type").alias("page_type"), safe_name("subject").alias("subject"), F.col("content").alias("value"))
-    rows.write.mode("overwrite").partitionBy("page_type", "subject").text(path)
+    write_folders(rows, path, "page_type", "subject")
     return pages.groupBy("type").agg(F.count("*").alias("pages"))
 
 
+#: What Spark escapes in the names of folders.
+_ESCAPED = re.compile(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+
+
+def folder_of(keys: Iterable[str], values: Iterable[str | None]) -> str:
+    """``key=value/key=value``, as ``partitionBy`` names it."""
+    name = lambda v: _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else "__HIVE_DEFAULT_PARTITION__"
+    return "/".join(f"{k}={name(v)}" for k, v in zip(keys, values))
+
+
+def write_folders(rows: DataFrame, path: str, *keys: str) -> None:
+    """The lines ``value`` of ``rows`` as text files, a folder for each of ``keys``: what ``partitionBy(*keys).text(path)`` writes.
+
+    Made for many small files. Tasks write them in their place under names that a repeated task overwrites, so no file is renamed, and
+    through Arrow, which needs no process to set a file's mode as Hadoop's local file system does. Rows are dealt before, as a small
+    table is a single task. Where Arrow doesn't know the file system, Spark writes them.
+    """
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = re.sub("^file:/(?!/)", "file:///", folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString())
+    rows = rows.select(*[F.nullif(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], F.col("value").cast("string").alias("value"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, F.xxhash64("value")).sortWithinPartitions(*keys)
+    try:
+        open_fs(uri)
+    except (pa.ArrowException, OSError, ValueError):
+        dealt.write.mode("overwrite").partitionBy(*keys).text(path)
+        return
+    remove(spark, path)
+
+    def write(batches):
+        fs, root = open_fs(uri)
+        lines = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        for own, group in groupby(lines, key=lambda x: x[:-1]):
+            folder = f"{root}/{folder_of(keys, own)}"
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.txt") as out:
+                for *_, value in group:
+                    out.write((value or "").encode() + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    dealt.mapInArrow(write, "done long").write.format("noop").mode("overwrite").save()
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Entities and relations as JSON lines."""
     nodes.write.mode("overwrite").json(f"{path}/entities")

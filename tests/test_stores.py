@@ -50,6 +50,35 @@ def test_a_run_also_replaces_versions_of_files(spark, tmp_path):
     assert stored(spark, path) == {("r", "b", "z"), ("r", "d", "y")}
 
 
+def test_folders_hold_what_partitions_hold(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", 1, "x"), ("a/b", 1, "y"), ("a=c d", 2, "é"), (None, 3, None), ("", 3, "z"), ("%", None, "w\nv")] + [("many", i, str(i)) for i in range(300)], "t string, n long, value string")
+    sinks.write_folders(rows, str(tmp_path / "f"), "t", "n")
+    sinks.write_folders(rows, f"file://{tmp_path}/f", "t", "n")  # again, over the first
+    rows.write.partitionBy("t", "n").text(str(tmp_path / "p"))
+
+    def held(top):
+        out = {}
+        for f in top.rglob("*.txt"):
+            out.setdefault(str(f.parent.relative_to(top)), []).extend(f.read_text().split("\n")[:-1])
+        return {k: sorted(v) for k, v in out.items()}
+
+    assert held(tmp_path / "f") == held(tmp_path / "p") and len(held(tmp_path / "f")) == 304
+
+
+def test_trees_of_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id % 50 as a", "id as b", "'x' as value")
+    sinks.write_folders(rows, str(tmp_path), "a", "b")
+    names = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    files = src.read_repo_files(spark, str(tmp_path), "r")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    stages = [names.getStageInfo(s) for j in names.getJobIdsForGroup("listing") for s in names.getJobInfo(j).stageIds]
+    assert stages and all(s.numTasks <= 16 for s in stages)
+    assert files.rdd.getNumPartitions() <= 8 and files.count() == 400
+
+
 def test_a_second_batch_keeps_other_files(spark, tmp_path):
     kind = "repo_id string, path string, is_file boolean, ext string, content string, last_mod timestamp"
     bad, good = "id 123456789012 here", "nothing here"
