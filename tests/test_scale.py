@@ -265,3 +265,48 @@ def test_one_partner_is_found_without_matching_all():
         assert near == {i: Source(s.code, ".js").partner.get(i) for i in near}
     s = Source("f(a, [b]) {" + "(" * 100_000, ".js")
     assert s.closing(1) == 8 and "_partner" not in vars(s)
+
+
+def test_co_changes_of_commits_of_all_sizes(spark, monkeypatch):
+    """Pairs from rows, from blocks and from both, pruned or not, by hashes or by names."""
+    rnd = random.Random(8)
+    sizes = [1, 2, 3, history.FEW - 1, history.FEW, history.FEW + 1, 2 * history.FEW, 60]
+    commits = {str(i): rnd.sample([f"f{j}" for j in range(70)], s) for i, s in enumerate(sizes * 4)}
+    rows = [(r, c, p) for r in "rs" for c, files in commits.items() for p in [*files, files[0]]] + [("r", None, "f1"), ("r", None, "f2"), ("r", "0", None)]
+    table = spark.createDataFrame(rows, "repo_id string, commit_id string, path string")
+    want = Counter(p for files in commits.values() for p in combinations(sorted(files), 2))
+    for least in (1, 3):
+        expected = {(r, *p): n for r in "rs" for p, n in want.items() if n >= least}
+        for most in (history.RECURRING, 10):
+            monkeypatch.setattr(history, "RECURRING", most)
+            assert {(r.repo_id, r.a, r.b): r["count"] for r in history.co_changes(table, least, block=7).collect()} == expected
+
+
+def test_commits_joined_by_their_ids_are_not_shuffled_again(spark):
+    from codequarry.plans import projections as P
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = history.commit_sets(P.commits(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 4  # orders and customers by customer, orders and lines by commit
+
+
+def test_links_and_edges_are_read_once(spark):
+    """What makes them may be a join of all commits."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    links = spark.createDataFrame([("r", a, b, 1) for a, b in ("ab", "ac", "bc", "ca")], "repo_id string, source string, target string, edge_count long")
+    modules = spark.createDataFrame([("r", m, 0.5) for m in "abc"], "repo_id string, module string, avg_pagerank double")
+    assert graph.module_dependency_matrix(links.withColumn("source", seen("source")), modules).count() == 3 and read.value == 4
+    nodes = spark.createDataFrame([("r", k) for k in "abcd"], "repo_id string, key string")
+    edges = spark.createDataFrame([("r", a, b) for a, b in ("ab", "bc", "cd")], "repo_id string, src string, dst string")
+    read.value = 0
+    assert graph.community_count(graph.communities(nodes, edges.withColumn("src", seen("src")))).first().communities == 2
+    assert read.value <= 6  # as source and as target
