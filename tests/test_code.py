@@ -8,6 +8,7 @@ from codequarry.functions import code
 from codequarry.functions.masked import Source
 from codequarry.operators import security
 from codequarry.plans.code import BLOCKS
+from codequarry.schemas import FUNCTIONS
 
 
 def names(src, ext):
@@ -82,6 +83,22 @@ def test_structural_markers(spark):
     assert "brain_method" not in {r.type for r in code.structural_markers(code.function_metrics(files), nodes, cold).collect()}
 
 
+def test_messages_of_structural_markers(spark):
+    row = ("r", "a.go", ".go", "Big", 3, 90, 88, 16, 5, True, ["int"] * 7)
+    found = spark.createDataFrame([row], FUNCTIONS)
+    nodes = spark.createDataFrame([("r", "file", "a.go", 0.9)], "repo_id string, node_type string, path string, pagerank double")
+    out = code.structural_markers(found, nodes, spark.createDataFrame([("r", 0.5)], "repo_id string, value double"))
+    assert "format_string" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.message for r in out.collect()) == [
+        "Brain method 'Big': NLOC=88 cyclomatic=16 nesting=5",
+        "Bumpy road in 'Big': ≥3 sequential branches at same level",
+        "Complex method 'Big': cyclomatic=16",
+        "Large method 'Big': 88 NLOC (threshold 60)",
+        "Nested complexity in 'Big': max depth=5",
+        "Primitive obsession in 'Big': 7 primitive params",
+    ]
+
+
 @pytest.mark.parametrize(
     ("src", "ext", "masked"),
     [
